@@ -237,7 +237,11 @@ def _facts_with_links(html: pa.Array, url: pa.Array) -> pa.Array:
 
 
 def facts_of(html: Column, url: Column | None = None) -> Column:
-    """Struct of page facts; links are resolved only when ``url`` is given."""
+    """Struct of page facts; links are resolved only when ``url`` is given.
+
+    Marked nondeterministic so that the optimizer never copies the parse into
+    later filters: a page is parsed once per plan.
+    """
     if url is None:
-        return F.arrow_udf(_facts, FACTS)(html)
-    return F.arrow_udf(_facts_with_links, FACTS)(html, url)
+        return F.arrow_udf(_facts, FACTS).asNondeterministic()(html)
+    return F.arrow_udf(_facts_with_links, FACTS).asNondeterministic()(html, url)
