@@ -76,7 +76,8 @@ ZIP_PLUS_FOUR = r"\d{5}-\d{4}"
 # Chilean area codes (public numbering plan): 2 Santiago, the two-digit
 # regional codes, 9 mobile; nine national digits in all.
 PHONE_NATIONAL = (
-    r"(?:2[1-3]|3[2-5]|[47][1-35]|5[1-3578]|6[13-57]|9[2-9])"
+    r"(?:2\)?[\s.\-]?[1-3]|9[\s.\-]?[2-9]"
+    r"|3[2-5]|[47][1-35]|5[1-3578]|6[13-57])"
     r"\)?(?:[\s.\-]?\d){7}"
 )
 
