@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB equivalents, grouped by subject."""
 
-from pagelens.catalog import evidence, extraction, graph, mail
+from pagelens.catalog import evidence, extraction, graph, mail, seeds
 from pagelens.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence", "extraction", "graph", "mail"]
+__all__ = ["ORACLES", "QUERIES", "evidence", "extraction", "graph", "mail", "seeds"]
