@@ -1,6 +1,26 @@
 """Registered queries and their DuckDB equivalents, grouped by subject."""
 
-from pagelens.catalog import evidence, extraction, graph, mail, seeds
+from pagelens.catalog import (
+    evidence,
+    extraction,
+    graph,
+    mail,
+    measures,
+    outputs,
+    seeds,
+    streams,
+)
 from pagelens.catalog.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence", "extraction", "graph", "mail", "seeds"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "evidence",
+    "extraction",
+    "graph",
+    "mail",
+    "measures",
+    "outputs",
+    "seeds",
+    "streams",
+]

@@ -52,7 +52,7 @@ def base_labels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
         .groupBy("host")
         .agg(
             F.greatest(
-                F.lit(1), F.coalesce(F.max(F.when("__rule", F.col("len"))), F.lit(1))
+                F.lit(1), F.coalesce(F.max(F.when(F.col("__rule"), F.col("len"))), F.lit(1))
             ).alias("__len")
         )
     )
