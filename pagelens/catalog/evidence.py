@@ -87,7 +87,7 @@ def sca_14(spark, sf):
     """,
 )
 def sca_15(spark, sf):
-    return I.table(spark, sf, "documents").select(
+    return I.table(spark, sf, "documents", "doc_id").select(
         "doc_id", text.has_lexicon(F.col("text"), TERMS).alias("fired")
     )
 
@@ -118,7 +118,7 @@ def sca_16(spark, sf):
     "SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents",
 )
 def sca_17(spark, sf):
-    return I.table(spark, sf, "documents").select(
+    return I.table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.md5(text.deaccent(F.col("text"))).alias("plain")
     )
 
@@ -213,7 +213,7 @@ def _letters(column: str = "text"):
 def sca_18(spark, sf):
     pairs = text.name_pairs(_letters())
     return (
-        I.table(spark, sf, "documents")
+        I.table(spark, sf, "documents", "doc_id")
         .select("doc_id", F.size(pairs).cast("bigint").alias("pairs"))
         .filter("pairs > 0")
     )
@@ -244,7 +244,7 @@ def _named_pages(spark, sf):
         F.array(*[F.lit(n) for n in ("Núñez", "Camila", "Pablo", "Güemes", "Ibáñez", "Rodrigo")]),
         (F.floor(k / 6) % 6).cast("int"),
     )
-    return I.table(spark, sf, "orders").select(
+    return I.table(spark, sf, "orders", "o_orderkey").select(
         k.alias("k"),
         F.concat(F.lit("https://e.cl/"), k.cast("string")).alias("url"),
         F.concat(F.lit("<p>jefe: "), one, F.lit(" \n"), two, F.lit(".</p>")).alias("html"),
@@ -325,7 +325,7 @@ def job_candidate_addresses(spark, sf):
     """,
 )
 def job_candidates_documents(spark, sf):
-    docs = I.table(spark, sf, "documents")
+    docs = I.table(spark, sf, "documents", "doc_id")
     return K.candidates_of(docs, _letters(), "{first}.{last}", "e.cl", ["doc_id"]).select(
         "doc_id", "email"
     )

@@ -90,7 +90,7 @@ def sca_3(spark, sf):
         F.get(shades, (F.floor(k / 6) % 6).cast("int")),
         F.lit('">texto</p>'),
     )
-    made = I.table(spark, sf, "orders").select(k.alias("k"), html.alias("html"))
+    made = I.table(spark, sf, "orders", "o_orderkey").select(k.alias("k"), html.alias("html"))
     return page_facts(made).select(
         "k", (F.size("facts.hidden_texts") == 1).alias("same")
     )
@@ -149,7 +149,7 @@ def job_extract_contacts_com(spark, sf):
 )
 def sca_7(spark, sf):
     return C.addresses_in_text(
-        I.table(spark, sf, "documents"), "doc_id", "text", "com"
+        I.table(spark, sf, "documents", "doc_id"), "doc_id", "text", "com"
     )
 
 
@@ -191,7 +191,7 @@ def sca_9_documents(spark, sf):
         r"(?:\s*+(?:\[at\]|\(at\))|\s++at\s)\s*+[a-z0-9.\-]+\."
     )
     return (
-        I.table(spark, sf, "documents")
+        I.table(spark, sf, "documents", "doc_id")
         .select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), 0)).cast("bigint").alias("n"))
         .filter("n > 0")
     )
@@ -308,7 +308,7 @@ def payload_pages(spark, sf):
         ),
     )
     shown = F.when((k % 3 == 0) & (count > 0), address(F.lit(0))).otherwise("nada")
-    return I.table(spark, sf, "orders").select(
+    return I.table(spark, sf, "orders", "o_orderkey").select(
         k.alias("k"),
         F.concat(F.lit("https://o.cl/"), k.cast("string")).alias("url"),
         F.when(k % 10 == 0, "http 503").otherwise("ok").alias("outcome"),

@@ -111,7 +111,7 @@ _URLS = [
 def _url_rows(spark, sf):
     k = F.col("o_orderkey")
     heads = F.array(*[F.lit(u) for u in _URLS])
-    return I.table(spark, sf, "orders").select(
+    return I.table(spark, sf, "orders", "o_orderkey").select(
         k.alias("k"),
         F.concat(F.get(heads, (k % 8).cast("int")), k.cast("string")).alias("url"),
     )
@@ -215,7 +215,7 @@ def sca_29(spark, sf):
     words = ["contacto", "Staff", "rector/correo", "nada", "postgrado", "about-us", "carreras"]
     pick = F.get(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % 7).cast("int"))
     url = F.concat(F.lit("https://x.cl/"), F.lower("source"), F.lit("/"), pick)
-    return I.table(spark, sf, "documents").select(
+    return I.table(spark, sf, "documents", "doc_id").select(
         "doc_id", scoring.link_score(url, "university").alias("score")
     )
 
@@ -245,7 +245,7 @@ def _contact_links(spark, sf):
         "https://www.nunoa.cl/"
     )
     dst = F.concat(host, F.get(words, (k % 4).cast("int")), F.lit("/"), (k % 300).cast("string"))
-    return I.table(spark, sf, "orders").select(
+    return I.table(spark, sf, "orders", "o_orderkey").select(
         F.lit("https://www.nunoa.cl/").alias("src"),
         dst.alias("dst"),
         k.cast("int").alias("pos"),

@@ -8,11 +8,14 @@ reader should find in them.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pagelens.operators.shared import spread
 from pagelens.sources.readers import read_pages
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, *spread_by: str) -> DataFrame:
+    """A given table; ``spread_by`` widens a single-split file before heavy work."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows, *spread_by) if spread_by else rows
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +89,7 @@ def contact_pages(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("c_nationkey") % 3 == 1, " ES_cl")
         .otherwise("es")
     )
-    return table(spark, sf, "customer").select(
+    return table(spark, sf, "customer", "c_custkey").select(
         k.alias("page_id"),
         F.concat(
             F.lit("https://www."), host, F.lit("/p/"), k.cast("string")
@@ -139,7 +142,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit("<html><!--"), F.repeat(F.lit("x"), 2100), F.lit("--></html>"))
     for variant, markup in enumerate(bodies):
         body = F.when(k % 8 == variant, markup).otherwise(body)
-    return table(spark, sf, "customer").select(
+    return table(spark, sf, "customer", "c_custkey").select(
         k.alias("k"),
         F.concat(
             F.lit("https://h"), (k % 7).cast("string"), F.lit(".cl/"), k.cast("string")
@@ -175,7 +178,7 @@ seed AS (SELECT url, k AS rank FROM node WHERE k % 40 = 3)
 
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """One page per customer linking to two others, to page 0 and outside."""
-    customer = table(spark, sf, "customer")
+    customer = table(spark, sf, "customer", "c_custkey")
     size = customer.agg(F.count(F.lit(1)).alias("n"))
     k, n = F.col("c_custkey"), F.col("n")
 

@@ -46,7 +46,7 @@ def src_2(spark, sf):
     """,
 )
 def src_2_documents(spark, sf):
-    lines = I.table(spark, sf, "documents").select(
+    lines = I.table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.explode(F.split("text", "\n")).alias("value")
     )
     return readers.lines_of(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))

@@ -33,10 +33,22 @@ def _table_score(text: Column, table: dict) -> Column:
 
 
 def link_score(url: Column, entity_type: Column | str) -> Column:
-    """SCA-29 / AGG-10: best keyword score over the whole URL."""
-    text = F.lower(url)
-    kind = F.lit(entity_type) if isinstance(entity_type, str) else entity_type
-    specific = F.lit(0)
-    for name, table in V.ENTITY_SCORES.items():
-        specific = F.when(kind == name, _table_score(text, table)).otherwise(specific)
-    return F.greatest(_table_score(text, V.BASE_SCORES), specific)
+    """SCA-29 / AGG-10: best keyword score over the whole URL.
+
+    The lower-cased URL is bound once as a lambda argument; as a plain
+    subexpression it would be computed again for every keyword.
+    """
+
+    def specific(text: Column) -> Column:
+        if isinstance(entity_type, str):
+            return _table_score(text, V.ENTITY_SCORES.get(entity_type, {}))
+        score = F.lit(0)
+        for name, table in V.ENTITY_SCORES.items():
+            score = F.when(entity_type == name, _table_score(text, table)).otherwise(score)
+        return score
+
+    scored = F.transform(
+        F.array(F.lower(url)),
+        lambda text: F.greatest(_table_score(text, V.BASE_SCORES), specific(text)),
+    )
+    return F.get(scored, F.lit(0))

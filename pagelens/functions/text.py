@@ -97,23 +97,26 @@ def decode_payloads(payloads: Column) -> Column:
     The first octet is the key of a byte-wise XOR; the rest must be UTF-8.
     """
 
-    def octet(payload: Column, at: Column) -> Column:
-        return F.conv(F.substr(payload, at, F.lit(2)), 16, 10).cast("int")
-
-    def clear(payload: Column) -> Column:
-        starts = F.sequence(F.lit(3), F.length(payload) - 1, F.lit(2))
-        pairs = F.transform(
-            starts,
-            lambda i: F.lpad(
-                F.hex(octet(payload, i).bitwiseXOR(octet(payload, F.lit(1)))), 2, "0"
-            ),
+    well_formed = F.filter(
+        payloads, lambda p: F.rlike(p, F.lit(r"(?s)^(?:[0-9a-fA-F]{2})(?:[0-9a-fA-F]{2})++.?$"))
+    )
+    octets = F.transform(
+        well_formed,
+        lambda p: F.transform(
+            F.regexp_extract_all(p, F.lit("[0-9a-fA-F]{2}"), 0),
+            lambda pair: F.conv(pair, 16, 10).cast("int"),
+        ),
+    )
+
+    def clear(values: Column) -> Column:
+        plain = F.transform(
+            values, lambda v: F.lpad(F.hex(v.bitwiseXOR(values[0])), 2, "0")
         )
-        return F.unhex(F.array_join(pairs, "")).cast("string")
+        return F.substr(F.array_join(plain, ""), F.lit(3))
 
-    well_formed = F.filter(
-        payloads, lambda p: F.rlike(p, F.lit(r"(?s)^(?:[0-9a-fA-F]{2}){2,}.?$"))
+    texts = F.filter(
+        F.transform(octets, lambda v: F.unhex(clear(v)).cast("string")), F.is_valid_utf8
     )
-    texts = F.filter(F.transform(well_formed, clear), F.is_valid_utf8)
     addresses = F.transform(texts, lambda t: strip(F.substring_index(t, "?", 1)))
     return F.filter(addresses, lambda a: F.contains(a, F.lit("@")))
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.functions import text
 from pagelens.operators.candidates import candidate_emails
+from pagelens.operators.evidence import evidence_of
 from pagelens.operators.facts import page_facts, visible_text
 from pagelens.operators.shared import first_by
 
@@ -71,19 +72,44 @@ def _entries(emails: Column, hidden: bool, generated: bool) -> Column:
     )
 
 
-def _exploded(arrays: DataFrame, rows: Column, keep: list) -> DataFrame:
-    return arrays.select(
-        *keep, F.col("url").alias("source"), F.posexplode(rows)
-    ).select(*keep, "col.email", "source", "col.hidden", "col.generated", "pos")
+def _exploded(
+    arrays: DataFrame, rows: Column, keep: list, evidence: bool = False
+) -> DataFrame:
+    """One row per entry; evidence is tested only on pages with an entry."""
+    extra = []
+    if evidence:
+        found = evidence_of(F.col("facts.lang"), F.col("facts.text"), F.col("url"))
+        extra = [F.when(F.size("__rows") > 0, found).alias("evidence")]
+    return (
+        arrays.withColumn("__rows", rows)
+        .select(*keep, F.col("url").alias("source"), "__rows", *extra)
+        .select(
+            *keep, "source", *(["evidence"] if evidence else []), F.posexplode("__rows")
+        )
+        .select(
+            *keep,
+            "col.email",
+            "source",
+            "col.hidden",
+            "col.generated",
+            "pos",
+            *(["evidence"] if evidence else []),
+        )
+    )
 
 
 def extract_contacts(
-    pages: DataFrame, tld: str = "cl", keep: list | None = None
+    pages: DataFrame,
+    tld: str = "cl",
+    keep: list | None = None,
+    evidence: bool = False,
 ) -> DataFrame:
     """``email, source, hidden`` plus ``pos`` and the ``keep`` columns.
 
     Visible addresses of a page come first, each group in address order. Pages
-    that cannot hold an address are dropped before they are parsed.
+    that cannot hold an address are dropped before they are parsed. With
+    ``evidence`` the page's signals come from the same parse (JOIN-5 without
+    a join: no page text is shuffled).
     """
     keep = [c for c in (keep or []) if c in pages.columns]
     likely = pages.filter(text.may_hold_email(F.col("html"), tld))
@@ -91,20 +117,20 @@ def extract_contacts(
         _entries(F.col("visible"), False, False),
         _entries(F.col("hidden_only"), True, False),
     )
-    return _exploded(contact_arrays(likely, tld), rows, keep).drop("generated")
+    return _exploded(contact_arrays(likely, tld), rows, keep, evidence).drop("generated")
 
 
 def contacts_and_candidates(
     pages: DataFrame, pattern: str, domain: str, tld: str, keep: list
 ) -> DataFrame:
-    """Scraped addresses and then guesses of each page, from one parse."""
+    """Scraped addresses, then guesses, with evidence, from one parse."""
     guesses = candidate_emails(F.col("facts.text"), pattern, domain)
     rows = F.concat(
         _entries(F.col("visible"), False, False),
         _entries(F.col("hidden_only"), True, False),
         _entries(guesses, False, True),
     )
-    return _exploded(contact_arrays(pages, tld), rows, keep)
+    return _exploded(contact_arrays(pages, tld), rows, keep, evidence=True)
 
 
 def addresses_in_text(

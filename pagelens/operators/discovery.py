@@ -53,18 +53,27 @@ def live_hosts(hosts: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def base_hosts(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+def base_hosts(
+    hosts: DataFrame, domains: DataFrame, order: list | None = None
+) -> DataFrame:
     """SET-5: each domain's own host and ``www`` host, placed before the rest
-    when missing; ``www`` ends up first. Rows are ``domain, host, rank``."""
+    when missing; ``www`` ends up first. Rows are ``domain, host`` and the
+    ``order`` columns, the first of which is not negative in ``hosts``."""
+    order = order or ["rank"]
     extra = domains.select(
         "domain",
         F.posexplode(
             F.array(F.concat(F.lit("www."), F.col("domain")), F.col("domain"))
         ).alias("p", "host"),
-    ).select("domain", "host", (F.col("p") - 2).cast("bigint").alias("rank"))
+    ).select(
+        "domain",
+        "host",
+        (F.col("p") - 2).cast("bigint").alias(order[0]),
+        *[F.lit(0).cast("bigint").alias(c) for c in order[1:]],
+    )
     missing = extra.join(hosts.select("domain", "host"), ["domain", "host"], "left_anti")
     return hosts.select(
-        "domain", "host", F.col("rank").cast("bigint").alias("rank")
+        "domain", "host", *[F.col(c).cast("bigint").alias(c) for c in order]
     ).unionByName(missing)
 
 

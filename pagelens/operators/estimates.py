@@ -63,7 +63,7 @@ def base_labels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
             F.get("__parts", size - F.col("__len") - 1),
         ).alias("base"),
     )
-    return attach(hosts, bases, "host")
+    return attach(hosts, bases, "host", salts=1)
 
 
 def sibling_outcomes(
@@ -82,7 +82,7 @@ def sibling_outcomes(
         F.min("seq").alias("__first")
     )
     answers = firsts.join(observed, "sibling", "left")
-    joined = attach(named, answers, "sibling")
+    joined = attach(named, answers, "sibling", salts=1)
     none = F.col("base").isNull()
     later = F.col("seq") > F.col("__first")
     detail = F.coalesce("detail", F.lit(""))
@@ -253,7 +253,7 @@ def per_server(rows: DataFrame) -> DataFrame:
 
 def by_entity(rows: DataFrame) -> DataFrame:
     """AGG-8 / JOIN-13: domains, domains with hits, addresses by type."""
-    kinds = rows.groupBy("domain").agg(F.first("entity").alias("entity"))
+    kinds = rows.groupBy("domain").agg(F.min("entity").alias("entity"))
     return (
         domain_union(rows)
         .join(kinds, "domain")

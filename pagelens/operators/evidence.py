@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.functions import text, urls
 from pagelens.operators.facts import page_facts
-from pagelens.operators.shared import attach
+from pagelens.operators.shared import attach, small
 
 
 def evidence_of(lang: Column, body: Column, url: Column, terms=None) -> Column:
@@ -31,13 +31,15 @@ def page_evidence(pages: DataFrame, terms: list | None = None) -> DataFrame:
 
 
 def attach_evidence(contacts: DataFrame, pages: DataFrame) -> DataFrame:
-    """JOIN-5: evidence of each source page, computed only where needed.
+    """JOIN-5: evidence for contacts that were not extracted with it.
 
-    Pages without an address are dropped by a semi join before the text tests
-    run. Contacts whose page is absent keep NULL evidence: nobody looked.
+    A counted small set of source pages is broadcast, so the other pages are
+    dropped at the scan and only sources are parsed. Beyond that every page is
+    judged where it lies and only ``url, evidence`` is shuffled, never page
+    text. Contacts whose page is absent keep NULL evidence: nobody looked.
     """
     sources = contacts.select(F.col("source").alias("url")).distinct()
-    judged = page_evidence(pages.join(sources, "url", "left_semi"))
-    return attach(
-        contacts, judged.withColumnRenamed("url", "source"), "source"
-    )
+    if small(sources):
+        pages = pages.join(F.broadcast(sources), "url", "left_semi")
+    judged = page_evidence(pages).withColumnRenamed("url", "source")
+    return attach(contacts, judged, "source")

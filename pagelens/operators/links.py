@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagelens.functions import fixed_values as V, scoring, urls
 from pagelens.operators.facts import page_facts
-from pagelens.operators.shared import attach, cut
+from pagelens.operators.shared import cut
 
 
 def link_edges(pages: DataFrame, entity: str | None = None) -> DataFrame:
@@ -58,20 +58,24 @@ def crawl_frontier(
 
     Pages out of scope or missing from the snapshot are dropped, walls are
     kept and not expanded, and the walk ends with the ``max_pages``-th
-    readable page. One round runs per depth; each round is checkpointed.
+    readable page. One round runs per depth. The edges, the page list and
+    each round are checkpointed, so page text is read once and a lost executor
+    costs one round.
     """
-    known = pages.select("url", "wall_vendor")
-    steps = edges.select("src", F.col("dst").alias("url"), "pos").filter(
-        urls.in_scope(F.col("url"), F.lit(False), scope, tld)
+    known = cut(pages.select("url", "wall_vendor"))
+    steps = cut(
+        edges.select("src", F.col("dst").alias("url"), "pos").filter(
+            urls.in_scope(F.col("url"), F.lit(False), scope, tld)
+        )
     )
-    steps = cut(attach(steps, known, "url", "inner"))
-    level = seeds.groupBy("url").agg(
+    first = seeds.groupBy("url").agg(
         F.min(F.array(F.col("rank").cast("int"))).alias("path")
     )
-    level = cut(level.join(known, "url"))
+    level = cut(first.join(known, "url"))
     rounds = [level.withColumn("depth", F.lit(0))]
+    read = _readable(level)
     for depth in range(1, max_depth + 1):
-        if max_pages is not None and _readable(rounds) >= max_pages:
+        if max_pages is not None and read >= max_pages:
             break
         expanded = level.filter("wall_vendor IS NULL").select(
             F.col("url").alias("src"), F.col("path").alias("from")
@@ -79,24 +83,23 @@ def crawl_frontier(
         reached = (
             steps.join(expanded, "src")
             .groupBy("url")
-            .agg(
-                F.min(F.concat("from", F.array("pos"))).alias("path"),
-                F.any_value("wall_vendor").alias("wall_vendor"),
-            )
+            .agg(F.min(F.concat("from", F.array("pos"))).alias("path"))
         )
         visited = reduce(DataFrame.unionByName, rounds).select("url")
-        level = cut(reached.join(visited, "url", "left_anti"))
-        if level.isEmpty():
-            break
+        level = cut(
+            reached.join(visited, "url", "left_anti").join(known, "url")
+        )
+        found = _readable(level)
         rounds.append(level.withColumn("depth", F.lit(depth)))
+        if found == 0:
+            break
+        read += found
     walked = reduce(DataFrame.unionByName, rounds)
     return walked if max_pages is None else cap_pages(walked, max_pages)
 
 
-def _readable(rounds: list) -> int:
-    return reduce(DataFrame.unionByName, rounds).filter(
-        "wall_vendor IS NULL"
-    ).count()
+def _readable(level: DataFrame) -> int:
+    return level.filter("wall_vendor IS NULL").count()
 
 
 def cap_pages(
@@ -118,9 +121,3 @@ def cap_pages(
     return bounded.filter(
         (F.col("__n") < max_pages) | (F.col("__at") <= F.col("__last"))
     ).drop("__at", "__last", "__n")
-
-
-def frontier_pages(walked: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page rows of a walk in fetch order, ready for extraction."""
-    order = walked.filter("wall_vendor IS NULL").select("url", "depth", "path")
-    return attach(order, pages, "url", "inner", salts=1)

@@ -54,7 +54,7 @@ def update_status(emails: DataFrame, updates: DataFrame) -> DataFrame:
         F.max_by("status", order).alias("__new")
     )
     return (
-        attach(emails, latest, ["session_id", "email"])
+        attach(emails, latest, ["session_id", "email"], salts=1)
         .withColumn("status", F.coalesce("__new", "status"))
         .drop("__new")
         .select(*emails.columns)

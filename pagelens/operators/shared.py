@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SALTS = 8
+SMALL_ROWS = 100_000
 RANK_WIDTH = 1 << 20
 
 
@@ -40,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Widen a scan with fewer splits than cores (one file is one split).
 
     Large inputs already have more splits than cores and are left alone, so
@@ -51,10 +52,14 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    keys = [c for c in ("url", "page_id", "doc_id") if c in df.columns]
     return df.repartition(cores, *keys)
 
 
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Counted check before a broadcast; the count stops at the bound."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def attach(
     facts: DataFrame,
     lookup: DataFrame,
@@ -69,6 +74,10 @@ def attach(
     salt depends only on the row and its partition, so a retried task gives
     the same rows. No broadcast is forced: adaptive execution broadcasts the
     lookup when its measured size is below the session's threshold.
+
+    For a lookup about as large as the facts (one row per address) pass
+    ``salts=1``: repeating it would cost more than it saves, and adaptive
+    skew handling splits the facts of a key that repeats.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if facts.isStreaming or salts <= 1:

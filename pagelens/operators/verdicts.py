@@ -226,6 +226,7 @@ def classify_addresses(
             rows,
             replies.select("email", "code", "message", F.col("error").alias("failure")),
             "email",
+            salts=1,
         )
     else:
         rows = (

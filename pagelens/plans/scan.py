@@ -10,29 +10,36 @@ from pagelens.operators.contacts import (
     extract_contacts,
     first_seen,
 )
-from pagelens.operators.evidence import attach_evidence
 from pagelens.operators.facts import wall_report, with_walls
-from pagelens.operators.shared import attach
+from pagelens.operators.shared import attach, cut, small
 from pagelens.operators.verdicts import classify_addresses
 
 
 def live_seed_hosts(
-    domains: DataFrame, names: DataFrame, asked: DataFrame, probes: DataFrame
+    domains: DataFrame,
+    names: DataFrame,
+    asked: DataFrame,
+    probes: DataFrame,
+    most: int = V.MAX_SEEDS,
 ) -> DataFrame:
-    """``domain, host, url, rank`` of the hosts that answered.
+    """``domain, host, url, rank`` of the first ``most`` hosts that answered.
 
     ``names`` is ``domain, source_order, seq, pos, name`` from certificate
-    records. Host order within a domain is that of the first mention.
+    records. Host order within a domain is that of the first mention, after
+    the domain's own hosts when no record has them. Later hosts cannot become
+    seeds, so no domain's whole host list is ever sorted in one task.
     """
     under = D.hosts_under(
         names, F.col("domain"), ["seq", "pos"], ["domain", "source_order"]
     )
     chosen = D.source_fallback(under, asked).filter("host IS NOT NULL")
-    w = Window.partitionBy("domain").orderBy("seq", "pos", "host")
-    ranked = chosen.select(
-        "domain", "host", F.row_number().over(w).cast("bigint").alias("rank")
+    hosts = D.base_hosts(chosen, domains.select("domain"), ["seq", "pos"])
+    order = ["seq", "pos", "host"]
+    heads = D.first_k(D.live_hosts(hosts, probes), ["domain"], order, most)
+    w = Window.partitionBy("domain").orderBy(*order)
+    return heads.select(
+        "domain", "host", "url", F.row_number().over(w).cast("bigint").alias("rank")
     )
-    return D.live_hosts(D.base_hosts(ranked, domains.select("domain")), probes)
 
 
 def scored_seed_links(
@@ -40,8 +47,11 @@ def scored_seed_links(
 ) -> DataFrame:
     """``domain, url, rank``: best internal links of the first live hosts."""
     heads = D.first_k(live, ["domain"], ["rank"], V.HOSTS_SCORED)
-    homes = heads.select("domain", "url").join(pages.select("url", "html"), "url")
-    edges = L.link_edges(homes.select("url", "html").distinct())
+    urls_read = heads.select("url").distinct()
+    homes = pages.select("url", "html").join(
+        F.broadcast(urls_read) if small(urls_read) else urls_read, "url", "left_semi"
+    )
+    edges = L.link_edges(homes)
     named = edges.withColumnRenamed("src", "url").join(
         heads.select("domain", "url"), "url"
     ).join(entities, "domain")
@@ -78,7 +88,9 @@ def discover_seeds(
     cap alone decides whether they are used.
     """
     entities = D.with_entity(domains.select("domain").distinct(), municipalities)
-    live = live_seed_hosts(domains, names, asked, probes)
+    live = cut(
+        live_seed_hosts(domains, names, asked, probes, max(max_seeds, V.HOSTS_SCORED))
+    )
     stages = [live, scored_seed_links(live, pages, entities, max_seeds)]
     if found_urls is not None:
         stages.append(found_urls)
@@ -93,21 +105,27 @@ def discoveries(
 ) -> DataFrame:
     """Each address once, from the first page that showed it, with evidence.
 
-    ``pages`` carries its order in ``crawl_seq`` or ``depth, path``. The target
-    filter runs before the shuffle.
+    ``pages`` carries its order in ``crawl_seq`` or ``depth, path``. Extraction
+    and evidence come from one narrow pass; the target filter runs before the
+    only shuffle, which carries addresses and not page text.
     """
+    return _first_discoveries(_occurrences(pages, target, pattern, tld))
+
+
+def _occurrences(pages: DataFrame, target, pattern: str, tld: str) -> DataFrame:
     bare = target.lower().lstrip("@") if target else None
     order = [c for c in ("crawl_seq", "depth", "path") if c in pages.columns]
     if generation_wanted(pattern, bare, tld):
         found = contacts_and_candidates(pages, pattern, bare, tld, order)
     else:
-        found = extract_contacts(pages, tld, keep=order).withColumn(
+        found = extract_contacts(pages, tld, order, evidence=True).withColumn(
             "generated", F.lit(False)
         )
-    if bare:
-        found = found.filter(urls.at_suffix(F.col("email"), bare))
-    firsts = first_seen(found).select("email", "source", "generated", "hidden")
-    return attach_evidence(firsts, pages)
+    return found.filter(urls.at_suffix(F.col("email"), bare)) if bare else found
+
+
+def _first_discoveries(found: DataFrame) -> DataFrame:
+    return first_seen(found).select("email", "source", "generated", "evidence", "hidden")
 
 
 def walk_snapshot(
@@ -118,13 +136,47 @@ def walk_snapshot(
     scope: str = "tld",
     tld: str = "cl",
 ) -> DataFrame:
-    """Walk a snapshot from its seeds; pages are parsed once for their links."""
+    """Walk a snapshot from its seeds; pages are parsed once for their links.
+
+    With ``scope='tld'`` pages outside the TLD can only be read as seeds. When
+    the seeds are a counted small set they are broadcast and all other foreign
+    pages are dropped before the parse.
+    """
+    if scope == "tld":
+        pages = _walkable(pages, seeds.select("url").distinct(), tld)
     judged = with_walls(pages).select("url", "wall_vendor")
     return L.crawl_frontier(
         L.link_edges(pages), seeds, judged, max_depth, max_pages, scope, tld
     )
 
 
+def _walkable(pages: DataFrame, seeds: DataFrame, tld: str) -> DataFrame:
+    if not small(seeds):
+        return pages
+    flagged = F.broadcast(seeds.withColumn("__seed", F.lit(True)))
+    return (
+        pages.join(flagged, "url", "left")
+        .filter(urls.in_tld(F.col("url"), tld) | F.col("__seed").isNotNull())
+        .drop("__seed")
+    )
+
+
+def _read_on_walk(
+    walk: DataFrame, pages: DataFrame, target, pattern: str, tld: str
+) -> DataFrame:
+    """Occurrences on the walked pages, with the walk's order.
+
+    A counted small walk is broadcast and only its pages are parsed. A large
+    one is joined after extraction: addresses are shuffled, not page text.
+    """
+    order = walk.filter("wall_vendor IS NULL").select("url", "depth", "path")
+    texts = pages.select("url", "html")
+    if small(order):
+        return _occurrences(texts.join(F.broadcast(order), "url"), target, pattern, tld)
+    found = _occurrences(texts, target, pattern, tld)
+    return attach(found, order.withColumnRenamed("url", "source"), "source", "inner")
+
+
 def scan(
     pages: DataFrame,
     seeds: DataFrame,
@@ -141,14 +193,7 @@ def scan(
 ) -> dict:
     """Full run; gives the tables ``walk``, ``results`` and ``walls``."""
     walk = walk_snapshot(pages, seeds, max_depth, max_pages, scope, tld)
-    read = attach(
-        walk.filter("wall_vendor IS NULL").select("url", "depth", "path"),
-        pages.select("url", "html"),
-        "url",
-        "inner",
-        salts=1,
-    )
-    found = discoveries(read, target, pattern, tld)
+    found = _first_discoveries(_read_on_walk(walk, pages, target, pattern, tld))
     return {
         "walk": walk,
         "results": classify_addresses(found, mx, replies, catch_all, smtp_enabled, tld),

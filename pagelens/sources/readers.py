@@ -14,7 +14,7 @@ def read_pages(
     pages = spark.read.parquet(path)
     if "crawl_seq" not in pages.columns:
         pages = pages.withColumn("crawl_seq", F.col(seq).cast("bigint"))
-    return spread(pages) if widen else pages
+    return spread(pages, "url") if widen else pages
 
 
 def lines_of(lines: DataFrame, column: str = "value") -> DataFrame:
