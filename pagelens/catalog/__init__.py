@@ -7,6 +7,7 @@ from pagelens.catalog import (
     mail,
     measures,
     outputs,
+    runs,
     seeds,
     streams,
 )
@@ -21,6 +22,7 @@ __all__ = [
     "mail",
     "measures",
     "outputs",
+    "runs",
     "seeds",
     "streams",
 ]

@@ -198,7 +198,7 @@ _NAME_SQL = r"""
 WITH m AS (
   SELECT doc_id, unnest(regexp_extract_all(text,
     '[A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]{2,}\s+[A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]{2,}')) AS pair
-  FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-zÁÉÍÓÚÑÜáéíóúñü\s]', ' . ', 'g') AS text
+  FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-zÁÉÍÓÚÑÜáéíóúñü\s]+', ' . ', 'g') AS text
         FROM documents)),
 w AS (SELECT DISTINCT doc_id, regexp_split_to_array(pair, '\s+') AS p FROM m)
 """
@@ -206,7 +206,7 @@ w AS (SELECT DISTINCT doc_id, regexp_split_to_array(pair, '\s+') AS p FROM m)
 
 def _letters(column: str = "text"):
     """Only letters the name rule knows, so both engines see the same words."""
-    return F.regexp_replace(column, r"[^A-Za-zÁÉÍÓÚÑÜáéíóúñü\s]", " . ")
+    return F.regexp_replace(column, r"[^A-Za-zÁÉÍÓÚÑÜáéíóúñü\s]+", " . ")
 
 
 @query("sca_18_name_pairs", _NAME_SQL + "SELECT doc_id, count(*) AS pairs FROM w GROUP BY doc_id")

@@ -15,7 +15,7 @@ CONTACT = "WITH " + I.CONTACT_SQL
 
 @query(
     "src_1_pages",
-    "SELECT page_id, url, page_id AS crawl_seq, length(html) AS n_chars FROM pages",
+    "SELECT page_id, url, page_id AS crawl_seq, length(html)::INT AS n_chars FROM pages",
 )
 def src_1(spark, sf):
     return I.pages(spark, sf).select(
@@ -27,7 +27,7 @@ def src_1(spark, sf):
     "job_page_facts",
     """
     SELECT url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-           len(regexp_extract_all(html, '<a href="[^"]*"')) AS anchors,
+           len(regexp_extract_all(html, '<a href="[^"]*"'))::INT AS anchors,
            0 AS hidden_texts, 0 AS payloads FROM pages
     """,
 )
@@ -281,8 +281,8 @@ row_in AS (
          o_orderkey % 3 = 0 AS shown, 'o' || o_custkey || '@' AS who
   FROM orders),
 yielded AS (
-  SELECT k, outcome, n AS payloads, n AS decoded_cl,
-         CASE WHEN shown AND n > 0 THEN n - 1 ELSE n END AS new_addresses,
+  SELECT k, outcome, n::INT AS payloads, n::INT AS decoded_cl,
+         (CASE WHEN shown AND n > 0 THEN n - 1 ELSE n END)::INT AS new_addresses,
          array_to_string(list_slice(list_transform(
            range(CASE WHEN shown AND n > 0 THEN 1 ELSE 0 END, n), lambda i: who || 'd' || i || '.cl'),
            1, 3), ' ') AS sample

@@ -174,7 +174,7 @@ WITH link AS (
          generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS pos
   FROM pages),
 edge AS (
-  SELECT src, pos, CASE WHEN href LIKE 'http%' THEN href ELSE base || href END AS dst
+  SELECT src, pos::INT AS pos, CASE WHEN href LIKE 'http%' THEN href ELSE base || href END AS dst
   FROM link)
 """
 

@@ -167,7 +167,7 @@ def agg_12(spark, sf):
     "agg_11_lowest_preference",
     MAIL
     + """
-    SELECT domain, transport_order, exchange AS mx_host FROM (
+    SELECT domain, transport_order::INT AS transport_order, exchange AS mx_host FROM (
       SELECT *, row_number() OVER (PARTITION BY domain, transport_order
         ORDER BY preference, exchange) AS r FROM mx_row WHERE outcome = 'mx') WHERE r = 1
     """,

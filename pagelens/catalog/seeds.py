@@ -636,7 +636,7 @@ def job_seed_ranking(spark, sf):
         domains, names, asked, probes.drop("h"), pages, None, searched, max_seeds=6
     )
     w = Window.partitionBy("domain").orderBy("stage", "rank")
-    return seeds.select("domain", "url", F.row_number().over(w).alias("place"))
+    return seeds.select("domain", "url", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 @query(
