@@ -14,16 +14,21 @@ options are closed by the start tags that imply their end.
 """
 
 import re
+import sys
 from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pagelens.functions import fixed_values as V
 from pagelens.schemas import FACTS
 
+# Workers receive this module with the task and need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
 _ATTRS = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)>?+"
 _TOKEN = re.compile(
     r"<!--(?:[^-]++|-(?!->))*+(?:-->)?+"
@@ -43,6 +48,7 @@ _TREE_HINTS = ("hidden", "<template", "<rt", "<rp")
 _HIDDEN_STYLE = re.compile(V.HIDDEN_STYLE, re.IGNORECASE)
 _TEXT_COLOUR = re.compile(V.TEXT_COLOUR, re.IGNORECASE)
 _BACK_COLOUR = re.compile(V.BACK_COLOUR, re.IGNORECASE)
+_COLOUR_NAMES = V.COLOUR_NAMES
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr"
@@ -97,7 +103,7 @@ def _unreadable(name: str, attrs: dict) -> bool:
     if not all(shades):
         return False
     text, back = (
-        V.COLOUR_NAMES.get(s, s)
+        _COLOUR_NAMES.get(s, s)
         for s in (m.group(1).strip().lower() for m in shades)
     )
     return text == back
