@@ -7,7 +7,7 @@ from pagelens.catalog.base import query
 from pagelens.functions import text, urls
 from pagelens.operators import contacts as C, estimates as E
 from pagelens.operators.facts import page_facts, visible_text
-from pagelens.operators.shared import running_number
+from pagelens.operators.shared import running_number, unnest
 from pagelens.plans import measures, scan
 
 CONTACT = "WITH " + I.CONTACT_SQL
@@ -159,9 +159,8 @@ def sca_7(spark, sf):
 )
 def sca_8(spark, sf):
     hrefs = F.transform("facts.anchors", lambda a: a["href"])
-    return page_facts(I.contact_pages(spark, sf)).select(
-        "url", F.explode(text.mailto_in(hrefs, "cl")).alias("email")
-    )
+    found = text.mailto_in(hrefs, "cl")
+    return unnest(page_facts(I.contact_pages(spark, sf)), ["url"], found, "email").drop("pos")
 
 
 @query(
@@ -169,9 +168,8 @@ def sca_8(spark, sf):
     CONTACT + "SELECT url, addr AS email FROM contact WHERE v IN (2, 3)",
 )
 def sca_9(spark, sf):
-    return page_facts(I.contact_pages(spark, sf)).select(
-        "url", F.explode(text.spelled_out_in(visible_text(), "cl")).alias("email")
-    )
+    found = text.spelled_out_in(visible_text(), "cl")
+    return unnest(page_facts(I.contact_pages(spark, sf)), ["url"], found, "email").drop("pos")
 
 
 @query(
@@ -208,9 +206,8 @@ def sca_9_documents(spark, sf):
     """,
 )
 def sca_10(spark, sf):
-    return I.contact_pages(spark, sf).select(
-        "url", F.explode(text.payloads_in(F.col("html"))).alias("payload")
-    )
+    found = text.payloads_in(F.col("html"))
+    return unnest(I.contact_pages(spark, sf), ["url"], found, "payload").drop("pos")
 
 
 @query(
@@ -219,7 +216,7 @@ def sca_10(spark, sf):
 )
 def sca_11(spark, sf):
     clear = text.decode_payloads(text.payloads_in(F.col("html")))
-    return I.contact_pages(spark, sf).select("url", F.explode(clear).alias("email"))
+    return unnest(I.contact_pages(spark, sf), ["url"], clear, "email").drop("pos")
 
 
 @query(
@@ -252,9 +249,8 @@ def set_2(spark, sf):
     CONTACT + "SELECT url, addr AS email FROM contact WHERE v IN (4, 5, 6, 10)",
 )
 def join_6(spark, sf):
-    return C.contact_arrays(I.contact_pages(spark, sf)).select(
-        "url", F.explode("hidden_only").alias("email")
-    )
+    arrays = C.contact_arrays(I.contact_pages(spark, sf))
+    return unnest(arrays, ["url"], F.col("hidden_only"), "email").drop("pos")
 
 
 @query(

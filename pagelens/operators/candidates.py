@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.functions import fixed_values as V, text
 from pagelens.operators.facts import page_facts
+from pagelens.operators.shared import unnest
 
 
 def _locals(pairs: Column, pattern: str) -> Column:
@@ -35,10 +36,8 @@ def candidates_of(
     rows: DataFrame, body: Column, pattern: str, domain: str, keep: list
 ) -> DataFrame:
     """Candidates from any text column, with the ``keep`` columns."""
-    made = F.posexplode(candidate_emails(body, pattern, domain)).alias("pos", "email")
-    return rows.select(*keep, made).select(
-        *keep, "email", F.lit(True).alias("generated"), "pos"
-    )
+    made = unnest(rows, keep, candidate_emails(body, pattern, domain), "email")
+    return made.select(*keep, "email", F.lit(True).alias("generated"), "pos")
 
 
 def candidate_addresses(

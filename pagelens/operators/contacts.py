@@ -6,7 +6,7 @@ from pagelens.functions import text
 from pagelens.operators.candidates import candidate_emails
 from pagelens.operators.evidence import evidence_of
 from pagelens.operators.facts import page_facts, visible_text
-from pagelens.operators.shared import first_by
+from pagelens.operators.shared import first_by, unnest
 
 
 def _routes(body: Column, hidden: bool | None, tld: str) -> Column:
@@ -80,20 +80,14 @@ def _exploded(
     if evidence:
         found = evidence_of(F.col("facts.lang"), F.col("facts.text"), F.col("url"))
         extra = [F.when(F.size("__rows") > 0, found).alias("evidence")]
+    shown = ["evidence"] if evidence else []
+    listed = arrays.withColumn("__rows", rows).select(
+        *keep, F.col("url").alias("source"), "__rows", *extra
+    )
     return (
-        arrays.withColumn("__rows", rows)
-        .select(*keep, F.col("url").alias("source"), "__rows", *extra)
-        .select(
-            *keep, "source", *(["evidence"] if evidence else []), F.posexplode("__rows")
-        )
+        unnest(listed, [*keep, "source", *shown], F.col("__rows"), "row")
         .select(
-            *keep,
-            "col.email",
-            "source",
-            "col.hidden",
-            "col.generated",
-            "pos",
-            *(["evidence"] if evidence else []),
+            *keep, "row.email", "source", "row.hidden", "row.generated", "pos", *shown
         )
     )
 
@@ -138,7 +132,7 @@ def addresses_in_text(
 ) -> DataFrame:
     """SCA-7 over plain text: distinct ``email`` per ``key``."""
     found = F.array_distinct(text.emails_in(F.col(body), tld))
-    return docs.select(key, F.explode(found).alias("email"))
+    return unnest(docs, [key], found, "email").drop("pos")
 
 
 def first_seen(contacts: DataFrame, keys: list | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagelens.functions import fixed_values as V, scoring, text, urls
-from pagelens.operators.shared import attach, first_by
+from pagelens.operators.shared import attach, first_by, unnest
 
 
 def hosts_under(
@@ -100,9 +100,11 @@ def search_result_urls(
     """
     domain = F.lit(domain) if isinstance(domain, str) else domain
     pattern = rf'https?://[a-zA-Z0-9.\-]+\.{tld}[^\s"<>]*'
-    found = results.select(
-        *order, F.posexplode(F.regexp_extract_all(body, F.lit(pattern), 0)).alias("pos", "url"),
-        domain.alias("__domain"),
+    found = unnest(
+        results.withColumn("__domain", domain),
+        [*order, "__domain"],
+        F.regexp_extract_all(body, F.lit(pattern), 0),
+        "url",
     ).filter(F.contains(F.col("url"), F.col("__domain")))
     return first_by(found, ["url"], [*order, "pos"], [*order, "pos"])
 

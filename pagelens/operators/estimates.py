@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagelens.functions import fixed_values as V, stats
-from pagelens.operators.shared import attach, first_by, zero
+from pagelens.operators.shared import attach, first_by, unnest, zero
 
 ANSWERS = ("ok", "none")
 
@@ -34,18 +34,10 @@ def base_labels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace(F.lower("host"), r"^\.+|\.+$", ""), r"\.")
     named = hosts.select("host").distinct().withColumn("__parts", parts)
     size = F.size("__parts")
-    tails = named.select(
-        "host",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), size),
-                lambda n: F.struct(
-                    n.alias("len"),
-                    F.array_join(F.slice("__parts", -n, n), ".").alias("suffix"),
-                ),
-            )
-        ).alias("t"),
-    ).select("host", "t.len", "t.suffix")
+    every = F.transform(
+        F.sequence(F.lit(1), size), lambda n: F.array_join(F.slice("__parts", -n, n), ".")
+    )
+    tails = unnest(named, ["host"], every, "suffix").withColumn("len", F.col("pos") + 1)
     rules = suffixes.select("suffix", F.lit(True).alias("__rule")).distinct()
     longest = (
         attach(tails, rules, "suffix")
@@ -212,7 +204,8 @@ def latency_quantiles(
 def found_addresses(rows: DataFrame) -> DataFrame:
     """SET-4: distinct ``domain, address`` over servers."""
     return (
-        rows.select("domain", F.explode(F.split("addresses", " ")).alias("address"))
+        unnest(rows, ["domain"], F.split("addresses", " "), "address")
+        .drop("pos")
         .filter(F.col("address") != "")
         .distinct()
     )
@@ -237,7 +230,8 @@ def per_server(rows: DataFrame) -> DataFrame:
     holds most rows is not one group of raw rows.
     """
     got = (
-        rows.select("server", F.explode(F.split("addresses", " ")).alias("address"))
+        unnest(rows, ["server"], F.split("addresses", " "), "address")
+        .drop("pos")
         .filter(F.col("address") != "")
         .distinct()
         .groupBy("server")

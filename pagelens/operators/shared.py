@@ -96,6 +96,19 @@ def attach(
     )
 
 
+def unnest(
+    df: DataFrame, keep: list, values: Column, value: str, pos: str = "pos"
+) -> DataFrame:
+    """One row per array item, with its position.
+
+    A plain explode makes the optimizer add ``size(values) > 0`` below it and
+    evaluate a costly ``values`` twice more; the outer form does not.
+    """
+    return df.select(
+        *keep, F.posexplode_outer(values).alias(pos, value)
+    ).filter(F.col(pos).isNotNull())
+
+
 def first_by(
     df: DataFrame, keys: list, order: list, values: list | None = None
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagelens import schemas
 from pagelens.functions import fixed_values as V, text
-from pagelens.operators.shared import spread
+from pagelens.operators.shared import spread, unnest
 
 
 def read_pages(
@@ -48,9 +48,7 @@ def read_address_list(spark: SparkSession, path: str) -> DataFrame:
 
 def packed_names(records: DataFrame, keep: list | None = None) -> DataFrame:
     """SRC-4: one ``name`` per line of ``name_value``, in record order."""
-    return records.select(
-        *(keep or []), F.posexplode(F.split("name_value", r"\R")).alias("pos", "name")
-    )
+    return unnest(records, keep or [], F.split("name_value", r"\R"), "name")
 
 
 def read_ct_crtsh(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +59,7 @@ def read_ct_crtsh(spark: SparkSession, path: str) -> DataFrame:
 def listed_names(issuances: DataFrame, keep: list | None = None) -> DataFrame:
     """SRC-5: one ``name`` per entry of ``dns_names``; a missing list has none."""
     names = F.coalesce("dns_names", F.array().cast("array<string>"))
-    return issuances.select(*(keep or []), F.posexplode(names).alias("pos", "name"))
+    return unnest(issuances, keep or [], names, "name")
 
 
 def read_ct_certspotter(spark: SparkSession, path: str) -> DataFrame:
