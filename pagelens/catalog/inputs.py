@@ -179,7 +179,7 @@ seed AS (SELECT url, k AS rank FROM node WHERE k % 40 = 3)
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """One page per customer linking to two others, to page 0 and outside."""
     customer = table(spark, sf, "customer", "c_custkey")
-    size = customer.agg(F.count(F.lit(1)).alias("n"))
+    size = table(spark, sf, "customer").agg(F.count(F.lit(1))).scalar()
     k, n = F.col("c_custkey"), F.col("n")
 
     def link(prefix: str, number: Column) -> Column:
@@ -196,7 +196,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
         link("https://other.com/p", k),
         F.lit('<a href="mailto:a@site.cl">m</a></body></html>'),
     )
-    return customer.join(F.broadcast(size)).select(
+    return customer.withColumn("n", size).select(
         k.alias("page_id"),
         F.concat(F.lit("https://site.cl/p"), k.cast("string")).alias("url"),
         F.when(k % 17 == 5, "<html><body></body></html>").otherwise(html).alias("html"),

@@ -410,9 +410,9 @@ def top_5(spark, sf):
 )
 def win_3(spark, sf):
     """Address rows of pruned sessions stay, so their count is unchanged."""
-    left = I.session_emails(spark, sf).agg(F.count(F.lit(1)).alias("emails_left"))
+    left = I.session_emails(spark, sf).agg(F.count(F.lit(1))).scalar()
     kept = S.prune_sessions(I.sessions(spark, sf)).select("id", "target_domain")
-    return kept.join(F.broadcast(left))
+    return kept.withColumn("emails_left", left)
 
 
 @query(

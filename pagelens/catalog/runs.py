@@ -38,7 +38,7 @@ def plan_verify_list(spark, sf):
 def _site(spark, sf):
     """Contact pages that also link: each to the next two of its own number."""
     pages = I.contact_pages(spark, sf)
-    size = pages.agg(F.count(F.lit(1)).alias("n"))
+    size = I.table(spark, sf, "customer").agg(F.count(F.lit(1))).scalar()
     k, n = F.col("page_id"), F.col("n")
 
     def link(number):
@@ -47,7 +47,7 @@ def _site(spark, sf):
         )
 
     html = F.concat("html", link((k * 2 + 1) % n), link((k * 2 + 2) % n))
-    return pages.join(F.broadcast(size)).select(
+    return pages.withColumn("n", size).select(
         F.concat(F.lit("https://www.sitio.cl/p/"), k.cast("string")).alias("url"),
         html.alias("html"),
     )

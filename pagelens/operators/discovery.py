@@ -37,10 +37,12 @@ def source_fallback(found: DataFrame, asked: DataFrame) -> DataFrame:
     )
     chosen = usable.groupBy("domain").agg(F.min("source_order").alias("chosen"))
     domains = asked.groupBy("domain").agg(F.bool_or("answered").alias("answered"))
-    first = attach(usable, chosen, "domain").filter(
+    kept = chosen.join(domains, "domain")
+    first = attach(usable, kept, "domain", "inner").filter(
         F.col("source_order") == F.col("chosen")
     )
-    return domains.join(first.drop("chosen"), "domain", "left")
+    without = domains.join(chosen, "domain", "left_anti")
+    return first.drop("chosen").unionByName(without, allowMissingColumns=True)
 
 
 def live_hosts(hosts: DataFrame, probes: DataFrame) -> DataFrame:

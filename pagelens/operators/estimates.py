@@ -104,7 +104,7 @@ def outcome_counts(probes: DataFrame) -> DataFrame:
 def outcome_report(probes: DataFrame, positive: str, negative: str) -> DataFrame:
     """AGG-14 / AGG-20: one row of counts and the interval of the positives."""
     outcome = F.col("outcome")
-    rows = probes.agg(F.count(F.lit(1)).alias("rows"))
+    rows = probes.agg(F.count(F.lit(1))).scalar()
     counted = distinct_siblings(probes).agg(
         F.count(F.lit(1)).alias("distinct_domains"),
         F.count_if(outcome == positive).alias("yes"),
@@ -112,7 +112,7 @@ def outcome_report(probes: DataFrame, positive: str, negative: str) -> DataFrame
         F.count_if(outcome == "unreachable").alias("non_response"),
     )
     both = counted.withColumn("answered", F.col("yes") + F.col("no"))
-    return with_wilson(both, "yes", "answered").join(F.broadcast(rows))
+    return with_wilson(both, "yes", "answered").withColumn("rows", rows)
 
 
 def catch_all_outcomes(
@@ -266,11 +266,9 @@ def keyserver_totals(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.coalesce(is_answered(), F.lit(False))).alias("answered"),
     )
-    distinct = found_addresses(rows).select("address").distinct().agg(
-        F.count(F.lit(1)).alias("addresses")
-    )
+    distinct = found_addresses(rows).select("address").distinct()
     return (
-        asked.join(F.broadcast(distinct))
+        asked.withColumn("addresses", distinct.agg(F.count(F.lit(1))).scalar())
         .withColumn("non_response", F.col("requests") - F.col("answered"))
         .withColumn("per_request", stats.per(F.col("addresses"), F.col("answered")))
     )
@@ -284,11 +282,15 @@ def yield_gate(
     Only a definite invalid counts as dead; the interval is the live share's
     times the yield. Both inputs are one-row or verdict tables.
     """
-    live = verdicts.agg(
-        F.count(F.lit(1)).alias("verified"),
-        F.count_if(F.col("status") != "invalid").alias("live"),
+    judged = verdicts.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("verified"),
+            F.count_if(F.col("status") != "invalid").alias("live"),
+        )
+    ).scalar()
+    row = with_wilson(
+        totals.withColumn("__v", judged).select("*", "__v.*"), "live", "verified"
     )
-    row = with_wilson(totals.join(F.broadcast(live)), "live", "verified")
     share = F.col("live").cast("double") / F.nullif(F.col("verified"), F.lit(0))
     rate = F.col("per_request")
     return row.select(

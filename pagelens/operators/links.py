@@ -115,9 +115,15 @@ def cap_pages(
     last = (
         readable.orderBy("__at")
         .limit(max_pages)
-        .agg(F.max("__at").alias("__last"), F.count(F.lit(1)).alias("__n"))
+        .agg(
+            F.struct(
+                F.max("__at").alias("at"), F.count(F.lit(1)).alias("n")
+            ).alias("last")
+        )
+        .scalar()
+    )
+    return (
+        walked.withColumn("__last", last)
+        .filter((F.col("__last.n") < max_pages) | (key <= F.col("__last.at")))
+        .drop("__last")
     )
-    bounded = walked.withColumn("__at", key).join(F.broadcast(last))
-    return bounded.filter(
-        (F.col("__n") < max_pages) | (F.col("__at") <= F.col("__last"))
-    ).drop("__at", "__last", "__n")

@@ -71,8 +71,13 @@ def search(results: DataFrame, query: str) -> DataFrame:
 
 
 def sort_results(results: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """TOP-6: range sort by any column."""
-    return results.orderBy(F.desc(column) if descending else F.asc(column))
+    """TOP-6: range sort by any column.
+
+    Address and source break ties, so a status that most rows share is still
+    spread over many ranges.
+    """
+    ties = [c for c in ("email", "source") if c in results.columns and c != column]
+    return results.orderBy(F.desc(column) if descending else F.asc(column), *ties)
 
 
 def report_rows(results: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pagelens.operators import discovery as D, estimates as E
 from pagelens.operators.contacts import extract_contacts, first_seen, payload_yield
 from pagelens.functions import urls
+from pagelens.operators.shared import attach
 from pagelens.operators.verdicts import classify_addresses, unverified
 
 
@@ -55,7 +56,7 @@ def regional_scan(
     """
     resolved = D.resolve_targets(targets, live)
     found = extract_contacts(pages, tld, keep=["comuna", "crawl_seq"])
-    mine = found.join(resolved, "comuna").filter(
+    mine = attach(found, resolved, "comuna", "inner").filter(
         urls.at_host(F.col("email"), F.col("domain"))
     )
     firsts = first_seen(mine, ["comuna", "email"]).select(

@@ -63,14 +63,14 @@ def differs(spark, con, sf: str, name: str, fn, sql: str) -> str | None:
 def session():
     from pyspark.sql import SparkSession
 
-    spark = (
+    from pagelens.settings import configure
+
+    builder = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    spark = configure(builder, shuffle_partitions=8).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
