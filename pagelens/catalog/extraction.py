@@ -45,9 +45,9 @@ def job_page_facts(spark, sf):
     "sca_1_visible_text",
     r"""
     SELECT url, trim(regexp_replace(
-      replace(replace(replace(replace(regexp_replace(html,
+      regexp_replace(replace(replace(replace(regexp_replace(html,
         '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'gs'),
-        '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+        '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
       '\s+', ' ', 'g')) AS visible_text
     FROM pages
     """,
