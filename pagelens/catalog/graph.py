@@ -196,8 +196,6 @@ def _values(table: dict) -> str:
 _SCORES = {**V.BASE_SCORES}
 for _word, _value in V.ENTITY_SCORES["university"].items():
     _SCORES[_word] = max(_value, _SCORES.get(_word, 0))
-# Words that occur in the given pages, so that scores are not all zero.
-_TEST_HOST = "th"
 
 
 @query(

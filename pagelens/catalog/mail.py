@@ -4,10 +4,8 @@ from pyspark.sql import functions as F
 
 from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
-from pagelens.functions import fixed_values as V
 from pagelens.operators import estimates as E, results as R, verdicts as D
 from pagelens.operators.shared import attach
-from pagelens.sources import readers
 
 MAIL = "WITH " + I.MAIL_SQL
 

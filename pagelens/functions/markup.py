@@ -16,7 +16,7 @@ options are closed by the start tags that imply their end.
 import re
 import sys
 from html import unescape
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
@@ -29,16 +29,15 @@ from pagelens.schemas import FACTS
 # Workers receive this module with the task and need no copy of the package.
 register_pickle_by_value(sys.modules[__name__])
 
-_ATTRS = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)>?+"
 _TOKEN = re.compile(
     r"<!--(?:[^-]++|-(?!->))*+(?:-->)?+"
     r"|<[!?][^>]*+>?+"
-    r"|</([a-z][^\s/>]*+)[^>]*+>?+"
-    rf"|<(script(?=[\s/>]))(?P<sa>{_ATTRS})(?:[^<]++|<(?!/script))*+"
-    rf"|<(style(?=[\s/>]))(?P<ya>{_ATTRS})(?:[^<]++|<(?!/style))*+"
-    rf"|<([a-z][^\s/>]*+){_ATTRS}",
-    re.IGNORECASE,
+    r"|</([a-zA-Z][^\s/>]*+)[^>]*+>?+"
+    r"|<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)>?+"
 )
+_RAW_END = {
+    name: re.compile(f"</{name}", re.IGNORECASE) for name in ("script", "style")
+}
 _ATTR = re.compile(
     r"([^\s/>=][^\s/>=]*+)"
     r"(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+)?))?"
@@ -76,6 +75,9 @@ _IMPLIED_END = {
     **{tag: (frozenset(["p"]), _FLOW_ROOTS) for tag in _BLOCKS},
 }
 _MAX_DEPTH = 256
+# A rooted path that needs no normalising: no empty or dotted segment, query,
+# fragment, parameter, space or control character.
+_ROOTED = re.compile(r"(?:/[^/\\?#;.\x00-\x20\x7f-\xa0][^/\\?#;\x00-\x20\x7f-\xa0]*+)++/?")
 
 
 def _attributes(raw: str) -> dict:
@@ -148,85 +150,136 @@ class _OpenElements:
                 return
 
 
-def read_markup(html, base=None) -> dict | None:
-    """The facts of one page; ``base`` also resolves its links."""
-    if html is None:
-        return None
-    lowered = html.lower()
-    nested = any(h in lowered for h in _TREE_HINTS) or _STYLE_ATTR.search(lowered)
-    tree = _OpenElements() if nested else None
-    coded = "data-cfemail" in lowered
-    lang = None
-    texts: list = []
-    regions: list = [[]]
-    anchors: list = []
-    payloads: list = []
-
-    def text(piece: str):
-        if tree and tree.muted:
-            return
-        piece = unescape(piece) if "&" in piece else piece
-        texts.append(piece)
-        if tree:
-            regions[tree.region].append(piece)
-
-    last = 0
-    for token in _TOKEN.finditer(html):
-        if token.start() > last:
-            text(html[last:token.start()])
-        last = token.end()
-        if token.lastindex is None:
-            continue
-        end = token.group(1)
-        if end is not None:
-            if tree:
-                tree.close(end.lower())
-            continue
-        name = (token.group(2) or token.group(5) or token.group(8)).lower()
-        raw = token.group("sa") or token.group("ya") or token.group(9) or ""
-        wanted = name == "a" or (coded and "data-cfemail" in raw.lower())
-        if name == "html" and lang is None:
-            lang = _attributes(raw).get("lang", "")
-        hidden = False
+def _resolver(base: str):
+    """Resolve links against ``base``; plain rooted paths only need a prefix."""
+    try:
+        parts = urlsplit(base)
+        rooted = parts.scheme in ("http", "https") and parts.netloc
+    except ValueError:
+        rooted = False
+    prefix = f"{parts.scheme}://{parts.netloc}" if rooted else None
+
+    def resolve(href: str):
+        href = href.strip()
+        if prefix and _ROOTED.fullmatch(href):
+            return prefix + href
+        try:
+            return urljoin(base, href)
+        except ValueError:
+            return None
+
+    return resolve
+
+
+def _raw_end(name: str, html: str, start: int) -> int:
+    """Where the raw body of a script or style element ends."""
+    found = _RAW_END[name].search(html, start)
+    return found.start() if found else len(html)
+
+
+def _joined(pieces: list) -> str:
+    """Text pieces apart by a space, which also ends any open entity."""
+    whole = " ".join(pieces)
+    return unescape(whole) if "&" in whole else whole
+
+
+class _Page:
+    """Collects the facts of one page while its tags go by."""
+
+    def __init__(self, html: str, base):
+        lowered = html.lower()
+        nested = any(h in lowered for h in _TREE_HINTS) or _STYLE_ATTR.search(lowered)
+        self.tree = _OpenElements() if nested else None
+        self.coded = "data-cfemail" in lowered
+        self.resolve = _resolver(base) if base is not None else None
+        self.lang = None
+        self.texts: list = []
+        self.regions: list = [[]]
+        self.anchors: list = []
+        self.payloads: list = []
+
+    def text(self, piece: str):
+        if self.tree:
+            if self.tree.muted:
+                return
+            self.regions[self.tree.region].append(piece)
+        self.texts.append(piece)
+
+    def start(self, name: str, raw: str):
         attrs = None
-        if tree:
-            tree.imply_end(name)
+        hidden = False
+        if self.tree:
             attrs = _attributes(raw) if raw else {}
-            region = tree.region
-            if attrs and _unreadable(name, attrs):
-                regions.append([])
-                region = len(regions) - 1
-            hidden = region > 0
-            if name not in _VOID:
-                tree.push(name, region)
-        if not wanted:
-            continue
+            hidden = self._nest(name, attrs)
+        if name == "html" and self.lang is None:
+            self.lang = _attributes(raw).get("lang", "")
+        if name != "a" and not (self.coded and "data-cfemail" in raw.lower()):
+            return
         if attrs is None:
             attrs = _attributes(raw)
-        if name == "a" and "href" in attrs:
-            href = attrs["href"]
-            url = None
-            if base is not None:
-                try:
-                    url = urljoin(base, href.strip())
-                except ValueError:
-                    url = None
-            anchors.append(
-                {"href": href, "url": url, "hidden": hidden, "pos": len(anchors)}
-            )
+        href = attrs.get("href") if name == "a" else None
+        if href is not None:
+            url = self.resolve(href) if self.resolve else None
+            self.anchors.append((href, url, hidden, len(self.anchors)))
         if "data-cfemail" in attrs:
-            payloads.append({"hex": attrs["data-cfemail"], "hidden": hidden})
+            self.payloads.append((attrs["data-cfemail"], hidden))
+
+    def _nest(self, name: str, attrs: dict) -> bool:
+        """Place an element in the tree; True when a reader cannot see it."""
+        self.tree.imply_end(name)
+        region = self.tree.region
+        if attrs and _unreadable(name, attrs):
+            self.regions.append([])
+            region = len(self.regions) - 1
+        if name not in _VOID:
+            self.tree.push(name, region)
+        return region > 0
+
+    def facts(self) -> dict:
+        marked = len(self.regions) > 1
+        return {
+            "lang": self.lang,
+            "text": _joined(self.texts),
+            "visible_text": _joined(self.regions[0]) if marked else None,
+            "hidden_texts": [_joined(r) for r in self.regions[1:]],
+            "anchors": [dict(zip(_ANCHOR, a)) for a in self.anchors],
+            "payloads": [dict(zip(_PAYLOAD, p)) for p in self.payloads],
+        }
+
+
+_READ = frozenset(["a", "html"])
+_ANCHOR = ("href", "url", "hidden", "pos")
+_PAYLOAD = ("hex", "hidden")
+
+
+def read_markup(html, base=None) -> dict | None:
+    """The facts of one page; ``base`` also resolves its links."""
+    if html is None:
+        return None
+    page = _Page(html, base)
+    text, start_tag, tree = page.text, page.start, page.tree
+    every_tag = tree is not None or page.coded
+    last = at = 0
+    while at is not None:
+        tokens, at = _TOKEN.finditer(html, at), None
+        for token in tokens:
+            begin, stop = token.span()
+            if begin > last:
+                text(html[last:begin])
+            last = stop
+            end, name, raw = token.groups()
+            if name:
+                name = name.lower()
+                if every_tag or name in _READ:
+                    start_tag(name, raw)
+                if name in _RAW_END:
+                    last = at = _raw_end(name, html, stop)
+                    break
+            elif end and tree:
+                tree.close(end.lower())
     if last < len(html):
         text(html[last:])
-    marked = len(regions) > 1
-    return {
-        "lang": lang,
-        "text": " ".join(texts),
-        "visible_text": " ".join(regions[0]) if marked else None,
-        "hidden_texts": [" ".join(r) for r in regions[1:]],
-        "anchors": anchors,
-        "payloads": payloads,
-    }
+    return page.facts()
 
 
 _ARROW_FACTS = to_arrow_type(FACTS)

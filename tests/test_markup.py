@@ -1,10 +1,12 @@
 """The tokenizer: what a reader sees, what is hidden, and its cost."""
 
 import time
+from urllib.parse import urljoin
 
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from pagelens.functions.markup import read_markup
+from pagelens.functions.markup import _resolver, read_markup
 
 HIDING = [
     '<div style="display:none">t@a.cl</div>',
@@ -121,6 +123,18 @@ def test_payload_attributes():
     assert facts["payloads"] == [{"hex": "a5c4", "hidden": False}]
 
 
+_PIECES = st.lists(
+    st.sampled_from(["/", "a", "..", ".", "b.html", "?q=1", "?", "#", "#t", ";x", "ñ", " ", "\\", "//", ":", "%20"]),
+    max_size=6,
+).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(_PIECES, st.sampled_from(["https://www.a.cl/p/q?x=1", "http://a.cl", "HTTPS://A.cl:80/x/", "ftp://a.cl/", "/solo", ""]))
+def test_resolution_equals_urljoin(href, base):
+    assert _resolver(base)(href) == urljoin(base, href.strip())
+
+
 @pytest.mark.parametrize(
     "html, lang",
     [
