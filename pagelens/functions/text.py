@@ -14,9 +14,13 @@ from pagelens.functions import fixed_values as V
 _WS = r"(?U)^\s+|\s+$"
 
 
-def _run_start(chars: str) -> str:
-    """Zero-width: where a run of ``chars`` starts or the last match ended."""
-    return rf"(?:(?<!{chars})|\G)"
+# Explicit classes for white space and word ends instead of flags, which would
+# slow every character test of the address classes.
+_LOCAL = V.LOCAL_CHARS
+_HOST = V.HOST_CHARS
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WORD_END = r"(?![\p{L}\p{N}_])"
+_START = rf"(?:(?<!{_LOCAL})|\G)"
 
 
 def strip(c: Column) -> Column:
@@ -27,24 +31,31 @@ def _literal(text: str) -> str:
     return "".join(f"\\{ch}" if not ch.isalnum() else ch for ch in text)
 
 
+def _any_case(text: str) -> str:
+    """Pattern for ``text`` in any case, without a flag."""
+    return "".join(
+        f"[{ch}{ch.upper()}]" if ch.isalpha() else _literal(ch)
+        for ch in text.lower()
+    )
+
+
+def _domain(tld: str) -> str:
+    return rf"{_HOST}+{_any_case('.' + tld)}{_WORD_END}"
+
+
 def email_pattern(tld: str) -> str:
     """SCA-7: an address whose host ends in ``tld`` at a word boundary."""
-    return (
-        rf"(?iU){_run_start(V.LOCAL_CHARS)}{V.LOCAL_CHARS}++@"
-        rf"{V.HOST_CHARS}+\.{_literal(tld)}\b"
-    )
+    return rf"{_START}{_LOCAL}++@{_domain(tld)}"
 
 
 def _email_prefix(tld: str) -> str:
-    return rf"(?iU)^{V.LOCAL_CHARS}++@{V.HOST_CHARS}+\.{_literal(tld)}\b"
+    return rf"^{_LOCAL}++@{_domain(tld)}"
 
 
 def _at_pattern(tld: str) -> str:
-    return (
-        rf"(?iU){_run_start(V.LOCAL_CHARS)}{V.LOCAL_CHARS}++"
-        rf"(?:\s*+(?:\[at\]|\(at\))|\s++at\s)\s*+"
-        rf"{V.HOST_CHARS}+\.{_literal(tld)}\b"
-    )
+    bracketed = rf"{_SPACE}*+(?:\[[aA][tT]\]|\([aA][tT]\))"
+    spaced = rf"{_SPACE}++[aA][tT]{_SPACE}"
+    return rf"{_START}{_LOCAL}++(?:{bracketed}|{spaced}){_SPACE}*+{_domain(tld)}"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -77,6 +88,18 @@ def spelled_out_in(text: Column, tld: str) -> Column:
     return F.filter(joined, lambda e: starts_as_email(e, tld))
 
 
+def written_in(text: Column, tld: str) -> Column:
+    """Both written routes, tried only where the text mentions the TLD."""
+    none = F.array().cast("array<string>")
+    plain = F.when(F.contains(text, F.lit("@")), emails_in(text, tld)).otherwise(none)
+    spelled = F.when(
+        F.rlike(text, F.lit(rf"[\[(\s\x1c-\xa0\u1680-\u3000][aA][tT]{_SPACE[:-1]}\])]")),
+        spelled_out_in(text, tld),
+    ).otherwise(none)
+    mentioned = F.rlike(text, F.lit(_any_case("." + tld)))
+    return F.when(mentioned, F.concat(plain, spelled)).otherwise(none)
+
+
 def mailto_in(hrefs: Column, tld: str) -> Column:
     """SCA-8: mailto targets cut at ``?``; only their start must be an address."""
     targets = F.transform(
@@ -127,23 +150,26 @@ def decoded_in(payloads: Column, tld: str) -> Column:
     return F.filter(clear, lambda e: starts_as_email(e, tld))
 
 
+# Numeric references to letters, '#', '-', '.' and '/'.
+_CODED = (
+    r"&#(?:0*+(?:35|4[5-7]|6[5-9]|[789]\d|1[01]\d|12[0-2])(?!\d)"
+    r"|[xX]0*+(?:2[3dDeEfF]|[46][1-9a-fA-F]|[57][0-9aA])(?![0-9a-fA-F]))"
+)
+_NAMED = ("&period", "&num", "&hyphen", "&dash")
+
+
 def may_hold_email(html: Column, tld: str) -> Column:
     """Necessary condition for any address route, tested before parsing.
 
-    An address needs a literal or entity-coded ``.tld``, or a payload.
+    An address needs ``.tld`` or a payload, written out or in character
+    references. Plain substring tests come first; they cost far less than a
+    pattern and decide almost every page.
     """
-    coded = "|".join(f"0*{ord(c)}|x0*{ord(c):x}" for c in _cases("." + tld))
-    return F.rlike(
-        html,
-        F.lit(
-            rf"(?i)\.{_literal(tld)}|data-cfemail|email-protection#"
-            rf"|&period|&#(?:{coded})(?![0-9a-f])"
-        ),
-    )
-
-
-def _cases(text: str) -> list:
-    return sorted({c for ch in text for c in (ch.lower(), ch.upper())})
+    low = F.lower(html)
+    test = F.contains(low, F.lit("." + tld.lower()))
+    for mark in ("data-cfemail", "email-protection#", *_NAMED):
+        test = test | F.contains(low, F.lit(mark))
+    return test | (F.contains(html, F.lit("&#")) & F.rlike(html, F.lit(_CODED)))
 
 
 # --- accents ---------------------------------------------------------------

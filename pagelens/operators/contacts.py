@@ -35,19 +35,15 @@ def _routes(body: Column, hidden: bool | None, tld: str) -> Column:
     )
 
 
-def _written(body: Column, tld: str) -> Column:
-    return F.concat(text.emails_in(body, tld), text.spelled_out_in(body, tld))
-
-
 def contact_arrays(pages: DataFrame, tld: str = "cl") -> DataFrame:
     """Per page the sorted visible addresses and those only hidden.
 
     JOIN-6 / SET-2 / AGG-9 need no shuffle: all occurrences of an address on
     a page are in the page's own row.
     """
-    seen = _routes(_written(visible_text(), tld), False, tld)
+    seen = _routes(text.written_in(visible_text(), tld), False, tld)
     unseen = _routes(
-        F.flatten(F.transform(F.col("facts.hidden_texts"), lambda t: _written(t, tld))),
+        F.flatten(F.transform(F.col("facts.hidden_texts"), lambda t: text.written_in(t, tld))),
         True,
         tld,
     )

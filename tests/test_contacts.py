@@ -106,6 +106,27 @@ def test_decoding(spark):
     assert got == [clear for _, clear in PAYLOADS]
 
 
+CODED = [
+    '<a href="/cdn-cgi/l/email-protection&#35;{}">x</a>',
+    '<a href="/cdn-cgi/l/email-protection&num;{}">x</a>',
+    '<a href="/cdn-cgi/l/e&#x6D;ail-protection#{}">x</a>',
+    '<a href="/cdn-cgi/l/EMAIL&hyphen;protection#{}">x</a>',
+    "<SPAN DATA-CFEMAIL={}>x</SPAN>",
+]
+
+
+def test_no_coded_form_is_dropped_before_the_parse(pages):
+    htmls = [form.format(payload("a@b.cl")) for form in CODED]
+    htmls += ["<p>a@b&#46;cl</p>", "<p>a@b&#0046cl</p>", "<p>a@b&#X2E;cl</p>", "<p>a@b.&#067;L</p>",
+              "<p>a@b&period;cl</p>", "<p>a@b.C&#108;</p>"]
+    table = pages(*[(f"https://p.cl/{i}", h) for i, h in enumerate(htmls)])
+    unfiltered = C.contact_arrays(table).filter("size(visible) > 0").select("url")
+    kept = C.extract_contacts(table).select(F.col("source").alias("url"))
+    rows = lambda df: sorted(r.url for r in df.distinct().collect())
+    assert rows(kept) == rows(unfiltered)
+    assert len(rows(kept)) >= 9
+
+
 def test_hidden_payload_is_hidden(page):
     html = f'<p hidden><span data-cfemail="{payload("a@b.cl")}"></span></p>'
     assert found(C.extract_contacts(page(html))) == [("a@b.cl", True)]
