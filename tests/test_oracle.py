@@ -3,7 +3,8 @@
 import pytest
 
 import compare
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pagelens.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +14,9 @@ def con():
     return compare.oracle(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    said = compare.differs(spark, con, SF, name, queries()[name], oracle_sql()[name])
+    said = compare.differs(spark, con, SF, name, QUERIES[name], ORACLES[name])
     assert said is None, said
 
 
