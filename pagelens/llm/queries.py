@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import packing
+from pagelens.llm import idfiles, packing
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
+from pagelens.operators.shared import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -11,3 +12,9 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op9_nnls_packing")
 def op9_nnls_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_addressable_id_files")
+def op6_addressable_id_files(spark, sf_dir):
+    folder = scratch_path(spark, "ids")
+    return idfiles.round_trip(table(spark, sf_dir, "documents"), folder)
