@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import idfiles, packing
+from pagelens.llm import bytebpe, idfiles, packing
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
 
@@ -18,3 +18,14 @@ def op9_nnls_packing(spark, sf_dir):
 def op6_addressable_id_files(spark, sf_dir):
     folder = scratch_path(spark, "ids")
     return idfiles.round_trip(table(spark, sf_dir, "documents"), folder)
+
+
+@query("op4_tree_byte_bpe")
+def op4_tree_byte_bpe(spark, sf_dir):
+    encoded = bytebpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bytebpe.decode_documents(encoded).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
