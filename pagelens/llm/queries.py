@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import bytebpe, idfiles, packing
+from pagelens.llm import bytebpe, idfiles, langid, packing
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
 
@@ -29,3 +29,13 @@ def op4_tree_byte_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_cross_parsing_language")
+def op1_cross_parsing_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = langid.training_samples(docs.filter(~langid.held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), samples)
+    return found.select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"
+    )
