@@ -16,6 +16,7 @@ extra columns are ignored.
 """
 
 import base64
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -167,9 +168,15 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+@cache
+def coder_of(path: str) -> TreeBpe:
+    """The coder of this worker process, so that tasks share its memo."""
+    return TreeBpe(read_ranks(path))
+
+
 def _mapped(df: DataFrame, column: str, out: str, path: str, work) -> DataFrame:
     def run(batches):
-        coder = TreeBpe(read_ranks(path))
+        coder = coder_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_DOCS):
                 part = batch.slice(at, OUT_DOCS)

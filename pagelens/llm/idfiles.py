@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagelens.llm.words import WORD_TOKENIZER, WordEncoder
+from pagelens.llm.words import WORD_TOKENIZER, word_encoder
 from pagelens.operators.shared import cut
 
 MAGIC = b"PLDAC001"
@@ -161,7 +161,7 @@ def write_id_files(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         store, root = _filesystem(folder)
         part = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex

@@ -240,9 +240,6 @@ def training_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str
     return samples
 
 
-_FOUND = "lang_pred string, score double"
-
-
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """Adds ``lang_pred`` and ``score``; only ``text`` is looked at.
 
@@ -268,7 +265,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             ["lang_pred", "score"],
         )
 
-    udf = F.arrow_udf(predict, f"struct<lang_pred: string, score: double>")
+    udf = F.arrow_udf(predict, "struct<lang_pred: string, score: double>")
     found = docs.withColumn("__found", udf.asNondeterministic()("text"))
     return found.select(
         *docs.columns,

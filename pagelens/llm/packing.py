@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pagelens.llm.words import WORD_TOKENIZER, WordEncoder
+from pagelens.llm.words import WORD_TOKENIZER, word_encoder
 from pagelens.operators.shared import cut
 
 WINDOW = 2048
@@ -59,7 +59,7 @@ def token_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             rows = [[] for _ in schema.fields]
             encoded = encoder.encode(batch.column(1).to_pylist())

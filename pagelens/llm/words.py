@@ -6,6 +6,7 @@ heavily; the library encodes each one once while it stays in the memo.
 """
 
 import os
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ import public_tokenizers
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Parts held per generation of the memo; two generations are held at most.
-MEMO_PARTS = 300_000
+MEMO_PARTS = 500_000
 # Characters of text whose parts are looked up together.
 SLICE_CHARS = 2_000_000
 
@@ -78,3 +79,9 @@ class WordEncoder:
         self._ready(split)
         lookup = self._memo.__getitem__
         return [b"".join(map(lookup, parts)) for parts in split]
+
+
+@cache
+def word_encoder(path: str = WORD_TOKENIZER) -> WordEncoder:
+    """The encoder of this worker process, so that tasks share its memo."""
+    return WordEncoder(path)
