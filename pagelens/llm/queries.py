@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import bytebpe, idfiles, langid, packing
+from pagelens.llm import bytebpe, idfiles, langid, packing, sharding
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
 
@@ -39,3 +39,22 @@ def op1_cross_parsing_language(spark, sf_dir):
     return found.select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op10_hypergeometric_shards")
+def op10_hypergeometric_shards(spark, sf_dir):
+    text = F.col("text").cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(text), F.crc32(F.lit(b""))).alias("text_crc32"),
+    )
+    return sharding.shuffle_into_shards(rows, 8, ["doc_id"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
