@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import bytebpe, idfiles, langid, packing, sharding
+from pagelens.llm import bytebpe, idfiles, langid, packing, sharding, vectors
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
 
@@ -58,3 +58,8 @@ def op10_hypergeometric_shards(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_epsilon_grid_order_join")
+def op7_epsilon_grid_order_join(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
