@@ -23,7 +23,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -187,8 +187,8 @@ def _mapped(df: DataFrame, column: str, out: str, path: str, work) -> DataFrame:
                 )
 
     chosen = df.select("doc_id", column)
-    schema = chosen.schema.add(out, "binary")
-    return chosen.mapInArrow(run, schema)
+    fields = [*chosen.schema.fields, T.StructField(out, T.BinaryType())]
+    return chosen.mapInArrow(run, T.StructType(fields))
 
 
 def encode_documents(docs: DataFrame, path: str = RANKS) -> DataFrame:

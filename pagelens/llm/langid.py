@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 SAMPLE_CHARS = 40_000
 # Rows considered for the sample of one language; a text gives no more than
 # this share of the sample, so that it is not one long document.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 100
 LANE = 2048
 # Symbols parsed at once; bounds a task's memory.
 STEP_SYMBOLS = 4_000_000
