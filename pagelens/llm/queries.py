@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import bytebpe, idfiles, langid, packing, sharding, vectors
+from pagelens.llm import bytebpe, idfiles, langid, packing, setjoin, sharding, vectors
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
 
@@ -63,3 +63,9 @@ def op10_hypergeometric_shards(spark, sf_dir):
 @query("op7_epsilon_grid_order_join")
 def op7_epsilon_grid_order_join(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_set_relation_join")
+def op8_set_relation_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return setjoin.near_duplicate_groups(docs, size=3, num=90, den=100)
