@@ -38,6 +38,36 @@ def _plain(part: str) -> tuple[str, str]:
     return (part, "") if plain == part else (plain, mark)
 
 
+def _kinds() -> bytes:
+    """Per Latin-1 character: space, letter or digit, or other."""
+    kinds = bytearray(256)
+    for code in range(256):
+        c = chr(code)
+        space = c in " \t\n\v\f\r\x85\xa0"
+        kinds[code] = ord(" " if space else "a" if c.isalnum() else "!")
+    return bytes(kinds)
+
+
+_KINDS = _kinds()
+
+
+def _parts(text: str) -> list[str]:
+    """Space-separated parts with the ids of the text.
+
+    In Latin-1 text without two marks in a row, letters may be lowered and a
+    comma or full stop set apart: the tokenizer does the same to each letter,
+    and a single mark is a token of its own. That leaves fewer different parts.
+    """
+    spaced = text.replace("\n", " ")
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return spaced.split(" ")
+    if b"!!" in kinds:
+        return spaced.split(" ")
+    return spaced.lower().replace(", ", " , ").replace(". ", " . ").split(" ")
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
@@ -51,6 +81,9 @@ class WordEncoder:
 
         self._lib = Tokenizer.from_file(path)
         self._lib.encode_special_tokens = True
+        # For words that normalising does not change.
+        self._bare = Tokenizer.from_file(path)
+        self._bare.normalizer = None
         vocabulary = self._lib.get_vocab(with_added_tokens=False)
         self._closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -62,9 +95,9 @@ class WordEncoder:
 
         The tokens of such a word end with the one that carries the word end.
         """
-        words = [p for p in parts if p.isalpha() and max(p) < "\u0300" and "\u0130" not in p]
+        words = [p for p in parts if p.isalpha() and p.islower() and max(p) < "\u0300"]
         joined = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-        found = self._lib.encode_batch_fast(joined, add_special_tokens=False)
+        found = self._bare.encode_batch_fast(joined, add_special_tokens=False)
         ids = np.concatenate(
             [np.empty(0, "<u4"), *(np.array(x.ids, "<u4") for x in found)]
         ).astype("<u4")
@@ -122,7 +155,7 @@ class WordEncoder:
         split: list[list[str]] = []
         held = 0
         for text in texts:
-            parts = (text or "").replace("\n", " ").split(" ")
+            parts = _parts(text or "")
             split.append(parts)
             held += len(text or "")
             if held >= SLICE_CHARS:
