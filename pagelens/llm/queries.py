@@ -2,7 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import bytebpe, idfiles, langid, packing, setjoin, sharding, vectors
+from pagelens.llm import (
+    bytebpe,
+    idfiles,
+    imatch,
+    langid,
+    packing,
+    setjoin,
+    sharding,
+    vectors,
+)
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
 
@@ -69,3 +78,16 @@ def op7_epsilon_grid_order_join(spark, sf_dir):
 def op8_set_relation_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return setjoin.near_duplicate_groups(docs, size=3, num=90, den=100)
+
+
+@query("op5_imatch_fingerprints", imatch.COMPARED_SQL)
+def op5_imatch_fingerprints(spark, sf_dir):
+    return imatch.compared(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
