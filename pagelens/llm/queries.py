@@ -10,6 +10,7 @@ from pagelens.llm import (
     packing,
     setjoin,
     sharding,
+    surrogates,
     vectors,
 )
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
@@ -91,3 +92,9 @@ def op5_imatch_fingerprints(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+@query("op3_surrogate_pii")
+def op3_surrogate_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs)
