@@ -7,6 +7,7 @@ from pagelens.llm import (
     idfiles,
     imatch,
     langid,
+    licences,
     packing,
     setjoin,
     sharding,
@@ -98,3 +99,10 @@ def op5_imatch_fingerprints(spark, sf_dir):
 def op3_surrogate_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs)
+
+
+@query("op2_licence_paragraphs")
+def op2_licence_paragraphs(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop(
+        "text"
+    )
