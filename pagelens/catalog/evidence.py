@@ -293,13 +293,13 @@ def sca_20(spark, sf):
     _NAMED_SQL
     + """
     SELECT k, preset, email FROM (SELECT k, unnest([
-      {preset: 'felipe.carvajal', email: f || '.' || l},
-      {preset: 'fcarvajal', email: f[1] || l},
-      {preset: 'f.carvajal', email: f[1] || '.' || l},
-      {preset: 'felipe_carvajal', email: f || '_' || l},
-      {preset: 'carvajal.felipe', email: l || '.' || f},
-      {preset: 'carvajalf', email: l || f[1]},
-      {preset: 'felipe', email: f}], recursive := true) FROM s)
+      {preset: 'first.last', email: f || '.' || l},
+      {preset: 'flast', email: f[1] || l},
+      {preset: 'f.last', email: f[1] || '.' || l},
+      {preset: 'first_last', email: f || '_' || l},
+      {preset: 'last.first', email: l || '.' || f},
+      {preset: 'lastf', email: l || f[1]},
+      {preset: 'first', email: f}], recursive := true) FROM s)
     """.replace("|| l}", "|| l || '@e.cl'}")
     .replace("|| f}", "|| f || '@e.cl'}")
     .replace("f[1]}", "f[1] || '@e.cl'}")

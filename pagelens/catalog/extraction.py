@@ -98,13 +98,13 @@ def sca_3(spark, sf):
 
 @query(
     "sca_5_followable",
-    "WITH " + I.RESPONSE_SQL + "SELECT k, v = 5 AS followable FROM response",
+    "WITH " + I.RESPONSE_SQL + "SELECT k, v = 5 AND NOT bodiless AS followable FROM response",
 )
 def sca_5(spark, sf):
     from pagelens.operators.facts import followable
 
     return page_facts(I.responses(spark, sf)).select(
-        "k", followable(F.col("facts.anchors")).alias("followable")
+        "k", F.coalesce(followable(F.col("facts.anchors")), F.lit(False)).alias("followable")
     )
 
 

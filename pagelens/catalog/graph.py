@@ -18,7 +18,7 @@ SNAPSHOT = "WITH RECURSIVE " + I.SNAPSHOT_SQL
 
 @query(
     "flt_9_wall_filter",
-    RESPONSE + "SELECT k, url, status FROM response JOIN judged USING (k, url) WHERE wall_vendor IS NULL",
+    RESPONSE + "SELECT k, url, status FROM judged WHERE outcome = 'read'",
 )
 def flt_9(spark, sf):
     return readable(I.responses(spark, sf)).select("k", "url", "status")
@@ -26,13 +26,13 @@ def flt_9(spark, sf):
 
 @query(
     "flt_10_wall_vendor",
-    RESPONSE + "SELECT k, wall_vendor FROM judged WHERE wall_vendor IS NOT NULL",
+    RESPONSE + "SELECT k, wall_vendor, outcome FROM judged WHERE outcome <> 'read'",
 )
 def flt_10(spark, sf):
     return (
         with_walls(I.responses(spark, sf))
-        .filter("wall_vendor IS NOT NULL")
-        .select("k", "wall_vendor")
+        .filter("outcome <> 'read'")
+        .select("k", "wall_vendor", "outcome")
     )
 
 
@@ -40,8 +40,8 @@ def flt_10(spark, sf):
     "agg_4_page_counts",
     RESPONSE
     + """
-    SELECT run, count(*) FILTER (wall_vendor IS NULL) AS pages_read,
-           count(*) FILTER (wall_vendor IS NOT NULL) AS pages_blocked
+    SELECT run, count(*) FILTER (outcome = 'read') AS pages_read,
+           count(*) FILTER (outcome = 'blocked') AS pages_blocked
     FROM judged GROUP BY run
     """,
 )
@@ -53,33 +53,29 @@ def agg_4(spark, sf):
     "agg_5_wall_report",
     RESPONSE
     + """
-    , r AS (SELECT * FROM judged UNION ALL
-            SELECT k, url, 100 + (k % 9)::INT, wall_vendor FROM judged
-            WHERE (k % 9 < 4 AND wall_vendor IS NOT NULL) OR (k % 9 = 4 AND wall_vendor IS NULL)),
+    , r AS (SELECT run, outcome, wall_vendor FROM judged UNION ALL
+            SELECT 100 + (k % 9)::INT, outcome, wall_vendor FROM judged
+            WHERE (k % 9 < 4 AND outcome <> 'read') OR (k % 9 = 4 AND outcome <> 'blocked')),
     c AS (
-      SELECT run, count(*) FILTER (wall_vendor IS NULL) AS pages_read,
-             count(*) FILTER (wall_vendor IS NOT NULL) AS pages_blocked,
+      SELECT run, count(*) FILTER (outcome = 'read') AS pages_read,
+             count(*) FILTER (outcome = 'blocked') AS pages_blocked,
              coalesce(array_to_string(list_sort(list(DISTINCT wall_vendor)
                FILTER (wall_vendor <> '')), ', '), '') AS names
       FROM r GROUP BY run)
     SELECT run, pages_read, pages_blocked,
-      CASE WHEN pages_blocked = 0 THEN ''
-      WHEN pages_read > 0 THEN pages_blocked || ' pagina'
-        || CASE WHEN pages_blocked > 1 THEN 's' ELSE '' END || ' no se pudo leer'
-        || CASE WHEN names = '' THEN '' ELSE ' (' || names || ')' END
-        || '. Lo encontrado no cubre esa parte del sitio.'
-      ELSE 'Ninguna pagina se pudo leer'
-        || CASE WHEN names = '' THEN '' ELSE ' (' || names || ')' END
-        || ': el sitio respondio con un desafio anti-bot o una pagina vacia. '
-        || 'El resultado no significa que el sitio no tenga correos.' END AS report
+      CASE WHEN pages_blocked = 0 THEN '' ELSE replace(replace(replace(
+        CASE WHEN pages_read > 0 THEN '""" + V.WALLS_PARTIAL + """' ELSE '""" + V.WALLS_TOTAL + """' END,
+        '{n}', pages_blocked::VARCHAR), '{plural}', CASE WHEN pages_blocked > 1 THEN 's' ELSE '' END),
+        '{vendors}', CASE WHEN names = '' THEN '' ELSE ' (' || names || ')' END) END AS report
     FROM c
     """,
 )
 def agg_5(spark, sf):
-    judged = with_walls(I.responses(spark, sf)).select("k", "run", "wall_vendor")
-    ninth = F.col("k") % 9
-    blocked = F.col("wall_vendor").isNotNull()
-    more = judged.filter(((ninth < 4) & blocked) | ((ninth == 4) & ~blocked)).withColumn(
+    judged = with_walls(I.responses(spark, sf)).select("k", "run", "wall_vendor", "outcome")
+    ninth, outcome = F.col("k") % 9, F.col("outcome")
+    more = judged.filter(
+        ((ninth < 4) & (outcome != "read")) | ((ninth == 4) & (outcome != "blocked"))
+    ).withColumn(
         "run", (ninth + 100).cast("int")
     )
     return wall_report(judged.unionByName(more), ["run"])
@@ -289,21 +285,27 @@ def top_1(spark, sf):
 
 _WALK_SQL = SNAPSHOT + """
 , step AS (
-  SELECT e.src, e.dst AS url, e.pos, n.wall FROM edge e JOIN node n ON n.url = e.dst),
-d0 AS (SELECT s.url, n.wall, lpad(rank::VARCHAR, 12, '0') AS path FROM seed s JOIN node n USING (url)),
-d1 AS (SELECT s.url, any_value(s.wall) AS wall, min(d.path || '.' || s.pos) AS path
-  FROM d0 d JOIN step s ON s.src = d.url WHERE NOT d.wall
+  SELECT e.src, e.dst AS url, e.pos, n.wall, n.failed FROM edge e JOIN node n ON n.url = e.dst),
+d0 AS (SELECT s.url, n.wall, n.failed, lpad(rank::VARCHAR, 12, '0') AS path FROM seed s JOIN node n USING (url)),
+d1 AS (SELECT s.url, any_value(s.wall) AS wall, any_value(s.failed) AS failed, min(d.path || '.' || s.pos) AS path
+  FROM d0 d JOIN step s ON s.src = d.url WHERE NOT d.wall AND NOT d.failed
   AND s.url NOT IN (SELECT url FROM d0) GROUP BY s.url),
-d2 AS (SELECT s.url, any_value(s.wall) AS wall, min(d.path || '.' || s.pos) AS path
-  FROM d1 d JOIN step s ON s.src = d.url WHERE NOT d.wall
+d2 AS (SELECT s.url, any_value(s.wall) AS wall, any_value(s.failed) AS failed, min(d.path || '.' || s.pos) AS path
+  FROM d1 d JOIN step s ON s.src = d.url WHERE NOT d.wall AND NOT d.failed
   AND s.url NOT IN (SELECT url FROM d0 UNION ALL SELECT url FROM d1) GROUP BY s.url),
-d3 AS (SELECT s.url, any_value(s.wall) AS wall, min(d.path || '.' || s.pos) AS path
-  FROM d2 d JOIN step s ON s.src = d.url WHERE NOT d.wall
+d3 AS (SELECT s.url, any_value(s.wall) AS wall, any_value(s.failed) AS failed, min(d.path || '.' || s.pos) AS path
+  FROM d2 d JOIN step s ON s.src = d.url WHERE NOT d.wall AND NOT d.failed
   AND s.url NOT IN (SELECT url FROM d0 UNION ALL SELECT url FROM d1
     UNION ALL SELECT url FROM d2) GROUP BY s.url),
+steps AS (
+  SELECT url, 0 AS depth, path, wall, failed FROM d0
+  UNION ALL SELECT url, 1, path, wall, failed FROM d1
+  UNION ALL SELECT url, 2, path, wall, failed FROM d2
+  UNION ALL SELECT url, 3, path, wall, failed FROM d3),
 walk AS (
-  SELECT url, 0 AS depth, path, wall FROM d0 UNION ALL SELECT url, 1, path, wall FROM d1
-  UNION ALL SELECT url, 2, path, wall FROM d2 UNION ALL SELECT url, 3, path, wall FROM d3)
+  SELECT url, depth, path,
+         CASE WHEN failed THEN 'failed' WHEN wall THEN 'blocked' ELSE 'read' END AS outcome
+  FROM steps)
 """
 
 
@@ -314,9 +316,7 @@ def _walk(spark, sf, **options):
     head = F.lpad(F.element_at("path", 1).cast("string"), 12, "0")
     tail = F.array_join(F.slice("path", 2, 10).cast("array<string>"), ".")
     path = F.when(F.size("path") == 1, head).otherwise(F.concat_ws(".", head, tail))
-    return walked.select(
-        "url", "depth", path.alias("path"), F.col("wall_vendor").isNotNull().alias("wall")
-    )
+    return walked.select("url", "depth", path.alias("path"), "outcome")
 
 
 @query("job_crawl_frontier", _WALK_SQL + "SELECT * FROM walk")
@@ -328,11 +328,11 @@ def job_crawl_frontier(spark, sf):
     "top_4_max_pages",
     _WALK_SQL
     + """
-    , numbered AS (SELECT *, count(*) FILTER (NOT wall) OVER (ORDER BY depth, path
+    , numbered AS (SELECT *, count(*) FILTER (outcome = 'read') OVER (ORDER BY depth, path
         ROWS UNBOUNDED PRECEDING) AS read FROM walk)
-    SELECT url, depth, path, wall FROM numbered
+    SELECT url, depth, path, outcome FROM numbered
     WHERE read < (SELECT count(*) // 12 FROM customer)
-       OR (read = (SELECT count(*) // 12 FROM customer) AND NOT wall)
+       OR (read = (SELECT count(*) // 12 FROM customer) AND outcome = 'read')
     """,
 )
 def top_4(spark, sf):
@@ -345,12 +345,13 @@ def top_4(spark, sf):
     SNAPSHOT
     + """
     SELECT DISTINCT e.dst AS url FROM edge e JOIN seed s ON s.url = e.src
-    WHERE e.dst NOT IN (SELECT url FROM seed)
+      JOIN node f ON f.url = e.src JOIN node n ON n.url = e.dst
+    WHERE NOT f.wall AND NOT f.failed AND e.dst NOT IN (SELECT url FROM seed)
     """,
 )
 def join_10(spark, sf):
-    seeds = I.snapshot_seeds(spark, sf)
-    reached = L.link_edges(I.snapshot(spark, sf)).join(
-        seeds.select(F.col("url").alias("src")), "src", "left_semi"
-    ).select(F.col("dst").alias("url")).distinct()
-    return reached.join(seeds, "url", "left_anti")
+    """What one round of the walk adds: pages not visited before."""
+    walked = scan.walk_snapshot(
+        I.snapshot(spark, sf), I.snapshot_seeds(spark, sf), max_depth=1
+    )
+    return walked.filter("depth = 1").select("url")

@@ -111,22 +111,25 @@ def contact_pages(spark: SparkSession, sf: str) -> DataFrame:
 RESPONSE_SQL = """
 response AS (
   SELECT c_custkey AS k, 'https://h' || (c_custkey % 7) || '.cl/' || c_custkey AS url,
-         CASE WHEN c_custkey % 9 = 8 THEN 404 WHEN c_custkey % 2 = 0 THEN 200
-              ELSE 202 END AS status,
+         CASE WHEN c_custkey % 9 = 8 THEN 404 WHEN c_custkey % 13 = 5 THEN 500
+              WHEN c_custkey % 2 = 0 THEN 200 ELSE 202 END AS status,
+         c_custkey % 17 = 6 AS bodiless,
          c_custkey % 8 AS v, c_nationkey AS run
   FROM customer),
 judged AS (
-  SELECT k, url, run,
-         CASE WHEN status = 404 THEN NULL
+  SELECT *, CASE WHEN status NOT BETWEEN 200 AND 299 OR bodiless THEN 'failed'
+                 WHEN wall_vendor IS NULL THEN 'read' ELSE 'blocked' END AS outcome FROM (
+  SELECT k, url, run, status, bodiless,
+         CASE WHEN status NOT BETWEEN 200 AND 299 OR bodiless THEN NULL
               WHEN v = 0 THEN 'SiteGround' WHEN v = 1 THEN 'Cloudflare'
               WHEN v = 2 THEN '' WHEN v = 3 THEN 'Sucuri' WHEN v = 6 THEN ''
          END AS wall_vendor
-  FROM response)
+  FROM response))
 """
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """One recorded response per customer, eight shapes of body."""
+    """One recorded response per customer: eight shapes of body, failures, none."""
     k = F.col("c_custkey")
     bodies = [
         '<html><head><meta http-equiv="refresh" content="0;/.well-known/sgcaptcha/'
@@ -147,11 +150,16 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(
             F.lit("https://h"), (k % 7).cast("string"), F.lit(".cl/"), k.cast("string")
         ).alias("url"),
-        F.when(k % 9 == 8, 404).when(k % 2 == 0, 200).otherwise(202).alias("status"),
-        F.when(k % 8 == 3, F.create_map(F.lit("x-sucuri-block"), F.lit("1")))
-        .otherwise(F.create_map(F.lit("server"), F.lit("nginx")))
+        F.when(k % 9 == 8, 404)
+        .when(k % 13 == 5, 500)
+        .when(k % 2 == 0, 200)
+        .otherwise(202)
+        .alias("status"),
+        F.when(k % 16 == 3, F.create_map(F.lit("x-sucuri-block"), F.lit("1")))
+        .when(k % 8 == 3, F.create_map(F.lit("X-Sucuri-Block"), F.lit("1")))
+        .otherwise(F.create_map(F.lit("Server"), F.lit("nginx")))
         .alias("headers"),
-        body.alias("html"),
+        F.when(k % 17 != 6, body).alias("html"),
         k.alias("crawl_seq"),
         F.col("c_nationkey").alias("run"),
     )
@@ -163,6 +171,7 @@ SNAPSHOT_SQL = """
 node AS (
   SELECT c_custkey AS k, 'https://site.cl/p' || c_custkey AS url,
          c_custkey % 17 = 5 AS wall,
+         c_custkey % 19 = 4 OR c_custkey % 23 = 7 OR c_custkey % 29 = 9 AS failed,
          (SELECT count(*) FROM customer) AS n FROM customer),
 edge AS (
   SELECT url AS src, pos, CASE pos
@@ -171,13 +180,18 @@ edge AS (
            WHEN 2 THEN 'https://site.cl/p0'
            WHEN 3 THEN 'https://site.cl/missing' || k
            ELSE 'https://other.com/p' || k END AS dst
-  FROM node, (VALUES (0), (1), (2), (3), (4)) AS p(pos) WHERE NOT wall),
+  FROM node, (VALUES (0), (1), (2), (3), (4)) AS p(pos)
+  WHERE NOT (wall AND NOT failed) AND k % 29 <> 9),
 seed AS (SELECT url, k AS rank FROM node WHERE k % 40 = 3)
 """
 
 
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """One page per customer linking to two others, to page 0 and outside."""
+    """One page per customer linking to two others, to page 0 and outside.
+
+    Some are walls, some answered 404 or 500 with links in the body, some have
+    no body.
+    """
     customer = table(spark, sf, "customer", "c_custkey")
     size = table(spark, sf, "customer").agg(F.count(F.lit(1))).scalar()
     k, n = F.col("c_custkey"), F.col("n")
@@ -199,11 +213,19 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return customer.withColumn("n", size).select(
         k.alias("page_id"),
         F.concat(F.lit("https://site.cl/p"), k.cast("string")).alias("url"),
-        F.when(k % 17 == 5, "<html><body></body></html>").otherwise(html).alias("html"),
+        F.when(k % 29 == 9, None)
+        .when((k % 17 == 5) & ~_failed(k), "<html><body></body></html>")
+        .otherwise(html)
+        .alias("html"),
+        F.when(k % 19 == 4, 404).when(k % 23 == 7, 500).otherwise(200).alias("status"),
         k.alias("crawl_seq"),
     )
 
 
+def _failed(k: Column) -> Column:
+    return (k % 19 == 4) | (k % 23 == 7) | (k % 29 == 9)
+
+
 def snapshot_seeds(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     return (

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
+from pagelens.functions import fixed_values as V
 from pagelens.operators import estimates as E, results as R, verdicts as D
 from pagelens.operators.shared import attach
 
@@ -353,13 +354,14 @@ def sca_24(spark, sf):
 @query(
     "flt_17_unverified_status",
     MAIL
-    + """
+    + f"""
     SELECT email, 'unverified' AS status, '' AS error, 'off' AS mode FROM address
     UNION ALL SELECT email, CASE WHEN c_custkey % 5 = 0 THEN 'unknown'
         WHEN NOT syntax_ok THEN 'invalid' ELSE 'unknown' END,
       CASE WHEN c_custkey % 5 = 0 THEN 'verification timed out'
-        WHEN NOT syntax_ok THEN 'Invalid email format' ELSE '' END, 'on'
-    FROM address JOIN mx_verdict USING (domain) WHERE mx_outcome = 'mx'
+        WHEN NOT syntax_ok THEN 'Invalid email format'
+        WHEN mx_outcome = 'mx' THEN '' ELSE '{V.ERR_MX_LOOKUP}' END, 'on'
+    FROM address LEFT JOIN mx_verdict USING (domain)
     """,
 )
 def flt_17(spark, sf):
@@ -369,9 +371,11 @@ def flt_17(spark, sf):
         mails, D.mx_verdicts(I.mx_observations(spark, sf)), smtp_enabled=False
     )
     late = D.unverified(judged, F.col("c_custkey") % 5 == 0)
-    seen = I.mx_observations(spark, sf).filter("outcome = 'mx'").select("domain").distinct()
-    domain = F.regexp_extract("email", r"([a-z]+\.cl)$", 1)
-    on = late.withColumn("domain", domain).join(seen, "domain", "left_semi")
+    # The host's own words after the reason differ by transport.
+    reason = F.when(
+        F.col("error").startswith(V.ERR_MX_LOOKUP), V.ERR_MX_LOOKUP
+    ).otherwise(F.col("error"))
+    on = late.withColumn("error", reason)
     return off.select("email", "status", "error", F.lit("off").alias("mode")).unionByName(
         on.select("email", "status", "error", F.lit("on").alias("mode"))
     )

@@ -298,20 +298,16 @@ def snk_7(spark, sf):
     SELECT o_custkey AS id, '@' || (o_custkey % 9) || '.cl' AS target_domain,
       string_agg('https://s.cl/' || o_orderkey, ',' ORDER BY o_orderkey) AS seed_urls,
       0 AS total_found, 0 AS total_valid
-    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
-    WHERE r <= 20 GROUP BY o_custkey
+    FROM orders GROUP BY o_custkey
     """,
 )
 def snk_8(spark, sf):
-    from pagelens.operators.discovery import first_k
-
     seeds = I.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("id"),
         F.concat(F.lit("https://s.cl/"), F.col("o_orderkey").cast("string")).alias("url"),
         F.col("o_orderkey").alias("rank"),
     )
-    capped = first_k(seeds, ["id"], ["rank"], V.MAX_SEEDS)
-    rows = S.session_rows(I.sessions(spark, sf).select("id", "target_domain"), capped)
+    rows = S.session_rows(I.sessions(spark, sf).select("id", "target_domain"), seeds)
     path = scratch_path(spark, "snk8")
     writers.append_table(rows, path)
     return spark.read.schema(schemas.SESSIONS).parquet(path).drop("created_at")

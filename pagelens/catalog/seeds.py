@@ -283,7 +283,7 @@ def _municipalities(spark):
 
 @query("sca_28_entity", _ORG_SQL + f"SELECT k, {_ENTITY_OF} AS entity FROM o")
 def sca_28(spark, sf):
-    return D.with_entity(_orgs(spark, sf), _municipalities(spark)).select("k", "entity")
+    return D.with_entity(_orgs(spark, sf)).select("k", "entity")
 
 
 @query(
@@ -303,7 +303,7 @@ def join_1(spark, sf):
 )
 def job_entity_type(spark, sf):
     return (
-        D.with_entity(_orgs(spark, sf), _municipalities(spark))
+        D.with_entity(_orgs(spark, sf))
         .groupBy("entity")
         .agg(F.count(F.lit(1)).alias("domains"))
     )
@@ -314,7 +314,7 @@ def job_entity_type(spark, sf):
     "SELECT c_custkey AS k, lower(c_mktsegment) || '.cl' AS domain FROM customer",
 )
 def sca_30(spark, sf):
-    raw = F.concat(F.lit("@@"), F.col("c_mktsegment"), F.lit(".CL  "))
+    raw = F.concat(F.lit("@@"), F.col("c_mktsegment"), F.lit(".CL \t\n"))
     return I.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("k"), urls.domain_norm(raw).alias("domain")
     )

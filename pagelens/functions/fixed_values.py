@@ -94,13 +94,13 @@ FIRST_NAMES = [
 ]
 NAME_ACCENTS = ("áéíóúüñ", "aeiouun")
 PATTERN_PRESETS = [
-    ("felipe.carvajal", "{first}.{last}"),
-    ("fcarvajal", "{f}{last}"),
-    ("f.carvajal", "{f}.{last}"),
-    ("felipe_carvajal", "{first}_{last}"),
-    ("carvajal.felipe", "{last}.{first}"),
-    ("carvajalf", "{last}{f}"),
-    ("felipe", "{first}"),
+    ("first.last", "{first}.{last}"),
+    ("flast", "{f}{last}"),
+    ("f.last", "{f}.{last}"),
+    ("first_last", "{first}_{last}"),
+    ("last.first", "{last}.{first}"),
+    ("lastf", "{last}{f}"),
+    ("first", "{first}"),
 ]
 
 # --- verification -------------------------------------------------------------
@@ -270,12 +270,6 @@ SLUG_ACCENTS = ("áéíóúñ", "aeioun")
 
 # --- reports -------------------------------------------------------------------
 STATUSES = ["valid", "catch_all", "unknown", "invalid"]
-SUMMARY_LABELS = {
-    "valid": "Válidos",
-    "catch_all": "Acepta todo",
-    "unknown": "Desconocidos",
-    "invalid": "Inválidos",
-}
 ROW_LABELS = {
     "valid": "Válido",
     "catch_all": "Acepta todo",

@@ -74,7 +74,6 @@ _IMPLIED_END = {
     "th": (_CELL, frozenset(["tr", "table"])),
     **{tag: (frozenset(["p"]), _FLOW_ROOTS) for tag in _BLOCKS},
 }
-_MAX_DEPTH = 256
 # A rooted path that needs no normalising: no empty or dotted segment, query,
 # fragment, parameter, space or control character.
 _ROOTED = re.compile(r"(?:/[^/\\?#;.\x00-\x20\x7f-\xa0][^/\\?#;\x00-\x20\x7f-\xa0]*+)++/?")
@@ -116,38 +115,39 @@ class _OpenElements:
 
     def __init__(self):
         self.stack: list = []
-        self.count: dict = {}
+        # Per tag name the places of its open elements in the stack.
+        self.places: dict = {}
         self.region = 0
         self.muted = 0
 
     def push(self, name: str, region: int):
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, self.region))
-        self.count[name] = self.count.get(name, 0) + 1
         self.muted += name in _NO_TEXT
         self.region = region
 
     def pop(self) -> str:
         name, self.region = self.stack.pop()
-        self.count[name] -= 1
+        self.places[name].pop()
         self.muted -= name in _NO_TEXT
         return name
 
     def close(self, name: str):
-        if self.count.get(name):
+        if self.places.get(name):
             while self.pop() != name:
                 pass
 
     def imply_end(self, name: str):
         ended, shields = _IMPLIED_END.get(name, ((), ()))
-        if not any(self.count.get(e) for e in ended):
-            return
-        for back, (open_name, _) in enumerate(reversed(self.stack[-_MAX_DEPTH:]), 1):
-            if open_name in shields:
-                return
-            if open_name in ended:
-                for _ in range(back):
-                    self.pop()
-                return
+        last = self._last(ended)
+        if last > self._last(shields):
+            while len(self.stack) > last:
+                self.pop()
+
+    def _last(self, names) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        places = self.places
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
 
 def _resolver(base: str):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from pagelens.functions import fixed_values as V
+from pagelens.functions import fixed_values as V, text
 
 
 def _any_of(text: Column, words: list) -> Column:
@@ -14,7 +14,7 @@ def _any_of(text: Column, words: list) -> Column:
 
 def entity(domain: Column, listed: Column | None = None) -> Column:
     """SCA-28: ``listed`` municipalities first, then keywords in fixed order."""
-    name = F.trim(F.lower(domain))
+    name = text.strip(F.lower(domain))
     kind = F.lit("company")
     for entity_type, words in reversed(V.ENTITY_KEYWORDS.items()):
         kind = F.when(_any_of(name, words), entity_type).otherwise(kind)

@@ -6,6 +6,8 @@ URL still yields the text a lenient splitter would give, never NULL.
 
 from pyspark.sql import Column, functions as F
 
+from pagelens.functions import text
+
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -53,7 +55,7 @@ def is_internal(url: Column, domain: Column | str) -> Column:
 
 def domain_norm(domain: Column) -> Column:
     """SCA-30: without leading ``@``, lower-case, trimmed."""
-    return F.trim(F.lower(F.ltrim(domain, F.lit("@"))))
+    return text.strip(F.lower(F.ltrim(domain, F.lit("@"))))
 
 
 def email_domain(email: Column) -> Column:

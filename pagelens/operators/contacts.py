@@ -2,8 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelens.functions import text
-from pagelens.operators.candidates import candidate_emails
+from pagelens.functions import text, urls
+from pagelens.operators.candidates import candidate_emails, generation_wanted
 from pagelens.operators.evidence import evidence_of
 from pagelens.operators.facts import page_facts, visible_text
 from pagelens.operators.shared import first_by, unnest
@@ -68,24 +68,46 @@ def _entries(emails: Column, hidden: bool, generated: bool) -> Column:
     )
 
 
+def entries_of(tld: str, pattern: str = "", target: str | None = None) -> Column:
+    """Entries of a page with contact arrays: written, hidden, then guessed.
+
+    With a target only its addresses stay, before anything else is tested.
+    """
+    parts = [
+        _entries(F.col("visible"), False, False),
+        _entries(F.col("hidden_only"), True, False),
+    ]
+    if generation_wanted(pattern, target, tld):
+        guesses = candidate_emails(F.col("facts.text"), pattern, target)
+        parts.append(_entries(guesses, False, True))
+    rows = F.concat(*parts)
+    if target is None:
+        return rows
+    return F.filter(rows, lambda e: urls.at_suffix(e["email"], target))
+
+
+def entry_evidence(entries: Column) -> Column:
+    """Evidence, tested only on pages that have an entry."""
+    found = evidence_of(F.col("facts.lang"), F.col("facts.text"), F.col("url"))
+    return F.when(F.size(entries) > 0, found)
+
+
+def unnest_entries(table: DataFrame, keep: list, evidence: bool = True) -> DataFrame:
+    """One row per entry of ``source, entries`` and the page's evidence."""
+    shown = ["evidence"] if evidence else []
+    return unnest(table, [*keep, "source", *shown], F.col("entries"), "row").select(
+        *keep, "row.email", "source", "row.hidden", "row.generated", "pos", *shown
+    )
+
+
 def _exploded(
     arrays: DataFrame, rows: Column, keep: list, evidence: bool = False
 ) -> DataFrame:
-    """One row per entry; evidence is tested only on pages with an entry."""
-    extra = []
-    if evidence:
-        found = evidence_of(F.col("facts.lang"), F.col("facts.text"), F.col("url"))
-        extra = [F.when(F.size("__rows") > 0, found).alias("evidence")]
-    shown = ["evidence"] if evidence else []
-    listed = arrays.withColumn("__rows", rows).select(
-        *keep, F.col("url").alias("source"), "__rows", *extra
-    )
-    return (
-        unnest(listed, [*keep, "source", *shown], F.col("__rows"), "row")
-        .select(
-            *keep, "row.email", "source", "row.hidden", "row.generated", "pos", *shown
-        )
+    extra = [entry_evidence(F.col("entries")).alias("evidence")] if evidence else []
+    listed = arrays.withColumn("entries", rows).select(
+        *keep, F.col("url").alias("source"), "entries", *extra
     )
+    return unnest_entries(listed, keep, evidence)
 
 
 def extract_contacts(
@@ -93,6 +115,7 @@ def extract_contacts(
     tld: str = "cl",
     keep: list | None = None,
     evidence: bool = False,
+    target: str | None = None,
 ) -> DataFrame:
     """``email, source, hidden`` plus ``pos`` and the ``keep`` columns.
 
@@ -103,23 +126,18 @@ def extract_contacts(
     """
     keep = [c for c in (keep or []) if c in pages.columns]
     likely = pages.filter(text.may_hold_email(F.col("html"), tld))
-    rows = F.concat(
-        _entries(F.col("visible"), False, False),
-        _entries(F.col("hidden_only"), True, False),
-    )
+    rows = entries_of(tld, target=target)
     return _exploded(contact_arrays(likely, tld), rows, keep, evidence).drop("generated")
 
 
 def contacts_and_candidates(
     pages: DataFrame, pattern: str, domain: str, tld: str, keep: list
 ) -> DataFrame:
-    """Scraped addresses, then guesses, with evidence, from one parse."""
-    guesses = candidate_emails(F.col("facts.text"), pattern, domain)
-    rows = F.concat(
-        _entries(F.col("visible"), False, False),
-        _entries(F.col("hidden_only"), True, False),
-        _entries(guesses, False, True),
-    )
+    """Scraped addresses, then guesses, with evidence, from one parse.
+
+    Only addresses of ``domain`` are kept.
+    """
+    rows = entries_of(tld, pattern, domain)
     return _exploded(contact_arrays(pages, tld), rows, keep, evidence=True)
 
 

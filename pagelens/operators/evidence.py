@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.functions import text, urls
 from pagelens.operators.facts import page_facts
-from pagelens.operators.shared import attach, small
+from pagelens.operators.shared import attach, cut, small
 
 
 def evidence_of(lang: Column, body: Column, url: Column, terms=None) -> Column:
@@ -37,7 +37,9 @@ def attach_evidence(contacts: DataFrame, pages: DataFrame) -> DataFrame:
     dropped at the scan and only sources are parsed. Beyond that every page is
     judged where it lies and only ``url, evidence`` is shuffled, never page
     text. Contacts whose page is absent keep NULL evidence: nobody looked.
+    Contacts are checkpointed first, as they are read three times.
     """
+    contacts = cut(contacts)
     sources = contacts.select(F.col("source").alias("url")).distinct()
     if small(sources):
         pages = pages.join(F.broadcast(sources), "url", "left_semi")

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.functions import fixed_values as V, markup, text
 
+READ, BLOCKED, FAILED = "read", "blocked", "failed"
+
 
 def page_facts(pages: DataFrame, links: bool = False) -> DataFrame:
     """Add the ``facts`` struct; a page already parsed is left as it is."""
@@ -36,22 +38,25 @@ def followable(anchors: Column) -> Column:
 def wall_vendor(headers: Column, html: Column) -> Column:
     """FLT-10: vendor by response header, else by body, else ``''``.
 
-    Header names are compared as given; readers lower-case them.
+    Header names are compared without regard to case.
     """
     lowered = F.lower(html)
+    names = F.transform(F.map_keys(headers), F.lower)
     vendor = F.lit("")
     for needle, name in reversed(V.WALL_SIGNATURES):
         vendor = F.when(F.contains(lowered, F.lit(needle)), name).otherwise(vendor)
     for header, name in reversed(V.WALL_HEADERS):
-        vendor = F.when(F.map_contains_key(headers, header), name).otherwise(vendor)
+        vendor = F.when(F.array_contains(names, header), name).otherwise(vendor)
     return vendor
 
 
 def with_walls(responses: DataFrame) -> DataFrame:
-    """FLT-9: add ``wall_vendor``; NULL is readable, ``''`` an unknown vendor.
+    """FLT-9: add ``outcome`` and ``wall_vendor``.
 
-    Only short successful bodies are parsed, the rest cannot be walls. Tables
-    without ``status`` or ``headers`` count as plain 200 answers.
+    The outcome is ``read``, ``blocked`` (a wall; its vendor is ``''`` where
+    unknown) or ``failed`` (no 2xx answer or no body; neither read nor
+    blocked). Only short successful bodies are parsed, the rest cannot be
+    walls. Tables without ``status`` or ``headers`` count as plain 200 answers.
     """
     if "status" not in responses.columns:
         responses = responses.withColumn("status", F.lit(200))
@@ -59,10 +64,8 @@ def with_walls(responses: DataFrame) -> DataFrame:
         responses = responses.withColumn(
             "headers", F.create_map().cast("map<string,string>")
         )
-    suspect = (
-        F.col("status").between(200, 299)
-        & (F.length("html") <= V.MAX_WALL_CHARS)
-    )
+    got = answered(responses)
+    suspect = got & (F.length("html") <= V.MAX_WALL_CHARS)
     if "facts" in responses.columns:
         facts = F.col("facts")
     else:
@@ -78,20 +81,46 @@ def with_walls(responses: DataFrame) -> DataFrame:
             "wall_vendor",
             F.when(wall, wall_vendor(F.col("headers"), F.col("html"))),
         )
+        .withColumn(
+            "outcome",
+            F.when(~got, FAILED)
+            .when(F.col("wall_vendor").isNotNull(), BLOCKED)
+            .otherwise(READ),
+        )
         .drop("__facts")
     )
 
 
+def answered(responses: DataFrame) -> Column:
+    """A 2xx answer with a body; without ``status`` a body is enough."""
+    body = F.col("html").isNotNull()
+    if "status" not in responses.columns:
+        return body
+    return body & F.coalesce(F.col("status").between(200, 299), F.lit(False))
+
+
+def with_outcome(judged: DataFrame) -> DataFrame:
+    """Tables judged elsewhere without failures have only read and blocked."""
+    if "outcome" in judged.columns:
+        return judged
+    blocked = F.col("wall_vendor").isNotNull()
+    return judged.withColumn("outcome", F.when(blocked, BLOCKED).otherwise(READ))
+
+
 def readable(responses: DataFrame) -> DataFrame:
-    return with_walls(responses).filter(F.col("wall_vendor").isNull())
+    return with_walls(responses).filter(F.col("outcome") == READ)
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count_if(F.col("outcome") == READ).alias("pages_read"),
+        F.count_if(F.col("outcome") == BLOCKED).alias("pages_blocked"),
+    ]
 
 
 def page_counts(judged: DataFrame, run: list | None = None) -> DataFrame:
-    """AGG-4: pages read and pages blocked."""
-    return judged.groupBy(*(run or [])).agg(
-        F.count_if(F.col("wall_vendor").isNull()).alias("pages_read"),
-        F.count_if(F.col("wall_vendor").isNotNull()).alias("pages_blocked"),
-    )
+    """AGG-4: pages read and pages blocked; failed ones are neither."""
+    return with_outcome(judged).groupBy(*(run or [])).agg(*_counts())
 
 
 def wall_report(judged: DataFrame, run: list | None = None) -> DataFrame:
@@ -99,9 +128,8 @@ def wall_report(judged: DataFrame, run: list | None = None) -> DataFrame:
 
     The vendor set is bounded by the fixed vendor list.
     """
-    counted = judged.groupBy(*(run or [])).agg(
-        F.count_if(F.col("wall_vendor").isNull()).alias("pages_read"),
-        F.count_if(F.col("wall_vendor").isNotNull()).alias("pages_blocked"),
+    counted = with_outcome(judged).groupBy(*(run or [])).agg(
+        *_counts(),
         F.array_join(
             F.array_sort(
                 F.collect_set(F.when(F.col("wall_vendor") != "", F.col("wall_vendor")))

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from pagelens.functions import fixed_values as V, scoring, urls
-from pagelens.operators.facts import page_facts
+from pagelens.operators.facts import READ, page_facts, with_outcome
 from pagelens.operators.shared import cut
 
 
@@ -48,21 +48,21 @@ def crawl_frontier(
     scope: str = "tld",
     tld: str = "cl",
 ) -> DataFrame:
-    """Breadth-first walk over a snapshot: ``url, depth, path, wall_vendor``.
+    """Breadth-first walk over a snapshot: ``url, depth, path``, judgements.
 
-    ``seeds`` is ``url, rank``; ``pages`` is ``url, wall_vendor``, one row per
-    URL. ``path`` holds the link positions from the seed down. Comparing paths
+    ``seeds`` is ``url, rank``; ``pages`` is ``url, wall_vendor, outcome``, one
+    row per URL. ``path`` holds the link positions from the seed down. Comparing paths
     item by item gives queue order inside a depth, so the first way to reach a
     URL is a plain ``min(path)`` by URL, which combines on the map side: no
     global rank is needed and a page linked from everywhere is no hot group.
 
-    Pages out of scope or missing from the snapshot are dropped, walls are
-    kept and not expanded, and the walk ends with the ``max_pages``-th
+    Pages out of scope or missing from the snapshot are dropped, walls and
+    failed responses are kept and not expanded, and the walk ends with the ``max_pages``-th
     readable page. One round runs per depth. The edges, the page list and
     each round are checkpointed, so page text is read once and a lost executor
     costs one round.
     """
-    known = cut(pages.select("url", "wall_vendor"))
+    known = cut(with_outcome(pages).select("url", "wall_vendor", "outcome"))
     steps = cut(
         edges.select("src", F.col("dst").alias("url"), "pos").filter(
             urls.in_scope(F.col("url"), F.lit(False), scope, tld)
@@ -77,7 +77,7 @@ def crawl_frontier(
     for depth in range(1, max_depth + 1):
         if max_pages is not None and read >= max_pages:
             break
-        expanded = level.filter("wall_vendor IS NULL").select(
+        expanded = level.filter(F.col("outcome") == READ).select(
             F.col("url").alias("src"), F.col("path").alias("from")
         )
         reached = (
@@ -99,7 +99,7 @@ def crawl_frontier(
 
 
 def _readable(level: DataFrame) -> int:
-    return level.filter("wall_vendor IS NULL").count()
+    return level.filter(F.col("outcome") == READ).count()
 
 
 def cap_pages(
@@ -111,7 +111,8 @@ def cap_pages(
     one row found by a top-k, then a filter.
     """
     key = F.struct(*(order or ["depth", "path"]))
-    readable = walked.filter("wall_vendor IS NULL").select(key.alias("__at"))
+    walked = with_outcome(walked)
+    readable = walked.filter(F.col("outcome") == READ).select(key.alias("__at"))
     last = (
         readable.orderBy("__at")
         .limit(max_pages)

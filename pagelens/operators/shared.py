@@ -5,7 +5,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-SALTS = 8
 SMALL_ROWS = 100_000
 RANK_WIDTH = 1 << 20
 
@@ -65,27 +64,22 @@ def attach(
     lookup: DataFrame,
     on: list | str,
     how: str = "left",
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
     """Join a lookup with one row per key to facts that may have hot keys.
 
-    Each lookup row is repeated per salt and each fact takes one salt, so a
-    key that holds a third of the facts is split over ``salts`` tasks. The
-    salt depends only on the row and its partition, so a retried task gives
-    the same rows. No broadcast is forced: adaptive execution broadcasts the
-    lookup when its measured size is below the session's threshold.
-
-    For a lookup about as large as the facts (one row per address) pass
-    ``salts=1``: repeating it would cost more than it saves, and adaptive
-    skew handling splits the facts of a key that repeats.
+    Adaptive execution splits the facts of a key that repeats, and broadcasts
+    the lookup when its measured size is below the session's threshold; none
+    is forced. Where it cannot split (adaptive execution off, or the join's
+    output must keep its partitioning) name ``salts``: each lookup row is
+    repeated per salt and each fact takes one by a hash of its own values, so
+    a retried task gives the same rows and later filters still reach the scan.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if facts.isStreaming or salts <= 1:
         return facts.join(lookup, keys, how)
     mixed = [c for c, t in facts.dtypes if not t.startswith(("map", "array", "struct"))]
-    salt = F.pmod(
-        F.xxhash64(*mixed) + F.spark_partition_id(), F.lit(salts)
-    ).cast("int")
+    salt = F.pmod(F.xxhash64(*mixed), F.lit(salts)).cast("int")
     copies = lookup.withColumn(
         "__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     )

@@ -2,16 +2,20 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagelens.functions import fixed_values as V, urls
+from pagelens.functions import fixed_values as V, text, urls
 from pagelens.operators import discovery as D, links as L
 from pagelens.operators.candidates import generation_wanted
 from pagelens.operators.contacts import (
+    contact_arrays,
     contacts_and_candidates,
+    entries_of,
+    entry_evidence,
     extract_contacts,
     first_seen,
+    unnest_entries,
 )
-from pagelens.operators.facts import wall_report, with_walls
-from pagelens.operators.shared import attach, cut, small
+from pagelens.operators.facts import READ, answered, page_facts, wall_report, with_walls
+from pagelens.operators.shared import cut, small, unnest
 from pagelens.operators.verdicts import classify_addresses
 
 
@@ -113,21 +117,67 @@ def discoveries(
 
 
 def _occurrences(pages: DataFrame, target, pattern: str, tld: str) -> DataFrame:
-    bare = target.lower().lstrip("@") if target else None
+    bare = _bare(target)
     order = [c for c in ("crawl_seq", "depth", "path") if c in pages.columns]
     if generation_wanted(pattern, bare, tld):
-        found = contacts_and_candidates(pages, pattern, bare, tld, order)
-    else:
-        found = extract_contacts(pages, tld, order, evidence=True).withColumn(
-            "generated", F.lit(False)
-        )
-    return found.filter(urls.at_suffix(F.col("email"), bare)) if bare else found
+        return contacts_and_candidates(pages, pattern, bare, tld, order)
+    return extract_contacts(
+        pages, tld, order, evidence=True, target=bare
+    ).withColumn("generated", F.lit(False))
+
+
+def _bare(target: str | None) -> str | None:
+    return target.lower().lstrip("@") if target else None
 
 
 def _first_discoveries(found: DataFrame) -> DataFrame:
     return first_seen(found).select("email", "source", "generated", "evidence", "hidden")
 
 
+def page_table(
+    pages: DataFrame,
+    target: str | None = None,
+    pattern: str = "",
+    tld: str = "cl",
+    contacts: bool = True,
+) -> DataFrame:
+    """What a run needs of each page, from one parse, without its text.
+
+    ``source, outcome, wall_vendor, anchors`` and, with ``contacts``, the
+    ``entries`` of the page and their ``evidence``. The table is checkpointed
+    and serves walls, links and contacts. Failed responses are not parsed.
+    """
+    html = F.when(answered(pages), F.col("html"))
+    judged = with_walls(page_facts(pages.withColumn("html", html), links=True))
+    anchors = F.transform(
+        "facts.anchors", lambda a: F.struct(a["url"].alias("url"), a["pos"].alias("pos"))
+    )
+    shown = [F.col("url").alias("source"), "outcome", "wall_vendor", anchors.alias("anchors")]
+    if contacts:
+        bare = _bare(target)
+        rows = entries_of(tld, pattern, bare)
+        if not generation_wanted(pattern, bare, tld):
+            # Texts that cannot hold an address are not searched.
+            rows = F.when(text.may_hold_email(F.col("html"), tld), rows)
+        judged = contact_arrays(judged, tld).withColumn("entries", rows)
+        shown += ["entries", entry_evidence(F.col("entries")).alias("evidence")]
+    return cut(judged.select(*shown))
+
+
+def _table_edges(table: DataFrame) -> DataFrame:
+    links = unnest(table, ["source"], F.col("anchors"), "a", "at")
+    return links.select(
+        F.col("source").alias("src"), F.col("a.url").alias("dst"), F.col("a.pos").alias("pos")
+    ).filter(urls.is_http(F.col("dst")))
+
+
+def _walk(table: DataFrame, seeds: DataFrame, max_depth, max_pages, scope, tld):
+    judged = table.withColumnRenamed("source", "url")
+    return L.crawl_frontier(
+        _table_edges(table), seeds, judged, max_depth, max_pages, scope, tld
+    )
+
+
 def walk_snapshot(
     pages: DataFrame,
     seeds: DataFrame,
@@ -140,20 +190,19 @@ def walk_snapshot(
 
     With ``scope='tld'`` pages outside the TLD can only be read as seeds. When
     the seeds are a counted small set they are broadcast and all other foreign
-    pages are dropped before the parse.
+    pages are dropped before the parse. Seeds are checkpointed first, so what
+    found them runs once.
     """
-    if scope == "tld":
-        pages = _walkable(pages, seeds.select("url").distinct(), tld)
-    judged = with_walls(pages).select("url", "wall_vendor")
-    return L.crawl_frontier(
-        L.link_edges(pages), seeds, judged, max_depth, max_pages, scope, tld
-    )
+    seeds = cut(seeds.select("url", "rank"))
+    table = page_table(_walkable(pages, seeds, scope, tld), contacts=False)
+    return _walk(table, seeds, max_depth, max_pages, scope, tld)
 
 
-def _walkable(pages: DataFrame, seeds: DataFrame, tld: str) -> DataFrame:
-    if not small(seeds):
+def _walkable(pages: DataFrame, seeds: DataFrame, scope: str, tld: str) -> DataFrame:
+    named = seeds.select("url").distinct()
+    if scope != "tld" or not small(named):
         return pages
-    flagged = F.broadcast(seeds.withColumn("__seed", F.lit(True)))
+    flagged = F.broadcast(named.withColumn("__seed", F.lit(True)))
     return (
         pages.join(flagged, "url", "left")
         .filter(urls.in_tld(F.col("url"), tld) | F.col("__seed").isNotNull())
@@ -161,20 +210,16 @@ def _walkable(pages: DataFrame, seeds: DataFrame, tld: str) -> DataFrame:
     )
 
 
-def _read_on_walk(
-    walk: DataFrame, pages: DataFrame, target, pattern: str, tld: str
-) -> DataFrame:
+def _read_on_walk(walk: DataFrame, table: DataFrame) -> DataFrame:
     """Occurrences on the walked pages, with the walk's order.
 
-    A counted small walk is broadcast and only its pages are parsed. A large
-    one is joined after extraction: addresses are shuffled, not page text.
+    Only addresses meet the walk, never page text; a walk as long as the
+    table is an even join on the page's address.
     """
-    order = walk.filter("wall_vendor IS NULL").select("url", "depth", "path")
-    texts = pages.select("url", "html")
-    if small(order):
-        return _occurrences(texts.join(F.broadcast(order), "url"), target, pattern, tld)
-    found = _occurrences(texts, target, pattern, tld)
-    return attach(found, order.withColumnRenamed("url", "source"), "source", "inner")
+    order = walk.filter(F.col("outcome") == READ).select(
+        F.col("url").alias("source"), "depth", "path"
+    )
+    return unnest_entries(table, []).join(order, "source")
 
 
 def scan(
@@ -192,8 +237,10 @@ def scan(
     smtp_enabled: bool = True,
 ) -> dict:
     """Full run; gives the tables ``walk``, ``results`` and ``walls``."""
-    walk = walk_snapshot(pages, seeds, max_depth, max_pages, scope, tld)
-    found = _first_discoveries(_read_on_walk(walk, pages, target, pattern, tld))
+    seeds = cut(seeds.select("url", "rank"))
+    table = page_table(_walkable(pages, seeds, scope, tld), target, pattern, tld)
+    walk = _walk(table, seeds, max_depth, max_pages, scope, tld)
+    found = _first_discoveries(_read_on_walk(walk, table))
     return {
         "walk": walk,
         "results": classify_addresses(found, mx, replies, catch_all, smtp_enabled, tld),

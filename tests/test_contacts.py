@@ -21,7 +21,7 @@ def by_page(pages, htmls):
 
 
 ROUTES = [
-    ('<a href="mailto:Felipe.Carvajal@BHP.cl">x</a>', ["felipe.carvajal@bhp.cl"]),
+    ('<a href="mailto:Ana.Soto@Minera.cl">x</a>', ["ana.soto@minera.cl"]),
     ("<p>info [at] empresa.cl</p>", ["info@empresa.cl"]),
     ("<p>info (at) empresa.cl</p>", ["info@empresa.cl"]),
     ("<p>info at empresa.cl</p>", ["info@empresa.cl"]),

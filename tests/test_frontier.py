@@ -93,9 +93,29 @@ def test_large_and_small_walks_give_the_same_addresses(pages, spark, monkeypatch
         ("https://a.cl/1", "<p hidden>y@a.cl</p><p>x@a.cl</p>"),
     )
     seeds = spark.createDataFrame([("https://a.cl/", 0)], "url STRING, rank INT")
-    walk = scan.walk_snapshot(table, seeds)
-    as_rows = lambda df: sorted(map(tuple, scan._first_discoveries(df).collect()))
-    small = as_rows(scan._read_on_walk(walk, table, None, "", "cl"))
+    mx = spark.createDataFrame([("a.cl", "mx", None)], "domain STRING, mx_outcome STRING, mx_detail STRING")
+    as_rows = lambda run: sorted((r.email, r.source, r.hidden) for r in run["results"].collect())
+    small = as_rows(scan.scan(table, seeds, mx, smtp_enabled=False))
+    assert len(small) == 2
     monkeypatch.setattr(scan, "small", lambda df: False)
-    assert as_rows(scan._read_on_walk(walk, table, None, "", "cl")) == small
-    assert as_rows(scan._read_on_walk(walk, table, "a.cl", "{first}", "cl")) == small
+    assert as_rows(scan.scan(table, seeds, mx, smtp_enabled=False)) == small
+    assert as_rows(scan.scan(table, seeds, mx, target="a.cl", pattern="{first}", smtp_enabled=False)) == small
+
+
+def test_failed_responses_are_neither_read_nor_followed(spark):
+    rows = [
+        ("https://a.cl/", 200, "<p>x@a.cl</p><a href='/f'>f</a><a href='/n'>n</a>"),
+        ("https://a.cl/f", 404, "<p>err@a.cl</p><a href='/deep'>d</a>"),
+        ("https://a.cl/n", 200, None),
+        ("https://a.cl/deep", 200, "<p>deep@a.cl</p>"),
+    ]
+    table = spark.createDataFrame(rows, "url STRING, status INT, html STRING")
+    seeds = spark.createDataFrame([("https://a.cl/", 0)], "url STRING, rank INT")
+    mx = spark.createDataFrame([("a.cl", "mx", None)], "domain STRING, mx_outcome STRING, mx_detail STRING")
+    run = scan.scan(table, seeds, mx, smtp_enabled=False)
+    assert [r.email for r in run["results"].collect()] == ["x@a.cl"]
+    outcomes = {r.url: r.outcome for r in run["walk"].collect()}
+    assert outcomes == {
+        "https://a.cl/": "read", "https://a.cl/f": "failed", "https://a.cl/n": "failed"
+    }
+    assert run["walls"].first()[:2] == (1, 0)

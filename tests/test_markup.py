@@ -171,3 +171,11 @@ def test_cost_is_linear_on_broken_markup(html):
     started = time.perf_counter()
     read_markup(html, "https://a.cl/")
     assert time.perf_counter() - started < 10
+
+
+def test_implied_ends_do_not_depend_on_depth():
+    def address_hidden(depth):
+        html = "<ul><li hidden>" + "<b>" * depth + "<li>x@b.cl"
+        return "x@b.cl" not in read_markup(html)["visible_text"]
+
+    assert [address_hidden(n) for n in (10, 100, 300, 10_000)] == [False] * 4
