@@ -31,7 +31,7 @@ PATTERN = public_tokenizers.PATTERN
 LEAF_BYTES = 32
 LEAF_IDS = 4096
 # Pieces per generation of the memo; two generations are held at most.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 # Documents returned in one Arrow batch.
 OUT_DOCS = 256
 

@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 30_000
 # Rows considered for the sample of one language; a text gives no more than
 # this share of the sample, so that it is not one long document.
 SAMPLE_ROWS = 100
 LANE = 2048
 # Symbols parsed at once; bounds a task's memory.
-STEP_SYMBOLS = 4_000_000
+STEP_SYMBOLS = 1_000_000
 UNKNOWN = "und"
 
 
@@ -100,15 +100,15 @@ class CrossParser:
             ended = table == 0
             step = np.where(ended, restart, table) + base
             # Flag in the lowest bit: a phrase ended before this symbol.
-            tables.append(((step * self.alphabet) << 1) | ended)
+            tables.append((((step * self.alphabet) << 1) | ended).astype(np.int32))
             self.roots.append(base)
             base += len(table)
             self.costs.append(math.log2(max(len(symbols), 2)))
         # Entries hold row offsets already multiplied by the alphabet.
         self.steps = (
-            np.concatenate(tables).ravel().astype(np.int64)
+            np.concatenate(tables, dtype=np.int32, casting="unsafe").ravel()
             if tables
-            else np.empty(0, np.int64)
+            else np.empty(0, np.int32)
         )
 
     def _symbols_of_codes(self, codes: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
         alive = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
-        roots = np.array(self.roots, dtype=np.int64) * self.alphabet
+        roots = np.array(self.roots, dtype=np.int32) * np.int32(self.alphabet)
         state = np.tile(roots, (len(owner), 1))
         found = np.ones((len(owner), languages), dtype=np.int64)
         for t in range(int(length[0]) if len(length) else 0):
@@ -177,7 +177,7 @@ class CrossParser:
         symbols, bounds = self.symbols(folded)
         is_letter = np.concatenate([[0], np.cumsum(symbols > 0)])
         letters = is_letter[bounds[1:]] - is_letter[bounds[:-1]]
-        phrases = self.phrases(symbols.astype(np.int64), bounds)
+        phrases = self.phrases(symbols.astype(np.int32), bounds)
         bits = phrases * np.array(self.costs)
         return bits / np.maximum(letters, 1)[:, None], letters
 
@@ -251,15 +251,19 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 
     def predict(texts: pa.Array) -> pa.Array:
         # Values are decoded a slice at a time.
-        names, scores, begin, held = [], [], 0, 0
-        values = texts.to_pylist()
-        for end, text in enumerate(values, 1):
-            held += len(text or "")
-            if held >= STEP_SYMBOLS or end == len(values):
-                found = parser.value.predict(values[begin:end])
+        names, scores, part, held = [], [], [], 0
+        for text in texts:
+            part.append(text.as_py())
+            held += len(part[-1] or "")
+            if held >= STEP_SYMBOLS:
+                found = parser.value.predict(part)
                 names += found[0]
                 scores += found[1]
-                begin, held = end, 0
+                part, held = [], 0
+        if part:
+            found = parser.value.predict(part)
+            names += found[0]
+            scores += found[1]
         return pa.StructArray.from_arrays(
             [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
             ["lang_pred", "score"],

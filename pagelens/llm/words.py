@@ -14,7 +14,7 @@ import public_tokenizers
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Parts held per generation of the memo; two generations are held at most.
-MEMO_PARTS = 700_000
+MEMO_PARTS = 350_000
 # Characters of text whose parts are looked up together.
 SLICE_CHARS = 2_000_000
 
