@@ -22,13 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letter go.
     """
     samples = langid.training_samples(docs.filter(~langid.held_out()))
-    found = langid.identify(docs, samples)
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    kept = found.filter(F.col("lang_pred") != langid.UNKNOWN) if samples else (
-        found.filter(has_letter)
-    )
-    lang = F.col("lang_pred") if samples else F.col("lang")
-    return kept.withColumn("lang", lang).select(docs.columns)
+    if not samples:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, samples, into=("__lang", "__score"))
+    kept = found.filter(F.col("__lang") != langid.UNKNOWN)
+    return kept.withColumn("lang", F.col("__lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in every text by surrogates."""
-    replaced = surrogates.replace_entities(docs)
+    replaced = surrogates.replace_entities(docs, into=("__entities", "__kinds"))
     size = F.char_length("text").cast("long")
-    changed = F.when(F.col("n_entities") > 0, size).otherwise(F.col("n_chars"))
+    changed = F.when(F.col("__entities") > 0, size).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", changed).select(docs.columns)
 
 

@@ -15,7 +15,7 @@ ends where a lane ends; all of the text is parsed.
 Defined results: NULL text or text without a letter gives ``und`` and score 0;
 ties go to the language whose name sorts first; repeated rows are each given
 their result; an empty table gives no rows; with no labelled text every row is
-``und``; extra columns are dropped. ``score`` is one minus the best language's
+``und``; extra columns are kept. ``score`` is one minus the best language's
 rate over the next best's (or, with one language, over one phrase a letter).
 """
 
@@ -90,18 +90,21 @@ class CrossParser:
         self.costs = []
         tables = []
         base = 0
-        self.roots = []
+        self.starts = []
         for language in self.languages:
             symbols, _ = self.symbols([folded[language]])
             automaton = SuffixAutomaton(symbols.tolist(), self.alphabet)
-            table = automaton.table
+            # The last state stands before a phrase: at the start, and after a
+            # symbol that the sample does not have, which is one by itself.
+            fresh = len(automaton.table)
+            table = np.vstack([automaton.table, np.zeros((1, self.alphabet), np.int32)])
             # A missing transition starts a new phrase with the same symbol.
-            restart = np.broadcast_to(table[0], table.shape)
-            ended = table == 0
-            step = np.where(ended, restart, table) + base
-            # Flag in the lowest bit: a phrase ended before this symbol.
-            tables.append((((step * self.alphabet) << 1) | ended).astype(np.int32))
-            self.roots.append(base)
+            restart = np.where(table[0] == 0, fresh, table[0])
+            new = table == 0
+            step = np.where(new, restart[None, :], table) + base
+            # Flag in the lowest bit: this symbol starts a phrase.
+            tables.append((((step * self.alphabet) << 1) | new).astype(np.int32))
+            self.starts.append(base + fresh)
             base += len(table)
             self.costs.append(math.log2(max(len(symbols), 2)))
         # Entries hold row offsets already multiplied by the alphabet.
@@ -158,9 +161,9 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
         alive = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
-        roots = np.array(self.roots, dtype=np.int32) * np.int32(self.alphabet)
-        state = np.tile(roots, (len(owner), 1))
-        found = np.ones((len(owner), languages), dtype=np.int64)
+        starts = np.array(self.starts, dtype=np.int32) * np.int32(self.alphabet)
+        state = np.tile(starts, (len(owner), 1))
+        found = np.zeros((len(owner), languages), dtype=np.int64)
         for t in range(int(length[0]) if len(length) else 0):
             n = alive[t]
             at = state[:n] + symbols[begin[:n] + t][:, None]
@@ -240,8 +243,12 @@ def training_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str
     return samples
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """Adds ``lang_pred`` and ``score``; only ``text`` is looked at.
+def identify(
+    docs: DataFrame, samples: dict[str, str], into=("lang_pred", "score")
+) -> DataFrame:
+    """Adds language and score, replacing columns of those names.
+
+    Only ``text`` is looked at.
 
     The broadcast holds the automata of the samples: at most two states a
     sample character for each language, whatever the size of ``docs``.
@@ -272,7 +279,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     udf = F.arrow_udf(predict, "struct<lang_pred: string, score: double>")
     found = docs.withColumn("__found", udf.asNondeterministic()("text"))
     return found.select(
-        *docs.columns,
-        F.col("__found.lang_pred").alias("lang_pred"),
-        F.col("__found.score").alias("score"),
+        *[c for c in docs.columns if c not in into],
+        F.col("__found.lang_pred").alias(into[0]),
+        F.col("__found.score").alias(into[1]),
     )

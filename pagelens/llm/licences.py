@@ -147,8 +147,13 @@ def _grams(words, n: int):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Adds ``licence``, ``licences``, ``n_licences`` and ``probability``."""
-    spark, model, columns = docs.sparkSession, trained(), docs.columns
+    """Adds ``licence``, ``licences``, ``n_licences`` and ``probability``.
+
+    Columns of those names are replaced.
+    """
+    spark, model = docs.sparkSession, trained()
+    docs = docs.drop("licence", "licences", "n_licences", "probability")
+    columns = docs.columns
     none = (
         F.lit(NONE).alias("licence"),
         F.array().cast("array<string>").alias("licences"),

@@ -312,16 +312,21 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         now = cut(drawn(again.select("kind", "normal", "attempt")))
 
 
-def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``text`` with surrogates; adds ``n_entities`` and their ``kinds``."""
-    columns = docs.columns
+def replace_entities(
+    docs: DataFrame, key: str = DEFAULT_KEY, into=("n_entities", "kinds")
+) -> DataFrame:
+    """``text`` with surrogates; adds the number of entities and their kinds.
+
+    Columns of the names in ``into`` are replaced.
+    """
+    columns = [c for c in docs.columns if c not in into]
     none = F.array().cast("array<string>")
     matched = docs.withColumn("__pii_matches", _matches(F.col("text")))
     clean = docs.filter(
         F.col("text").isNull()
         | ~F.col("text").rlike(SUSPECT)
         | ~F.col("text").rlike(PATTERN)
-    ).select(*columns, F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
+    ).select(*columns, F.lit(0).cast("long").alias(into[0]), none.alias(into[1]))
     held = cut(
         matched.filter(F.size("__pii_matches") > 0).withColumn(
             "__pii_row", F.monotonically_increasing_id()
@@ -347,8 +352,8 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         .groupBy("__pii_row")
         .agg(
             F.sort_array(F.collect_list(F.struct("at", "sub", "new"))).alias("__pii_new"),
-            F.count("kind").alias("n_entities"),
-            F.sort_array(F.collect_set("kind")).alias("kinds"),
+            F.count("kind").alias("__pii_count"),
+            F.sort_array(F.collect_set("kind")).alias("__pii_kinds"),
         )
     )
     # Literal text before each match, and what follows the last one.
@@ -379,6 +384,10 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
                 F.element_at("__pii_segments", -1),
             ),
         )
-        .select(*columns, "n_entities", "kinds")
+        .select(
+            *columns,
+            F.col("__pii_count").alias(into[0]),
+            F.col("__pii_kinds").alias(into[1]),
+        )
     )
     return clean.unionByName(rebuilt)
