@@ -198,9 +198,11 @@ def _blocks(docs: DataFrame, count: int) -> tuple[Column, list]:
     return block, sorted(heads, reverse=True)
 
 
-def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, values: list[str], prepare=None) -> DataFrame:
     """Adds ``next_<value>`` of the next row by doc_id descending, in a circle.
 
+    ``prepare`` adds columns to rows before they meet their neighbours.
+
     Rows are ordered within blocks of neighbouring ids; the first row of each
     block also goes to the end of the block before, so no order over all rows
     is needed and each row is shuffled once.
@@ -224,6 +226,8 @@ def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
     order = Window.partitionBy("__block").orderBy(
         "__lent", F.desc_nulls_last("doc_id"), "text"
     )
+    if prepare is not None:
+        lent = prepare(lent)
     for value in values:
         lent = lent.withColumn(f"next_{value}", F.lead(value).over(order))
     return lent.filter(~F.col("__lent")).drop("__block", "__lent")
@@ -246,8 +250,9 @@ def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     lists = F.from_json(
         F.lit(_bucket_json(lexicon(rows, band))), "array<array<string>>"
     )
-    marked = with_marks(rows, "text", "marks", lists)
-    paired = with_next(marked, ["text", "marks"])
+    paired = with_next(
+        rows, ["text", "marks"], lambda lent: with_marks(lent, "text", "marks", lists)
+    )
     n_chars = F.char_length("text").cast("long")
     edited = paired.withColumn("n_chars", n_chars).withColumn(
         "edited", edited_text(F.col("text"), F.col("n_chars"), F.col("next_text"))
@@ -285,7 +290,7 @@ def _marks_sql(source: str, text: str) -> str:
         FROM (SELECT doc_id, t, [{subsets}] AS subsets FROM (
             SELECT doc_id, t, list_sort(CASE WHEN len(banded) > 0 THEN banded ELSE words END) AS kept
             FROM (SELECT doc_id, t, words,
-                    list_filter(words, lambda w: list_contains((SELECT list(term) FROM lexicon), w)) AS banded
+                    list_intersect(words, (SELECT list(term) FROM lexicon)) AS banded
                 FROM (SELECT doc_id, {text} AS t, {words} AS words FROM {source}))))"""
 
 
