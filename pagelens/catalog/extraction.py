@@ -175,24 +175,26 @@ def sca_9(spark, sf):
 @query(
     "sca_9_spelled_out_documents",
     r"""
-    WITH words AS (
+    WITH spelled AS (
+      SELECT doc_id, regexp_replace(regexp_replace(text, '@', ' at ', 'g'), '[.]', ' ', 'g')
+             || ' Contacto: doc' || doc_id || ' (at) Sitio.cl' AS text FROM documents),
+    words AS (
       SELECT doc_id, unnest(regexp_extract_all(text,
-        '(?i)[a-z0-9._%+\-]+(?:\s*(?:\[at\]|\(at\))|\s+at\s)\s*[a-z0-9.\-]+\.')) AS m
-      FROM documents)
-    SELECT doc_id, count(*) AS n FROM words
-    WHERE regexp_matches(m, '(?i)\.$') GROUP BY doc_id
+        '(?i)[a-z0-9._%+\-]+(?:\s*(?:\[at\]|\(at\))|\s+at\s)\s*[a-z0-9.\-]+\.cl\b')) AS m
+      FROM spelled)
+    SELECT doc_id, lower(regexp_replace(m, '(?i)\s*(?:\[at\]|\(at\)|\sat\s)\s*', '@')) AS email
+    FROM words
     """,
 )
 def sca_9_documents(spark, sf):
-    pattern = (
-        r"(?i)(?:(?<![a-z0-9._%+\-])|\G)[a-z0-9._%+\-]++"
-        r"(?:\s*+(?:\[at\]|\(at\))|\s++at\s)\s*+[a-z0-9.\-]+\."
-    )
-    return (
-        I.table(spark, sf, "documents", "doc_id")
-        .select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), 0)).cast("bigint").alias("n"))
-        .filter("n > 0")
+    """Whole texts, each with one spelled-out address at its end."""
+    spaced = F.regexp_replace(F.regexp_replace("text", "@", " at "), "[.]", " ")
+    ending = F.concat(
+        F.lit(" Contacto: doc"), F.col("doc_id").cast("string"), F.lit(" (at) Sitio.cl")
     )
+    found = text.spelled_out_in(F.concat(spaced, ending), "cl")
+    docs = I.table(spark, sf, "documents", "doc_id")
+    return unnest(docs, ["doc_id"], found, "email").drop("pos")
 
 
 @query(
@@ -511,6 +513,23 @@ def plan_discoveries(spark, sf):
     )
 
 
+@query(
+    "plan_discoveries_com",
+    r"""
+    WITH f AS (
+      SELECT page_id, url, lower(unnest(regexp_extract_all(html,
+        '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.com\b'))) AS email FROM pages)
+    SELECT email, arg_min(url, page_id) AS source, false AS generated, false AS hidden
+    FROM f GROUP BY email
+    """,
+)
+def plan_discoveries_com(spark, sf):
+    """The flagship run over the given pages."""
+    return scan.discoveries(I.pages(spark, sf), tld="com").select(
+        "email", "source", "generated", "hidden"
+    )
+
+
 @query(
     "job_extract_by_page_counts",
     CONTACT

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf: str, name: str, *spread_by: str) -> DataFrame
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(spark, f"{sf}/pages.parquet")
+    return read_pages(spark, f"{sf}/pages.parquet", widen=True)
 
 
 # --- pages with addresses published in thirteen ways ------------------------------

@@ -6,7 +6,9 @@ from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
 from pagelens.functions import fixed_values as V
 from pagelens.operators import estimates as E, results as R, verdicts as D
-from pagelens.operators.shared import attach
+from pagelens.operators.shared import attach, scratch_path, taken
+from pagelens.plans import measures
+from pagelens.sources import readers
 
 MAIL = "WITH " + I.MAIL_SQL
 
@@ -290,9 +292,11 @@ def src_6(spark, sf):
         .when(k % 4 == 2, '{"Status":0,"Answer":[{"type":5,"data":"x."}]}')
         .otherwise(two)
     )
-    return D.doh_observations(
-        I.table(spark, sf, "orders").select(name.alias("domain"), answer.alias("answer"))
-    )
+    path = scratch_path(spark, "src6")
+    I.table(spark, sf, "orders").select(
+        name.alias("domain"), answer.alias("answer")
+    ).write.json(path)
+    return taken(D.doh_observations(readers.read_doh_answers(spark, path)), path)
 
 
 _REPLY_SQL = """
@@ -381,23 +385,32 @@ def flt_17(spark, sf):
     )
 
 
-@query(
-    "agg_20_catch_all_outcome",
-    MAIL
-    + """
+_CATCH_ALL_SQL = MAIL + """
     SELECT domain AS host, CASE WHEN coalesce(mx_outcome, 'unavailable') <> 'mx' THEN 'unreachable'
       WHEN catch_all THEN 'catch-all' ELSE 'selective' END AS outcome,
       CASE WHEN mx_outcome = 'mx' THEN mx_host ELSE '' END AS detail
     FROM catch_all LEFT JOIN mx_verdict USING (domain)
-    """,
-)
-def agg_20(spark, sf):
+    """
+
+
+def _catch_all_inputs(spark, sf):
     domains = I.catch_all_probes(spark, sf).select("domain").distinct().withColumn(
         "seq", F.xxhash64("domain")
     )
-    rows = E.catch_all_outcomes(
+    return (
         domains,
         D.mx_verdicts(I.mx_observations(spark, sf)),
         D.catch_all_verdicts(I.catch_all_probes(spark, sf)),
     )
+
+
+@query("agg_20_catch_all_outcome", _CATCH_ALL_SQL)
+def agg_20(spark, sf):
+    rows = E.catch_all_outcomes(*_catch_all_inputs(spark, sf))
     return rows.select("host", "outcome", "detail")
+
+
+@query("plan_catch_all_measure", _CATCH_ALL_SQL)
+def plan_catch_all_measure(spark, sf):
+    run = measures.catch_all_measure(*_catch_all_inputs(spark, sf))
+    return run["rows"].select("host", "outcome", "detail")

@@ -7,6 +7,7 @@ from pagelens.catalog.base import query
 from pagelens.catalog.extraction import wilson_sql
 from pagelens.catalog.mail import CLASSIFIED_SQL, classified
 from pagelens.operators import estimates as E
+from pagelens.plans import measures
 
 _K_N = wilson_sql("k", "n")
 
@@ -113,17 +114,30 @@ def _suffixes(spark, sf):
     return regions.unionByName(fixed)
 
 
-def _sibling_probes(spark, sf):
+def _sibling_answers(spark, sf):
     n = (F.col("o_custkey") % 400).alias("n")
     kinds = F.array(*[F.lit(o) for o in ("mail-capable", "no-mail", "unreachable")])
     seen = I.table(spark, sf, "orders").select(n).distinct()
-    observed = seen.select(
+    return seen.select(
         F.concat(F.lit("emp"), F.col("n").cast("string"), F.lit(".cl")).alias("sibling"),
         F.get(kinds, (F.col("n") % 3).cast("int")).alias("outcome"),
         F.concat(F.lit("d"), F.col("n").cast("string")).alias("detail"),
         (F.col("n") / 8.0).alias("seconds"),
     )
-    return E.sibling_outcomes(_hosts(spark, sf), _suffixes(spark, sf), observed)
+
+
+def _sibling_probes(spark, sf):
+    return E.sibling_outcomes(
+        _hosts(spark, sf), _suffixes(spark, sf), _sibling_answers(spark, sf)
+    )
+
+
+@query("plan_sibling_measure", "WITH " + _SIBLING_SQL + "SELECT outcome, count(*) AS n FROM probe GROUP BY outcome")
+def plan_sibling_measure(spark, sf):
+    run = measures.sibling_measure(
+        _hosts(spark, sf), _suffixes(spark, sf), _sibling_answers(spark, sf)
+    )
+    return run["counts"]
 
 
 @query("join_7_longest_suffix", "WITH " + _SIBLING_SQL + "SELECT seq, host, base FROM named")
@@ -253,8 +267,7 @@ def join_13(spark, sf):
 _LIVE = wilson_sql("live", "verified")
 
 
-@query(
-    "agg_18_yield_gate",
+_GATE_SQL = (
     "WITH " + _KEY_SQL + "," + CLASSIFIED_SQL
     + f""", t AS (SELECT count(*) AS requests, count(*) FILTER (outcome IN ('ok', 'none')) AS answered,
         (SELECT count(DISTINCT address) FROM addr) AS addresses FROM k),
@@ -264,10 +277,16 @@ _LIVE = wilson_sql("live", "verified")
       round(low, 6) AS low, round(high, 6) AS high, round(rate * live / verified, 6) AS point,
       round(rate * low, 6) AS point_low, round(rate * high, 6) AS point_high,
       rate * low >= 0.65 AS clears_gate FROM b
-    """,
+    """
 )
+
+
+@query("agg_18_yield_gate", _GATE_SQL)
 def agg_18(spark, sf):
-    gate = E.yield_gate(E.keyserver_totals(_key_rows(spark, sf)), classified(spark, sf))
+    return _shown(E.yield_gate(E.keyserver_totals(_key_rows(spark, sf)), classified(spark, sf)))
+
+
+def _shown(gate):
     shown = ["per_request", "low", "high", "point", "point_low", "point_high"]
     return gate.select(
         *[F.round(c, 6).alias(c) if c in shown else F.col(c) for c in gate.columns]
@@ -288,3 +307,12 @@ def top_7(spark, sf):
     return E.seeded_sample(
         I.table(spark, sf, "customer"), "c_custkey", 20260726, 60
     ).select("c_custkey", "c_name")
+
+
+# --- runs ---------------------------------------------------------------------------------
+
+
+@query("plan_keyserver_measure", _GATE_SQL)
+def plan_keyserver_measure(spark, sf):
+    run = measures.keyserver_measure(_key_rows(spark, sf), classified(spark, sf))
+    return _shown(run["gate"])

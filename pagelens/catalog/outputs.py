@@ -10,7 +10,7 @@ from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
 from pagelens.functions import fixed_values as V, text
 from pagelens.operators import results as R, sessions as S
-from pagelens.operators.shared import scratch_path
+from pagelens.operators.shared import scratch_path, taken
 from pagelens.sources import writers
 
 RESULT = "WITH " + I.RESULT_SQL
@@ -167,7 +167,7 @@ def snk_1(spark, sf):
     path = scratch_path(spark, "snk1") + ".csv"
     writers.write_valid_csv(I.results(spark, sf), path)
     back = spark.read.option("header", True).option("escape", '"').schema(schemas.EXPORT).csv(path)
-    return back.withColumn("error", F.coalesce("error", F.lit("")))
+    return taken(back.withColumn("error", F.coalesce("error", F.lit(""))), path)
 
 
 _RECORD_SQL = RESULT + """
@@ -180,20 +180,31 @@ def snk_2(spark, sf):
     path = scratch_path(spark, "snk2")
     writers.write_records_json(I.results(spark, sf), path)
     back = spark.read.schema(schemas.RESULTS).json(path)
-    return back.withColumn("evidence", F.array_join("evidence", ", "))
+    return taken(
+        back.withColumn("evidence", F.array_join("evidence", ", ")),
+        path,
+        writers.summary_path(path),
+    )
 
 
 @query(
     "snk_2_run_summary",
     RESULT
     + """
-    SELECT 'pagelens' AS tool, '1' AS version, count(*) AS total,
-      count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'unknown') AS unknown,
-      count(*) FILTER (status = 'invalid') AS invalid FROM result
+    , c AS (SELECT status, count(*) AS n FROM result GROUP BY status
+            UNION ALL SELECT unnest(['valid', 'catch_all', 'unknown', 'invalid']), 0
+            UNION ALL SELECT 'total', count(*) FROM result)
+    SELECT 'pagelens' AS tool, '1' AS version, status, sum(n)::BIGINT AS n FROM c GROUP BY status
     """,
 )
 def snk_2_summary(spark, sf):
-    return R.run_summary(I.results(spark, sf), "pagelens", "1").drop("exported_at")
+    """The metadata of an export, read back: every status, foreseen or not."""
+    path = scratch_path(spark, "snk2s") + ".json"
+    writers.write_results(I.results(spark, sf), path)
+    kind = "tool STRING, version STRING, exported_at STRING, summary MAP<STRING, BIGINT>"
+    back = spark.read.schema(kind).json(writers.summary_path(path))
+    rows = back.select("tool", "version", F.explode("summary").alias("status", "n"))
+    return taken(rows, path, writers.summary_path(path))
 
 
 _REPORT_SQL = RESULT + """
@@ -226,7 +237,7 @@ def snk_3(spark, sf):
 def snk_4(spark, sf):
     path = scratch_path(spark, "snk4")
     writers.write_tsv(I.results(spark, sf), path)
-    return spark.read.text(path)
+    return taken(spark.read.text(path), path)
 
 
 @query(
@@ -249,7 +260,7 @@ def snk_5(spark, sf):
         spark.read.schema("email STRING").json(f"{base}/out.htm").select(F.lit("html").alias("fmt")),
     ]
     every = read[0].unionByName(read[1]).unionByName(read[2])
-    return every.groupBy("fmt").agg(F.count(F.lit(1)).alias("written"))
+    return taken(every.groupBy("fmt").agg(F.count(F.lit(1)).alias("written")), base)
 
 
 @query(
@@ -263,9 +274,8 @@ def snk_6(spark, sf):
     )
     for half in (0, 1):
         writers.append_by_target(rows.filter(F.col("id") % 2 == half).drop("id"), path)
-    return spark.read.schema(
-        "email STRING, source STRING, status STRING, domain STRING"
-    ).parquet(path)
+    back = spark.read.schema("email STRING, source STRING, status STRING, domain STRING")
+    return taken(back.parquet(path), path)
 
 
 @query(
@@ -286,7 +296,8 @@ def snk_7(spark, sf):
         F.col("value").alias("seconds"),
     )
     writers.write_measures(rows, path)
-    return spark.read.option("header", True).option("escape", '"').schema(schemas.PROBE_ROWS).csv(path)
+    back = spark.read.option("header", True).option("escape", '"')
+    return taken(back.schema(schemas.PROBE_ROWS).csv(path), path)
 
 
 # --- history ---------------------------------------------------------------------------
@@ -310,7 +321,26 @@ def snk_8(spark, sf):
     rows = S.session_rows(I.sessions(spark, sf).select("id", "target_domain"), seeds)
     path = scratch_path(spark, "snk8")
     writers.append_table(rows, path)
-    return spark.read.schema(schemas.SESSIONS).parquet(path).drop("created_at")
+    return taken(spark.read.schema(schemas.SESSIONS).parquet(path).drop("created_at"), path)
+
+
+@query(
+    "snk_8_session_seeds",
+    """
+    SELECT o_custkey AS session_id, o_orderkey AS rank, 'https://s.cl/' || o_orderkey AS url
+    FROM orders
+    """,
+)
+def snk_8_seeds(spark, sf):
+    """Seeds of a session as rows: no list is gathered, however long."""
+    seeds = I.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("id"),
+        F.concat(F.lit("https://s.cl/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.col("o_orderkey").alias("rank"),
+    )
+    path = scratch_path(spark, "snk8s")
+    writers.append_table(S.seed_rows(seeds), path)
+    return taken(spark.read.parquet(path), path)
 
 
 @query(
@@ -327,9 +357,10 @@ def snk_9(spark, sf):
     )
     path = scratch_path(spark, "snk9")
     writers.append_table(S.email_rows(rows), path)
-    return spark.read.schema(
+    back = spark.read.schema(
         "session_id BIGINT, email STRING, source_url STRING, status STRING"
-    ).parquet(path)
+    )
+    return taken(back.parquet(path), path)
 
 
 @query(

@@ -6,6 +6,7 @@ from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
 from pagelens.functions import fixed_values as V, text, urls
 from pagelens.operators import discovery as D
+from pagelens.operators.shared import scratch_path, taken
 from pagelens.plans import measures, scan
 from pagelens.sources import readers
 
@@ -33,7 +34,12 @@ def _lines(spark, sf):
 
 @query("src_2_line_list", _LINES_SQL + "SELECT k, trim(value) AS value FROM l WHERE k % 5 = 4")
 def src_2(spark, sf):
-    return readers.lines_of(_lines(spark, sf))
+    path = scratch_path(spark, "src2")
+    _lines(spark, sf).select("value").write.text(path)
+    found = readers.read_line_list(spark, path).select(
+        F.regexp_extract("value", r"(\d+)$", 1).cast("bigint").alias("k"), "value"
+    )
+    return taken(found, path)
 
 
 @query(
@@ -69,8 +75,12 @@ def src_3(spark, sf):
         .when(k % 4 == 2, F.concat(mail, F.lit(" \tvalid\t https://s.cl/x ")))
         .otherwise(F.concat(F.lit("# "), mail))
     )
-    rows = I.table(spark, sf, "orders").select(k.alias("k"), line.alias("value"))
-    return readers.addresses_of(rows)
+    path = scratch_path(spark, "src3")
+    I.table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    found = readers.read_address_list(spark, path).select(
+        F.regexp_extract("email", r"^a(\d+)", 1).cast("bigint").alias("k"), "email", "source"
+    )
+    return taken(found, path)
 
 
 _CT_SQL = """
@@ -115,16 +125,19 @@ def _records(spark, sf):
 
 @query(
     "src_4_ct_crtsh",
-    "WITH " + _CT_SQL + "SELECT 'd' || s_suppkey || '.cl' AS domain, seq, pos, name FROM raw",
+    "WITH " + _CT_SQL + "SELECT 'd' || s_suppkey || '.cl' AS domain, 0 AS source_order, pos, name FROM raw",
 )
 def src_4(spark, sf):
-    return readers.packed_names(_records(spark, sf), ["domain", "seq"])
+    path = scratch_path(spark, "src4")
+    _records(spark, sf).select("domain", "name_value").write.json(path)
+    names = readers.read_ct_crtsh(spark, path, lines=True)
+    return taken(names.select("domain", "source_order", "pos", "name"), path)
 
 
 @query(
     "src_5_ct_certspotter",
     """
-    SELECT o_orderkey AS k, unnest(CASE WHEN o_orderkey % 2 = 0
+    SELECT 'd' || o_orderkey AS domain, 1 AS source_order, unnest(CASE WHEN o_orderkey % 2 = 0
       THEN ['a' || o_orderkey || '.cl', 'b.cl'] ELSE [] END) AS name FROM orders
     """,
 )
@@ -133,8 +146,13 @@ def src_5(spark, sf):
     names = F.when(
         k % 2 == 0, F.array(F.concat(F.lit("a"), k.cast("string"), F.lit(".cl")), F.lit("b.cl"))
     )
-    rows = I.table(spark, sf, "orders").select(k.alias("k"), names.alias("dns_names"))
-    return readers.listed_names(rows, ["k"]).select("k", "name")
+    path = scratch_path(spark, "src5")
+    own = F.concat(F.lit("d"), k.cast("string"))
+    I.table(spark, sf, "orders").select(
+        own.alias("domain"), names.alias("dns_names")
+    ).write.json(path)
+    found = readers.read_ct_certspotter(spark, path, lines=True)
+    return taken(found.select("domain", "source_order", "name"), path)
 
 
 @query("flt_5_host_under", "WITH " + _CT_SQL + "SELECT domain, host, ord FROM under")
@@ -158,10 +176,12 @@ def src_7(spark, sf):
         .when(k % 3 == 1, " ")
         .otherwise(F.concat(F.lit("s"), k.cast("string"), F.lit(".uk ")))
     )
-    rules = readers.suffix_rules(I.table(spark, sf, "orders").select(line.alias("value")))
-    return rules.select(
+    path = scratch_path(spark, "src7")
+    I.table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    rules = readers.read_suffix_rules(spark, path).select(
         F.regexp_extract("suffix", r"(\d+)", 1).cast("bigint").alias("k"), "suffix"
     )
+    return taken(rules, path)
 
 
 @query(
@@ -184,6 +204,33 @@ def src_8(spark, sf):
     return D.search_result_urls(saved, F.col("body"), "nunoa.cl", ["k"]).select("url", "k")
 
 
+@query(
+    "src_8_found_seeds",
+    """
+    WITH u AS (SELECT c_nationkey % 3 AS n, c_custkey AS k,
+        unnest(['https://www.s' || (c_nationkey % 3) || '.cl/p' || (c_custkey % 40),
+                'https://ajeno.cl/?d=s' || (c_nationkey % 3) || '.cl&n=' || (c_custkey % 7)]) AS url,
+        unnest([0, 1]) AS pos FROM customer),
+    f AS (SELECT n, url, min(k * 2 + pos) AS at_ FROM u GROUP BY n, url),
+    r AS (SELECT 's' || n || '.cl' AS domain, url, row_number() OVER (PARTITION BY n ORDER BY at_) AS rank FROM f)
+    SELECT domain, url, rank FROM r WHERE rank <= 20
+    """,
+)
+def src_8_seeds(spark, sf):
+    """The first results of each domain, ready for seed discovery."""
+    k = F.col("c_custkey")
+    domain = F.concat(F.lit("s"), (F.col("c_nationkey") % 3).cast("string"), F.lit(".cl"))
+    body = F.concat(
+        F.lit('<a href="https://www.'), domain, F.lit("/p"), (k % 40).cast("string"),
+        F.lit('">uno</a> https://ajeno.cl/?d='), domain, F.lit("&n="), (k % 7).cast("string"),
+        F.lit(" https://nada.cl/z"),
+    )
+    saved = I.table(spark, sf, "customer").select(
+        domain.alias("domain"), k.alias("k"), body.alias("body")
+    )
+    return D.found_seeds(saved, F.col("body"), ["k"])
+
+
 @query(
     "src_10_keyserver_index",
     """
@@ -651,6 +698,11 @@ def job_seed_ranking(spark, sf):
     """,
 )
 def plan_regional_scan(spark, sf):
+    targets, live, pages = _regional(spark, sf)
+    return measures.regional_scan(targets, live, pages, mx=None, verify_mx=False)
+
+
+def _regional(spark, sf):
     number = F.col("page_id") % 4
     pages = I.contact_pages(spark, sf).withColumn(
         "comuna", F.concat(F.lit("muni"), number.cast("string"))
@@ -663,4 +715,31 @@ def plan_regional_scan(spark, sf):
         F.when(F.col("n") == 0, "building.cl").when(F.col("n") == 1, "machinery.cl").alias("domain"),
     )
     live = names.filter("n = 2").select(F.lit("munimuni2.cl").alias("host"))
-    return measures.regional_scan(targets, live, pages, mx=None, verify_mx=False)
+    return targets, live, pages
+
+
+@query(
+    "plan_regional_verified",
+    "WITH " + I.CONTACT_SQL
+    + f"""
+    , t AS (SELECT k, 'muni' || (k % 4) AS comuna, email, url FROM published),
+    d AS (SELECT 'muni' || n AS comuna, CASE n WHEN 0 THEN 'building.cl' WHEN 1 THEN 'machinery.cl'
+       WHEN 2 THEN 'munimuni2.cl' END AS domain FROM (VALUES (0), (1), (2)) v(n))
+    SELECT comuna, domain, email, arg_min(url, k) AS source,
+      CASE WHEN comuna = 'muni1' THEN 'unknown' ELSE 'invalid' END AS status,
+      CASE WHEN comuna = 'muni1' THEN '{V.ERR_TIMED_OUT}'
+           ELSE '{V.ERR_NO_MX}' || domain || ' does not exist' END AS error
+    FROM t JOIN d USING (comuna) WHERE split_part(email, '@', 2) = domain GROUP BY comuna, domain, email
+    """,
+)
+def plan_regional_verified(spark, sf):
+    """With mail hosts asked; the second target's verification timed out."""
+    targets, live, pages = _regional(spark, sf)
+    domain = F.col("domain")
+    mx = targets.filter("domain IS NOT NULL").select(
+        "domain",
+        F.when(domain == "building.cl", "not_found").otherwise("mx").alias("mx_outcome"),
+        F.when(domain == "building.cl", F.concat(domain, F.lit(" does not exist"))).alias("mx_detail"),
+    )
+    late = targets.filter("comuna = 'muni1'").select("comuna")
+    return measures.regional_scan(targets, live, pages, mx, timed_out=late)

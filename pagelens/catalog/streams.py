@@ -5,36 +5,37 @@ from pyspark.sql import functions as F
 from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
 from pagelens.operators import verdicts as D
-from pagelens.operators.shared import scratch_path
+from pagelens.operators.shared import scratch_path, taken
 from pagelens.streaming import discoveries as S
 
 CONTACT = "WITH " + I.CONTACT_SQL
 _ARRIVING = "page_id BIGINT, url STRING, html STRING, crawl_seq BIGINT"
 
 
-def _arrivals(spark, sf):
+def _arrivals(spark, sf, base):
     """The derived pages written as eight files, then read as a stream."""
-    path = scratch_path(spark, "arrivals")
+    path = f"{base}/arrivals"
     I.contact_pages(spark, sf).repartition(8, "page_id").write.parquet(path)
     return S.stream_pages(spark, path, _ARRIVING, files_per_batch=3)
 
 
-def _finish(stream, spark, name, schema, partition=None):
-    path = scratch_path(spark, name)
-    S.write_batches(stream, path, scratch_path(spark, name + "-state"), partition).awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+def _finish(stream, spark, base, schema, partition=None):
+    S.write_batches(stream, f"{base}/out", f"{base}/state", partition).awaitTermination()
+    return taken(spark.read.schema(schema).parquet(f"{base}/out"), base)
 
 
 @query("str_1_stream_discoveries", CONTACT + "SELECT email, url AS source, hidden FROM published")
 def str_1(spark, sf):
-    found = S.stream_contacts(_arrivals(spark, sf)).select("email", "source", "hidden")
-    return _finish(found, spark, "str1", "email STRING, source STRING, hidden BOOLEAN")
+    base = scratch_path(spark, "str1")
+    found = S.stream_contacts(_arrivals(spark, sf, base)).select("email", "source", "hidden")
+    return _finish(found, spark, base, "email STRING, source STRING, hidden BOOLEAN")
 
 
 @query("str_2_seen_state", CONTACT + "SELECT DISTINCT email FROM published")
 def str_2(spark, sf):
-    once = S.emit_once(S.stream_contacts(_arrivals(spark, sf)).select("email"))
-    return _finish(once, spark, "str2", "email STRING")
+    base = scratch_path(spark, "str2")
+    once = S.emit_once(S.stream_contacts(_arrivals(spark, sf, base)).select("email"))
+    return _finish(once, spark, base, "email STRING")
 
 
 @query(
@@ -46,7 +47,8 @@ def str_2(spark, sf):
     """,
 )
 def str_3(spark, sf):
-    once = S.emit_once(S.stream_contacts(_arrivals(spark, sf)).select("email"))
+    base = scratch_path(spark, "str3")
+    once = S.emit_once(S.stream_contacts(_arrivals(spark, sf, base)).select("email"))
     domains = I.catch_all_probes(spark, sf).select("domain").distinct()
     mx = domains.select(
         "domain", F.lit("mx").alias("mx_outcome"), F.lit(None).cast("string").alias("mx_detail")
@@ -62,29 +64,31 @@ def str_3(spark, sf):
     judged = S.classify_stream(
         once, mx, replies, D.catch_all_verdicts(I.catch_all_probes(spark, sf))
     ).select("email", "status")
-    return _finish(judged, spark, "str3", "email STRING, status STRING")
+    return _finish(judged, spark, base, "email STRING, status STRING")
 
 
 @query("str_4_progress", CONTACT + "SELECT count(*) AS found, 3 AS batches FROM published")
 def str_4(spark, sf):
-    path = scratch_path(spark, "str4")
+    base = scratch_path(spark, "str4")
     S.count_batches(
-        S.stream_contacts(_arrivals(spark, sf)), path, scratch_path(spark, "str4-state")
+        S.stream_contacts(_arrivals(spark, sf, base)), f"{base}/out", f"{base}/state"
     ).awaitTermination()
-    noted = spark.read.schema("found BIGINT, batch_id INT").parquet(path)
-    return noted.agg(
+    noted = spark.read.schema("found BIGINT, batch_id INT").parquet(f"{base}/out")
+    counted = noted.agg(
         F.sum("found").alias("found"), F.count(F.lit(1)).cast("int").alias("batches")
     )
+    return taken(counted, base)
 
 
 @query("str_5_stop", CONTACT + "SELECT email, url AS source FROM published")
 def str_5(spark, sf):
     """Stopped as soon as possible, then resumed from the same checkpoint."""
-    path, state = scratch_path(spark, "str5"), scratch_path(spark, "str5-state")
-    found = S.stream_contacts(_arrivals(spark, sf)).select("email", "source")
+    base = scratch_path(spark, "str5")
+    path, state = f"{base}/out", f"{base}/state"
+    found = S.stream_contacts(_arrivals(spark, sf, base)).select("email", "source")
     S.stop_when(S.write_batches(found, path, state), lambda: True, poll_seconds=0.2)
     S.write_batches(found, path, state).awaitTermination()
-    return spark.read.schema("email STRING, source STRING").parquet(path)
+    return taken(spark.read.schema("email STRING, source STRING").parquet(path), base)
 
 
 @query(
@@ -92,9 +96,10 @@ def str_5(spark, sf):
     CONTACT + "SELECT split_part(email, '@', 2) AS domain, email, url AS source FROM published",
 )
 def str_6(spark, sf):
-    found = S.stream_contacts(_arrivals(spark, sf)).select(
+    base = scratch_path(spark, "str6")
+    found = S.stream_contacts(_arrivals(spark, sf, base)).select(
         "email", "source", F.element_at(F.split("email", "@"), 2).alias("domain")
     )
     return _finish(
-        found, spark, "str6", "email STRING, source STRING, domain STRING", "domain"
+        found, spark, base, "email STRING, source STRING, domain STRING", "domain"
     )

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagelens.functions import fixed_values as V, scoring, text, urls
 from pagelens.operators.shared import attach, first_by, unnest
 
+# Spark's own bound for the cut before the shuffle (its default setting).
+MAP_SIDE_K = 1000
+CUT_SALTS = 32
+
 
 def hosts_under(
     names: DataFrame, domain, order: list, keys: list | None = None
@@ -79,18 +83,29 @@ def base_hosts(
     ).unionByName(missing)
 
 
-def first_k(rows: DataFrame, keys: list, order: list, k: int) -> DataFrame:
-    """TOP-2 / TOP-3: the first ``k`` rows per key.
+def first_k(
+    rows: DataFrame, keys: list, order: list, k: int, into: str | None = None
+) -> DataFrame:
+    """TOP-2 / TOP-3: the first ``k`` rows per key, with their rank on request.
 
     ``row_number <= k`` is pruned on the map side to ``k`` rows per key and
-    task, so a hot key never arrives whole in one task.
+    task, so a hot key never arrives whole in one task. Spark prunes up to
+    ``MAP_SIDE_K`` rows; a larger ``k`` is cut per salted key first.
     """
+    if k > MAP_SIDE_K:
+        mixed = [c for c, t in rows.dtypes if not t.startswith(("map", "array", "struct"))]
+        salt = F.pmod(F.xxhash64(*mixed), F.lit(CUT_SALTS))
+        part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        rows = (
+            rows.withColumn("__salt", salt)
+            .withColumn("__k", F.row_number().over(part))
+            .filter(F.col("__k") <= k)
+            .drop("__salt", "__k")
+        )
+    rank = into or "__k"
     w = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        rows.withColumn("__k", F.row_number().over(w))
-        .filter(F.col("__k") <= k)
-        .drop("__k")
-    )
+    kept = rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return kept if into else kept.drop(rank)
 
 
 def search_result_urls(
@@ -111,6 +126,24 @@ def search_result_urls(
     return first_by(found, ["url"], [*order, "pos"], [*order, "pos"])
 
 
+def found_seeds(
+    results: DataFrame, body: Column, order: list, tld: str = "cl", most: int = V.MAX_SEEDS
+) -> DataFrame:
+    """SRC-8 as seeds: ``domain, url, rank`` from saved result pages.
+
+    ``results`` carries the ``domain`` searched for. Only the first ``most``
+    can become seeds.
+    """
+    pattern = rf'https?://[a-zA-Z0-9.\-]+\.{tld}[^\s"<>]*'
+    found = unnest(
+        results, ["domain", *order], F.regexp_extract_all(body, F.lit(pattern), 0), "url"
+    ).filter(F.contains(F.col("url"), F.col("domain")))
+    first = first_by(found, ["domain", "url"], [*order, "pos"], [*order, "pos"])
+    return first_k(first, ["domain"], [*order, "pos"], most, into="rank").select(
+        "domain", "url", F.col("rank").cast("bigint").alias("rank")
+    )
+
+
 def seed_cascade(stages: list, max_seeds: int | None = None) -> DataFrame:
     """WIN-2: seeds of all stages in stage order, first occurrence kept.
 

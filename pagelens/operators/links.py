@@ -107,24 +107,28 @@ def cap_pages(
 ) -> DataFrame:
     """TOP-4: keep the walk up to its ``max_pages``-th readable page.
 
-    Unreadable pages before that point are kept and cost nothing. The cut is
-    one row found by a top-k, then a filter.
+    Unreadable pages before that point are kept and cost nothing. Pages are
+    dealt into ranges of their order and counted; only the range that holds
+    the last page is sorted, so any number of pages may be asked for.
     """
     key = F.struct(*(order or ["depth", "path"]))
     walked = with_outcome(walked)
-    readable = walked.filter(F.col("outcome") == READ).select(key.alias("__at"))
-    last = (
-        readable.orderBy("__at")
-        .limit(max_pages)
-        .agg(
-            F.struct(
-                F.max("__at").alias("at"), F.count(F.lit(1)).alias("n")
-            ).alias("last")
-        )
-        .scalar()
-    )
-    return (
-        walked.withColumn("__last", last)
-        .filter((F.col("__last.n") < max_pages) | (key <= F.col("__last.at")))
-        .drop("__last")
+    read = F.col("outcome") == READ
+    ranges = cut(
+        walked.filter(read)
+        .select(key.alias("__at"))
+        .repartitionByRange("__at")
+        .withColumn("__range", F.spark_partition_id())
     )
+    left = max_pages
+    for number, count in sorted(ranges.groupBy("__range").count().collect()):
+        if count >= left:
+            inside = ranges.filter(F.col("__range") == number)
+            last = inside.orderBy("__at").limit(left).agg(F.max("__at").alias("at"))
+            return (
+                walked.withColumn("__last", last.scalar())
+                .filter(key <= F.col("__last"))
+                .drop("__last")
+            )
+        left -= count
+    return walked

@@ -3,13 +3,15 @@
 from pyspark.sql import DataFrame, functions as F
 
 from pagelens.functions.fixed_values import SESSIONS_KEPT
+from pagelens.operators.discovery import first_k
 from pagelens.operators.shared import attach
 
 
 def session_rows(target: DataFrame, seeds: DataFrame) -> DataFrame:
     """SNK-8: a session per ``id, target_domain`` with its comma-joined seeds.
 
-    ``seeds`` is ``id, url, rank``. Seed lists are capped by the seed limit.
+    ``seeds`` is ``id, url, rank``. The text of a session is one cell, as long
+    as its own list; ``seed_rows`` keeps long lists as rows instead.
     """
     listed = (
         seeds.groupBy("id")
@@ -29,6 +31,12 @@ def session_rows(target: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
+def seed_rows(seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """SNK-8: ``session_id, rank, url``, one row per seed of a session."""
+    rows = seeds if most is None else first_k(seeds, ["id"], ["rank", "url"], most)
+    return rows.select(F.col("id").alias("session_id"), "rank", "url")
+
+
 def email_rows(results: DataFrame, session_id: int | None = None) -> DataFrame:
     """SNK-9: address rows of a session; a missing status is ``unknown``.
 

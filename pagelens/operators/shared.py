@@ -1,5 +1,7 @@
 """Building blocks shared by the jobs: shared storage, joins, ranks."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="pagelens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -34,6 +37,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any file system Spark can write to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def taken(df: DataFrame, *folders: str) -> DataFrame:
+    """Keeps what was read from scratch folders and removes the folders."""
+    kept = cut(df)
+    for folder in folders:
+        remove_folder(df.sparkSession, folder)
+    return kept
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives lost executors."""
     shared_folder(df.sparkSession)

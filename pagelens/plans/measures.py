@@ -49,10 +49,13 @@ def regional_scan(
     mx: DataFrame,
     tld: str = "cl",
     verify_mx: bool = True,
+    timed_out: DataFrame | None = None,
 ) -> DataFrame:
     """``comuna, domain, email, source, status, error`` of every target.
 
     ``pages`` carries the ``comuna`` it was collected for and ``crawl_seq``.
+    ``timed_out`` lists, in ``comuna``, targets whose verification did not
+    finish.
     """
     resolved = D.resolve_targets(targets, live)
     found = extract_contacts(pages, tld, keep=["comuna", "crawl_seq"])
@@ -64,6 +67,9 @@ def regional_scan(
     )
     if verify_mx:
         judged = classify_addresses(firsts, mx, smtp_enabled=False, tld=tld)
+        if timed_out is not None:
+            late = timed_out.select("comuna", F.lit(True).alias("__late")).distinct()
+            judged = unverified(attach(judged, late, "comuna"), F.col("__late"))
     else:
         judged = unverified(firsts, verify_mx=False)
     return judged.select(

@@ -1,6 +1,6 @@
 """The full run over recorded data: seeds, walk, contacts, verdicts."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pagelens.functions import fixed_values as V, text, urls
 from pagelens.operators import discovery as D, links as L
@@ -39,11 +39,8 @@ def live_seed_hosts(
     chosen = D.source_fallback(under, asked).filter("host IS NOT NULL")
     hosts = D.base_hosts(chosen, domains.select("domain"), ["seq", "pos"])
     order = ["seq", "pos", "host"]
-    heads = D.first_k(D.live_hosts(hosts, probes), ["domain"], order, most)
-    w = Window.partitionBy("domain").orderBy(*order)
-    return heads.select(
-        "domain", "host", "url", F.row_number().over(w).cast("bigint").alias("rank")
-    )
+    heads = D.first_k(D.live_hosts(hosts, probes), ["domain"], order, most, into="rank")
+    return heads.select("domain", "host", "url", F.col("rank").cast("bigint").alias("rank"))
 
 
 def scored_seed_links(
@@ -71,9 +68,8 @@ def scored_seed_links(
         .agg(F.max(F.struct("score", "dst")).alias("best"))
         .join(live.select("domain", "url"), ["domain", "url"], "left_anti")
     )
-    top = D.first_k(distinct, ["domain"], [F.desc("best")], max_seeds)
-    w = Window.partitionBy("domain").orderBy(F.desc("best"))
-    return top.select("domain", "url", F.row_number().over(w).alias("rank"))
+    top = D.first_k(distinct, ["domain"], [F.desc("best")], max_seeds, into="rank")
+    return top.select("domain", "url", "rank")
 
 
 def discover_seeds(

@@ -8,9 +8,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
-    # A split of page text is parsed in seconds; more splits than cores keeps
-    # the cluster even.
-    "spark.sql.files.maxPartitionBytes": "128MB",
+    # A split of page text is parsed in seconds; more splits than cores keep the
+    # cluster even without shuffling any text.
+    "spark.sql.files.maxPartitionBytes": "32MB",
     # Observations and reports are compared as UTC.
     "spark.sql.session.timeZone": "UTC",
     # Checkpointed rounds are removed when nothing refers to them any more.

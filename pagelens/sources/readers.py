@@ -8,24 +8,51 @@ from pagelens.operators.shared import spread, unnest
 
 
 def read_pages(
-    spark: SparkSession, path: str, seq: str = "page_id", widen: bool = True
+    spark: SparkSession, path: str, seq: str = "page_id", widen: bool = False
 ) -> DataFrame:
-    """SRC-1: page snapshots with ``crawl_seq``, their order of collection."""
+    """SRC-1: page snapshots with ``crawl_seq``, their order of collection.
+
+    ``widen`` shuffles the pages of a single small file over all cores; large
+    inputs have enough splits and no page text should be shuffled.
+    """
     pages = spark.read.parquet(path)
     if "crawl_seq" not in pages.columns:
         pages = pages.withColumn("crawl_seq", F.col(seq).cast("bigint"))
     return spread(pages, "url") if widen else pages
 
 
+def in_file_order(rows: DataFrame, into: str, *columns: str) -> DataFrame:
+    """Adds ``into``, a number that grows along each file that was read.
+
+    It is the offset of the row's split plus its place among the task's rows,
+    of which there are fewer than bytes, so later splits have greater numbers.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(
+        *(columns or rows.columns),
+        (F.col("_metadata.file_block_start") + place).alias(into),
+    )
+
+
+def named_domain(column: str | None = None) -> Column:
+    """The domain of a record: its own field, else the name of its file."""
+    of_file = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return of_file if column is None else F.coalesce(F.col(column), of_file)
+
+
 def lines_of(lines: DataFrame, column: str = "value") -> DataFrame:
     """SRC-2: trimmed lines, blanks and ``#`` comments left out."""
     tidy = lines.withColumn(column, text.strip(F.col(column)))
     return tidy.filter((F.length(column) > 0) & ~F.col(column).startswith("#"))
 
 
-def read_line_list(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-2: one item per line in ``value``."""
-    return lines_of(spark.read.text(path))
+def read_line_list(spark: SparkSession, path: str, column: str = "value") -> DataFrame:
+    """SRC-2: one item per line in ``column``, with ``rank`` in file order.
+
+    With ``column="url"`` the result is a seed list.
+    """
+    lines = in_file_order(spark.read.text(path), "rank").withColumnRenamed("value", column)
+    return lines_of(lines, column)
 
 
 def addresses_of(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -51,9 +78,28 @@ def packed_names(records: DataFrame, keep: list | None = None) -> DataFrame:
     return unnest(records, keep or [], F.split("name_value", r"\R"), "name")
 
 
-def read_ct_crtsh(spark: SparkSession, path: str) -> DataFrame:
-    records = spark.read.schema(schemas.CT_CRTSH).json(path, multiLine=True)
-    return packed_names(records)
+def _ct_records(spark: SparkSession, path: str, schema: str, order: int, lines: bool):
+    """Records with ``domain, source_order, seq`` before their own columns.
+
+    ``lines`` reads one record a line, which splits large files; else a file is
+    one array of records, as the log services answer.
+    """
+    found = spark.read.schema(f"domain STRING, {schema}").json(path, multiLine=not lines)
+    own = [c for c in found.columns if c != "domain"]
+    ordered = in_file_order(
+        found.withColumn("__domain", named_domain("domain")), "seq", "__domain", *own
+    )
+    return ordered.select(
+        F.col("__domain").alias("domain"), F.lit(order).alias("source_order"), "seq", *own
+    )
+
+
+_CT_KEYS = ["domain", "source_order", "seq"]
+
+
+def read_ct_crtsh(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC-4: ``domain, source_order, seq, pos, name`` from saved answers."""
+    return packed_names(_ct_records(spark, path, schemas.CT_CRTSH, 0, lines), _CT_KEYS)
 
 
 def listed_names(issuances: DataFrame, keep: list | None = None) -> DataFrame:
@@ -62,9 +108,21 @@ def listed_names(issuances: DataFrame, keep: list | None = None) -> DataFrame:
     return unnest(issuances, keep or [], names, "name")
 
 
-def read_ct_certspotter(spark: SparkSession, path: str) -> DataFrame:
-    issuances = spark.read.schema(schemas.CT_CERTSPOTTER).json(path, multiLine=True)
-    return listed_names(issuances)
+def read_ct_certspotter(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC-5: ``domain, source_order, seq, pos, name`` from saved answers."""
+    return listed_names(
+        _ct_records(spark, path, schemas.CT_CERTSPOTTER, 1, lines), _CT_KEYS
+    )
+
+
+def read_ct_asked(spark: SparkSession, path: str, source_order: int) -> DataFrame:
+    """``domain, source_order, answered``: a saved answer, even an empty one."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(
+        named_domain().alias("domain"),
+        F.lit(source_order).alias("source_order"),
+        F.lit(True).alias("answered"),
+    )
 
 
 def read_doh_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -84,27 +142,43 @@ def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
     return suffix_rules(spark.read.text(path))
 
 
+def _under_domain(address: Column, domain: Column) -> Column:
+    """The address up to the last place where its host ends with the domain.
+
+    A label boundary stands before the domain and no letter, digit or
+    underscore after it; NULL where there is no such place.
+    """
+    host = F.concat(F.lit("."), F.substring_index(address, "@", -1))
+    turned, wanted = F.reverse(host), F.reverse(F.concat(F.lit("."), domain))
+    at = F.instr(turned, wanted)
+    after = F.substring(turned, at - 1, F.lit(1))
+    kept = F.reverse(F.substring(turned, at, F.length(turned)))
+    fits = (at == 1) | ((at > 1) & after.isin(".", "-"))
+    return F.when(
+        fits,
+        F.concat(F.substring_index(address, "@", 1), F.lit("@"), F.substring(kept, F.lit(2), F.length(kept))),
+    )
+
+
 def keyserver_rows(index_pages: DataFrame) -> DataFrame:
     """SRC-10: ``domain, server, outcome, count, addresses`` per saved page.
 
     Input is ``domain, server, status, body``. Only addresses under the
     page's own domain count. Status 404 means asked and none, 200 means
-    answered; anything else is a non-response.
+    answered; anything else is a non-response. One pattern finds the addresses
+    of every page; their host is then compared with the page's domain.
     """
-    pattern = F.concat(
-        F.lit(rf"(?iU)(?:(?<!{V.LOCAL_CHARS})|\G){V.LOCAL_CHARS}++@(?:[a-zA-Z0-9\-]+\.)*"),
-        F.regexp_replace("domain", r"([^A-Za-z0-9])", r"\\$1"),
-        F.lit(r"\b"),
-    )
+    local = V.LOCAL_CHARS
+    pattern = rf"(?U)(?:(?<!{local})|\G){local}++@[a-zA-Z0-9.\-]++(?![\w@])"
     ok = F.col("status") == 200
-    found = F.when(
-        ok,
-        F.array_sort(
-            F.array_distinct(
-                F.transform(F.regexp_extract_all("body", pattern, 0), F.lower)
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    domain = F.lower("domain")
+    under = F.transform(
+        F.regexp_extract_all("body", F.lit(pattern), 0),
+        lambda a: _under_domain(F.lower(a), domain),
+    )
+    found = F.when(ok, F.array_sort(F.array_distinct(F.array_compact(under)))).otherwise(
+        F.array().cast("array<string>")
+    )
     rows = index_pages.withColumn("__found", found)
     keep = [c for c in index_pages.columns if c not in ("status", "body")]
     return rows.select(
@@ -122,8 +196,3 @@ def keyserver_rows(index_pages: DataFrame) -> DataFrame:
 def target_list(spark: SparkSession) -> DataFrame:
     """SRC-11: ``comuna, domain`` of the regional target list."""
     return spark.createDataFrame(V.TARGETS, "comuna STRING, domain STRING")
-
-
-def lower_headers(headers: Column) -> Column:
-    """Header names are matched in lower case."""
-    return F.transform_keys(headers, lambda k, _: F.lower(k))

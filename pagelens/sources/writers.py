@@ -23,11 +23,26 @@ def write_valid_csv(results: DataFrame, path: str, mode: str = "errorifexists"):
     _csv(R.mailable(results), path, mode)
 
 
+TOOL, VERSION = "pagelens", "1"
+
+
+def summary_path(path: str) -> str:
+    """Where the metadata of an export lies: beside its records."""
+    return f"{path.rstrip('/')}.summary"
+
+
 def write_records_json(results: DataFrame, path: str, mode: str = "errorifexists"):
-    """SNK-2: every record; absent optional fields are absent keys."""
+    """SNK-2: every record, and the run's metadata beside them.
+
+    Absent optional fields are absent keys. ``<path>.summary`` holds one
+    object: tool, version, time of export and the count of every status.
+    """
     R.normalize_records(results).write.mode(mode).option(
         "ignoreNullFields", True
     ).json(path)
+    R.run_summary(results, TOOL, VERSION).coalesce(1).write.mode(mode).json(
+        summary_path(path)
+    )
 
 
 def write_report_rows(results: DataFrame, path: str, mode: str = "errorifexists"):

@@ -50,7 +50,7 @@ def test_entities(spark):
     listed = spark.createDataFrame([("nunoa.cl",)], "domain STRING")
     got = dict(D.with_entity(table, listed).select("domain", "entity").collect())
     assert got == dict(ENTITIES)
-    assert dict(D.with_entity(table).select("domain", "entity").collect())["nunoa.cl"] == "company"
+    assert dict(D.with_entity(table).select("domain", "entity").collect())["nunoa.cl"] == "municipality"
 
 
 SCORES = [

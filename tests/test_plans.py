@@ -99,6 +99,60 @@ def test_attach_keeps_rows_and_splits_a_hot_key(spark):
     assert none.filter("v IS NULL").count() == 10_000
 
 
+@pytest.mark.parametrize("salts", [1, 8])
+def test_filters_pass_an_attached_lookup(spark, salts):
+    facts_ = spark.read.parquet(f"{SF}/events.parquet")
+    lookup = spark.range(100).selectExpr("id AS user_id", "id AS v")
+    text = plan(attach(facts_, lookup, "user_id", "inner", salts).filter("event_id = 7"))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_id,7\)", text)
+
+
+def test_salted_lookup_keeps_rows(spark):
+    facts_ = spark.range(5000).select((F.col("id") % 3).alias("k"), "id")
+    lookup = spark.createDataFrame([(0, 1), (1, 2)], "k BIGINT, v INT")
+    assert attach(facts_, lookup, "k", salts=8).agg(F.count("v"), F.count("id")).first() == (3334, 5000)
+
+
+@pytest.fixture
+def parsed(spark, monkeypatch, tmp_path):
+    """Names of the pages handed to the tokenizer, one file a call."""
+    import uuid
+
+    folder, true = str(tmp_path), markup._facts_with_links
+
+    def facts_of(html, url=None):
+        def count(html, url):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write("\n".join(u for h, u in zip(html.to_pylist(), url.to_pylist()) if h is not None))
+            return true(html, url)
+
+        return F.arrow_udf(count, markup.FACTS).asNondeterministic()(html, F.lit("x") if url is None else url)
+
+    monkeypatch.setattr(markup, "facts_of", facts_of)
+
+    def seen():
+        return sum(len(f.read_text().split()) for f in tmp_path.iterdir())
+
+    return seen
+
+
+def test_scan_parses_each_page_once(spark, pages, parsed):
+    table = pages(*[(f"https://a.cl/{i}", f"<p>p{i}@a.cl</p><a href='/{i + 1}'>n</a>") for i in range(6)])
+    seeds = spark.createDataFrame([("https://a.cl/0", 0)], "url STRING, rank INT")
+    mx = spark.createDataFrame([("a.cl", "mx", None)], "domain STRING, mx_outcome STRING, mx_detail STRING")
+    run = scan.scan(table, seeds, mx, smtp_enabled=False)
+    assert run["results"].count() == 4 and run["walls"].count() == 1 and run["walk"].count() == 4
+    assert parsed() == 6
+
+
+def test_evidence_parses_pages_twice(spark, pages, parsed):
+    from pagelens.operators import evidence
+
+    table = pages(*[(f"https://a.cl/{i}", f"<p>p{i}@a.cl</p>") for i in range(5)])
+    assert evidence.attach_evidence(C.extract_contacts(table), table).count() == 5
+    assert parsed() <= 10
+
+
 def test_spread_widens_only_narrow_scans(spark):
     one = spark.read.parquet(f"{SF}/pages.parquet")
     assert spread(one, "url").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelens import schemas
 from pagelens.operators import results as R, sessions as S
@@ -91,18 +92,58 @@ def test_lists(spark, tmp_path):
     )
     rows = [(r.email, r.source) for r in readers.read_address_list(spark, str(file)).collect()]
     assert rows == [("a@b.cl", ""), ("c@d.cl", "https://s.cl/"), ("e@f.cl", ""), ("x", "")]
-    assert readers.read_line_list(spark, str(file)).count() == 4
+    listed = readers.read_line_list(spark, str(file), "url").orderBy("rank").collect()
+    assert [r.url for r in listed] == ["a@b.cl", "c@d.cl\tvalid\thttps://s.cl/", "e@f.cl\tvalid", "x"]
 
 
 def test_certificate_files(spark, tmp_path):
-    packed = tmp_path / "crt.json"
+    packed = tmp_path / "a.cl.json"
     packed.write_text('[{"name_value":"a.cl\\nwww.a.cl"},{"name_value":"*.a.cl"}]')
-    assert [r.name for r in readers.read_ct_crtsh(spark, str(packed)).collect()] == [
-        "a.cl", "www.a.cl", "*.a.cl"
+    names = readers.read_ct_crtsh(spark, str(packed)).orderBy("seq", "pos").collect()
+    assert [(r.domain, r.source_order, r.pos, r.name) for r in names] == [
+        ("a.cl", 0, 0, "a.cl"), ("a.cl", 0, 1, "www.a.cl"), ("a.cl", 0, 0, "*.a.cl")
     ]
     listed = tmp_path / "spot.json"
-    listed.write_text('[{"dns_names":["a.cl","b.cl"]},{"id":1}]')
+    listed.write_text('[{"dns_names":["a.cl","b.cl"]},{"id":1,"domain":"x.cl"}]')
     assert readers.read_ct_certspotter(spark, str(listed)).count() == 2
+    lines = tmp_path / "many.json"
+    lines.write_text("".join(f'{{"domain":"d.cl","name_value":"h{i}.d.cl"}}\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        split = readers.read_ct_crtsh(spark, str(lines), lines=True)
+        assert split.rdd.getNumPartitions() > 3
+        rows = split.orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.name for r in rows] == [f"h{i}.d.cl" for i in range(3000)]
+
+
+def test_files_feed_seed_discovery(spark, pages, tmp_path):
+    """From saved answers to seeds without any column added by hand."""
+    from pagelens.plans import scan
+
+    crt, spot = tmp_path / "crt", tmp_path / "spot"
+    crt.mkdir(), spot.mkdir()
+    (crt / "a.cl.json").write_text("[]")
+    (spot / "a.cl.json").write_text('[{"dns_names":["mail.a.cl"]}]')
+    (crt / "b.cl.json").write_text('[{"name_value":"x.b.cl\\n*.b.cl"}]')
+    names = readers.read_ct_crtsh(spark, str(crt)).unionByName(
+        readers.read_ct_certspotter(spark, str(spot))
+    )
+    asked = readers.read_ct_asked(spark, str(crt), 0).unionByName(
+        readers.read_ct_asked(spark, str(spot), 1)
+    )
+    assert sorted((r.domain, r.source_order) for r in asked.collect()) == [
+        ("a.cl", 0), ("a.cl", 1), ("b.cl", 0)
+    ]
+    probes = spark.createDataFrame(
+        [("mail.a.cl", True, 200), ("x.b.cl", True, 404)],
+        "host STRING, resolved BOOLEAN, http_status INT",
+    )
+    domains = spark.createDataFrame([("a.cl",), ("b.cl",)], "domain STRING")
+    seeds = scan.discover_seeds(domains, names, asked, probes, pages(("https://a.cl/", "<p>x</p>")))
+    found = {(r.domain, r.url) for r in seeds.collect()}
+    assert found == {("a.cl", "https://mail.a.cl"), ("b.cl", "https://x.b.cl")}
 
 
 def test_suffix_rules_and_doh_files(spark, tmp_path):
@@ -183,3 +224,31 @@ def test_session_row_joins_its_seeds(spark):
 def test_saved_rows_default_to_unknown(spark):
     rows = spark.createDataFrame([("a@x.cl", "s", None)], "email STRING, source STRING, status STRING")
     assert S.email_rows(rows, 5).first() == (5, "a@x.cl", "s", "unknown")
+
+
+def test_export_metadata_lies_beside_the_records(spark, results, tmp_path):
+    odd = results.withColumn("status", F.when(F.col("status") == "invalid", "rebotado").otherwise(F.col("status")))
+    path = str(tmp_path / "todo.json")
+    writers.write_results(odd, path)
+    head = spark.read.schema(
+        "tool STRING, exported_at STRING, summary MAP<STRING, BIGINT>"
+    ).json(writers.summary_path(path)).first()
+    assert head.tool == "pagelens" and head.exported_at
+    assert head.summary["catch_all"] == 1 and head.summary["rebotado"] == 1
+    assert head.summary["invalid"] == 0 and head.summary["total"] == 6
+
+
+def test_seed_rows_keep_every_seed(spark):
+    seeds = spark.range(2000).selectExpr("1L AS id", "concat('u', id) AS url", "id AS rank")
+    assert S.seed_rows(seeds).count() == 2000
+    few = S.seed_rows(seeds, 3).collect()
+    assert sorted(r.url for r in few) == ["u0", "u1", "u2"]
+
+
+@pytest.mark.parametrize("k", [3, 1500])
+def test_first_k_with_rank(spark, k):
+    from pagelens.operators.discovery import first_k
+
+    rows = spark.range(4000).selectExpr("id % 2 AS key", "id AS v")
+    got = first_k(rows, ["key"], ["v"], k, into="r").collect()
+    assert len(got) == 2 * k and all(r.v == 2 * (r.r - 1) + r.key for r in got)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +60,13 @@ def test_progress_counts_batches_and_rows(spark, arrivals, tmp_path):
         found = S.stream_contacts(S.stream_pages(spark, arrivals, SCHEMA, 2))
         query = S.count_batches(found, str(tmp_path / "n"), str(tmp_path / "s"))
         query.awaitTermination()
+        key, until = str(query.id), time.time() + 20
+        while listener.batches.get(key, 0) < 2 and time.time() < until:
+            time.sleep(0.1)
     finally:
         spark.streams.removeListener(listener)
+    assert listener.batches[key] == 2
+    assert listener.rows[key] == spark.read.schema(SCHEMA).parquet(arrivals).count()
     noted = spark.read.schema("found BIGINT, batch_id INT").parquet(str(tmp_path / "n"))
     assert noted.agg(F.sum("found")).first()[0] == 80
     assert noted.count() == 2
