@@ -16,7 +16,6 @@ extra columns are ignored.
 """
 
 import base64
-from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,13 +24,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from pagelens.llm.worker import hold
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Bytes merged without a further split, and ids decoded without one.
 LEAF_BYTES = 32
 LEAF_IDS = 4096
 # Pieces per generation of the memo; two generations are held at most.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 400_000
 # Documents returned in one Arrow batch.
 OUT_DOCS = 256
 
@@ -168,10 +169,9 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-@cache
 def coder_of(path: str) -> TreeBpe:
     """The coder of this worker process, so that tasks share its memo."""
-    return TreeBpe(read_ranks(path))
+    return hold(("bytes", path), lambda: TreeBpe(read_ranks(path)))
 
 
 def _mapped(df: DataFrame, column: str, out: str, path: str, work) -> DataFrame:

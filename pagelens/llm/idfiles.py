@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagelens.llm.words import WORD_TOKENIZER, word_encoder
-from pagelens.operators.shared import cut
+from pagelens.operators.shared import cut, taken
 
 MAGIC = b"PLDAC001"
 END_ID = 2
@@ -273,14 +273,6 @@ def read_id_files(files: DataFrame, folder: str, with_ids: bool = False) -> Data
     return listed.repartition(tasks, "path").mapInArrow(run, schema)
 
 
-def remove_folder(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def round_trip(docs: DataFrame, folder: str, **options) -> DataFrame:
     """Writes, reads back, keeps the digests and removes the files."""
-    spark = docs.sparkSession
-    found = cut(read_id_files(write_id_files(docs, folder, **options), folder))
-    remove_folder(spark, folder)
-    return found
+    return taken(read_id_files(write_id_files(docs, folder, **options), folder), folder)

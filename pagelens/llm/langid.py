@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pagelens.llm.worker import hold
+
 SAMPLE_CHARS = 30_000
 # Rows considered for the sample of one language; a text gives no more than
 # this share of the sample, so that it is not one long document.
@@ -258,6 +260,7 @@ def identify(
 
     def predict(texts: pa.Array) -> pa.Array:
         # Values are decoded a slice at a time.
+        hold("language")
         names, scores, part, held = [], [], [], 0
         for text in texts:
             part.append(text.as_py())

@@ -36,7 +36,7 @@ from pagelens.llm.shingles import mix, set_id, shingle_sets
 from pagelens.operators.shared import cut, small
 
 # Tokens of a block; two blocks meet in a task.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 # Candidate sets sent to every task instead of a shuffle of texts.
 BROADCAST_ROWS = 200_000
 

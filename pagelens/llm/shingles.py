@@ -10,6 +10,8 @@ from hashlib import blake2b
 
 import numpy as np
 
+from pagelens.llm.worker import hold
+
 # Bytes of text hashed at once; bounds a task's memory.
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -89,6 +91,7 @@ def _slice_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 def shingle_sets(texts: list, size: int):
     """One sorted array of distinct hashes per text, in order."""
+    hold("shingles")
     part, held = [], 0
     for text in texts:
         part.append((text or "").encode("utf-8", "surrogatepass"))

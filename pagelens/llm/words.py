@@ -6,15 +6,16 @@ heavily; the library encodes each one once while it stays in the memo.
 """
 
 import os
-from functools import cache
 
 import numpy as np
 import public_tokenizers
 
+from pagelens.llm.worker import hold
+
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Parts held per generation of the memo; two generations are held at most.
-MEMO_PARTS = 350_000
+MEMO_PARTS = 500_000
 # Characters of text whose parts are looked up together.
 SLICE_CHARS = 2_000_000
 
@@ -180,7 +181,6 @@ class WordEncoder:
         return [b"".join(row) for row in found]
 
 
-@cache
 def word_encoder(path: str = WORD_TOKENIZER) -> WordEncoder:
     """The encoder of this worker process, so that tasks share its memo."""
-    return WordEncoder(path)
+    return hold(("words", path), lambda: WordEncoder(path))
