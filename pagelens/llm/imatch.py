@@ -8,7 +8,9 @@ subsets in which they keep a few terms; a change touches only the subsets that
 hold a changed term. A term's subsets follow from its SHA-256.
 
 Two fingerprints are as alike as the subsets in which they agree, each weighing
-one over the terms kept there; subsets empty on both sides say nothing.
+one over the square of the terms kept there (a subset of one term agrees as often
+as the texts share terms, larger ones less); subsets empty on both sides say
+nothing.
 
 The lexicon's lower bound is a share of the documents, so it holds at most the
 mean number of distinct terms a document divided by that share, however large
@@ -30,14 +32,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BAND = (1 / 500, 1 / 20)
 # Bytes of the classic hash and of each subset's.
 HASH_CHARS = 8
-# (first hex digit, digits, bound): a term is in if those digits are below it.
-RATES = ((1, 1, "4"), (9, 1, "1"), (17, 2, "04"), (33, 2, "01"))
-REPLICAS = 8
+# (first hex digit, digits, bound, subsets): a term is in a subset if those
+# digits of its SHA-256 are below the bound; rates of 1/4, 1/16, 1/64, 1/256.
+RATES = ((1, 1, "4", 12), (13, 1, "1", 12), (25, 2, "04", 16), (1, 2, "01", 8))
 SUBSETS = tuple(
     (first + i * digits, digits, bound)
-    for first, digits, bound in RATES
-    for i in range(REPLICAS)
+    for first, digits, bound, count in RATES
+    for i in range(count)
 )
+# Hex digits read as one number; no subset's digits lie across two of them.
+_CHUNK = 12
 SEPARATORS = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 _BUCKETS = 1 << 12
 
@@ -97,13 +101,31 @@ def with_marks(rows: DataFrame, text: str, out: str, lists: Column) -> DataFrame
             ),
             lambda w: F.struct(w.alias("w"), F.sha2(w, 256).alias("h")),
         ),
+    ).withColumn(
+        part[2],
+        F.transform(
+            part[2],
+            lambda t: F.struct(
+                t["w"].alias("w"),
+                *[
+                    F.conv(F.substring(t["h"], 1 + i * _CHUNK, _CHUNK), 16, 10)
+                    .cast("bigint")
+                    .alias(f"c{i}")
+                    for i in range(5)
+                ],
+            ),
+        ),
     )
 
     def subset(first, digits, bound):
-        inside = F.filter(
-            part[2], lambda t: F.substring(t["h"], first, digits) < F.lit(bound)
-        )
-        return F.transform(inside, lambda t: t["w"])
+        chunk, at = divmod(first - 1, _CHUNK)
+        shift, mask = 4 * (_CHUNK - at - digits), 16**digits - 1
+
+        def inside(t):
+            value = F.shiftright(t[f"c{chunk}"], shift).bitwiseAND(F.lit(mask).cast("bigint"))
+            return value < int(bound, 16)
+
+        return F.transform(F.filter(part[2], inside), lambda t: t["w"])
 
     everything = F.transform(part[2], lambda t: t["w"])
     subsets = kept.withColumn(
@@ -144,7 +166,7 @@ def likeness(a: Column, b: Column) -> Column:
         b,
         lambda x, y: F.struct(
             F.when((x["n"] == 0) & (y["n"] == 0), F.lit(0.0))
-            .otherwise(1.0 / F.greatest(x["n"], y["n"]))
+            .otherwise(1.0 / F.pow(F.greatest(x["n"], y["n"]), F.lit(2)))
             .alias("w"),
             (x["h"] == y["h"]).cast("double").alias("e"),
         ),
@@ -297,11 +319,11 @@ def _marks_sql(source: str, text: str) -> str:
 def _likeness_sql(a: str, b: str) -> str:
     weights = (
         f"[CASE WHEN x.n = 0 AND {b}[i].n = 0 THEN 0.0::DOUBLE ELSE "
-        f"1.0::DOUBLE / greatest(x.n, {b}[i].n) END FOR x, i IN {a}]"
+        f"1.0::DOUBLE / greatest(x.n, {b}[i].n) ** 2 END FOR x, i IN {a}]"
     )
     hits = (
         f"[CASE WHEN x.h <> {b}[i].h OR (x.n = 0 AND {b}[i].n = 0) THEN 0.0::DOUBLE ELSE "
-        f"1.0::DOUBLE / greatest(x.n, {b}[i].n) END FOR x, i IN {a}]"
+        f"1.0::DOUBLE / greatest(x.n, {b}[i].n) ** 2 END FOR x, i IN {a}]"
     )
     return (
         f"round(CASE WHEN list_sum({weights}) > 0 THEN list_sum({hits}) / list_sum({weights}) "

@@ -1,6 +1,6 @@
 """Registry and small helpers of the text operators."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,18 +20,3 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def parts_for(df: DataFrame, *, per_core: int = 3) -> int:
-    """Partitions for a narrow or evenly keyed shuffle of ``df``.
-
-    At least what the session asks for, so that a cluster's setting decides.
-    """
-    spark = df.sparkSession
-    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(asked, 1)
-
-
-def whole(text: Column) -> Column:
-    """NULL text counts as empty."""
-    return F.coalesce(text, F.lit(""))

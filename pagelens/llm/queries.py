@@ -71,12 +71,12 @@ def op10_hypergeometric_shards(spark, sf_dir):
     )
 
 
-@query("op7_epsilon_grid_order_join")
+@query("op7_epsilon_grid_order_join", vectors.near_sql())
 def op7_epsilon_grid_order_join(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op8_set_relation_join")
+@query("op8_set_relation_join", setjoin.groups_sql(3, 90, 100))
 def op8_set_relation_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return setjoin.near_duplicate_groups(docs, size=3, num=90, den=100)

@@ -311,3 +311,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return linked.unionByName(alone).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def near_sql(cosine: float = COSINE) -> str:
+    """The same by comparing all pairs, for small tables."""
+    return f"""
+WITH RECURSIVE good AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE list_count(embedding) = len(embedding)
+      AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+        ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= {cosine!r}::DOUBLE),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+found AS (
+    SELECT v.vec_id, (SELECT count(*) FROM link WHERE a = v.vec_id) AS n_links,
+        least(v.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = v.vec_id), v.vec_id)) AS component_id
+    FROM embeddings v)
+SELECT *, vec_id = component_id AS kept FROM found
+"""
