@@ -9,9 +9,10 @@ tokens they do not share are read.
 
 What tasks get is decided by keys. Two sets that link differ in a bounded
 number of tokens, so of that many token ranges plus one at least one is equal;
-a key names the content of one range. Sets that share a key are joined into
-candidate groups by sorted runs of keys, so no group is ever collected and
-a frequent key is split over tasks. A candidate group is then joined in blocks
+a key names the content of one range. Sets that share a key form candidate
+groups. Rows are sorted by key and set over all tasks, so no group is ever
+collected and a frequent key is split; keys of passages that many sets hold are
+left out wherever a set has enough others. A candidate group is then joined in blocks
 of bounded token count; blocks are paired in two rounds, and the second takes
 only pairs that are not yet in one component.
 
@@ -28,15 +29,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelens.llm.components import components
 from pagelens.llm.shingles import mix, set_id, shingle_sets
+from pagelens.llm.worker import document_batches
 from pagelens.operators.shared import cut, small
 
 # Tokens of a block; two blocks meet in a task.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
+# Greatest number of tokens asked of a range.
+MOST_TOKENS = 8
+# Sets that may have a key before it counts as common.
+COMMON_SETS = 8
 # Candidate sets sent to every task instead of a shuffle of texts.
 BROADCAST_ROWS = 200_000
 
@@ -45,14 +50,15 @@ class Ranges:
     """Token ranges by set size, for links of at least ``num / den``.
 
     Class ``c`` holds the sizes up to ``tops[c]``; a set and a larger partner
-    are in one class or in adjoining ones. For a pair whose smaller set is in
-    class ``c``, at most ``apart(c)`` tokens differ.
+    are in one class or in adjoining ones, and both take the ranges of the
+    smaller one's class. At most ``apart(c)`` tokens of such a pair differ, and
+    at most ``differ(size, larger)`` for a set of that size in that role.
     """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.tops = [0]
-        self._counts: dict[int, int] = {}
+        self._plans: dict[int, tuple[int, int]] = {}
 
     def class_of(self, size: int) -> int:
         while self.tops[-1] < size:
@@ -63,45 +69,70 @@ class Ranges:
     def apart(self, c: int) -> int:
         return self.tops[c] * (self.den - self.num) // self.num
 
-    def count(self, c: int) -> int:
-        """Ranges of class ``c``: enough non-empty ones for nearly every set."""
-        found = self._counts.get(c)
+    def differ(self, size: int, larger: bool) -> int:
+        lost = (self.den - self.num) * size
+        return 2 * lost // (self.den + self.num) if larger else lost // self.num
+
+    def plan(self, c: int) -> tuple[int, int]:
+        """Ranges of class ``c`` and the least tokens of a range with a key.
+
+        The more tokens a range must hold, the less do sets meet that only
+        share a passage. Nearly every set must have more such ranges than
+        tokens that may differ, and a few to spare for common passages.
+        """
+        found = self._plans.get(c)
         if found is None:
-            need, least = self.apart(c) + 1, self.tops[c - 1] + 1
-            k = need
-            while True:
-                empty = k * math.exp(-least / k)
-                if k - empty - 2 * math.sqrt(empty) >= need or k >= 4 * need:
+            need = self.apart(c) + 1
+            self.class_of(self.tops[c] + 1)
+            low, high = self.tops[c - 1] + 1, self.tops[c]
+            roles = [(low, False), (high, False), (self.tops[c + 1], True)]
+            counts = np.arange(need, max(need + 2, 3 * low // 2 + 2))
+            found = need, 0
+            for tokens in range(MOST_TOKENS, 0, -1):
+                enough = np.ones(len(counts), dtype=bool)
+                for size, larger in roles:
+                    mean = size / counts
+                    below = sum(mean**i / math.factorial(i) for i in range(tokens))
+                    few = counts * np.exp(-mean) * below
+                    wanted = self.differ(size, larger) + 1
+                    enough &= counts - few - np.sqrt(few) >= wanted + 2
+                if enough.any():
+                    found = int(counts[np.argmax(enough)]), tokens
                     break
-                k += 1
-            found = self._counts[c] = k
+            self._plans[c] = found
         return found
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """Keys of a set: as the smaller of its class, as the larger of the last.
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set with their notes, as the smaller and as the larger.
 
-        Empty ranges are named only by a set with too few others: then at least
-        one of the equal ranges of a pair may be empty on both sides.
+        If one set of a pair has more ranges of enough tokens than tokens that
+        differ, one of them is the same in both, and both name it. A set with
+        fewer names all its ranges, empty ones too: two such sets have at least
+        one equal range of any kind. The note is twice the number of keys that
+        the set could do without (-1 if none), plus one in the larger role.
         """
         own = self.class_of(len(hashes))
-        out = []
+        out, notes = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
         sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
         high = hashes >> np.uint64(32)
-        for c in (own, own - 1):
+        for c, larger in ((own, False), (own - 1, True)):
             if c < 1 or self.apart(c) == 0:
                 continue
-            k = self.count(c)
+            k, least = self.plan(c)
             place = ((high * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
             sizes = np.bincount(place, minlength=k)
             ends = np.cumsum(sizes)
             content = sums[ends] - sums[ends - sizes]
             name = np.arange(k, dtype=np.uint64) + np.uint64(c << 32)
             keys = mix(content + mix(name))
-            if int((sizes > 0).sum()) > self.apart(c):
-                keys = keys[sizes > 0]
+            full = sizes >= least
+            spare = int(full.sum()) - self.differ(len(hashes), larger) - 1
+            if spare >= 0:
+                keys = keys[full]
             out.append(keys)
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            notes.append(np.full(len(keys), 2 * max(spare, -1) + larger, np.int32))
+        return np.concatenate(out), np.concatenate(notes)
 
 
 def named_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -127,20 +158,17 @@ def named_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def range_keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """``key, set_id``; a task names each set once, so copies cost little."""
+    """``key, set_id, note``; a task names each set once, so copies cost little."""
 
     def run(batches):
         ranges = Ranges(num, den)
         seen: set[int] = set()
-        keys: list[np.ndarray] = []
-        names: list[np.ndarray] = []
+        parts: list[tuple] = []
         held = 0
 
         def rows():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))],
-                names=["key", "set_id"],
-            )
+            columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "note"])
 
         for batch in batches:
             for hashes in shingle_sets(batch.column(0).to_pylist(), size):
@@ -150,86 +178,98 @@ def range_keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 if name in seen:
                     continue
                 seen.add(name)
-                found = ranges.keys(hashes).view(np.int64)
-                keys.append(found)
-                names.append(np.full(len(found), name, np.int64))
-                held += len(found)
+                keys, notes = ranges.keys(hashes)
+                parts.append((keys.view(np.int64), np.full(len(keys), name, np.int64), notes))
+                held += len(keys)
                 if held >= 200_000:
                     yield rows()
-                    keys, names, held = [], [], 0
-        if keys:
+                    parts, held = [], 0
+        if parts:
             yield rows()
 
-    return docs.select("text").mapInArrow(run, "key bigint, set_id bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, set_id bigint, note int")
 
 
-def key_neighbours(keyed: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that connect all sets with a common key.
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows whose key another set may have, each once.
 
     Rows are range partitioned by key and set, so that the rows of a frequent
-    key lie in several tasks. Adjoining rows give the edges, and the first and
-    last row of every partition those across partitions.
+    key lie in several tasks, and read in order, so that no key is gathered.
+    The first and last row of a partition stay whatever they are.
     """
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        first = last = None
+        kept = None  # the last row, not decided yet
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
-            name = batch.column(1).to_numpy()
-            if last is None:
-                first = int(key[0]), int(name[0])
-            else:
-                key = np.concatenate([[last[0]], key])
-                name = np.concatenate([[last[1]], name])
-            last = int(key[-1]), int(name[-1])
-            met = np.flatnonzero((key[1:] == key[:-1]) & (name[1:] != name[:-1]))
-            edges = np.unique(np.stack([name[met], name[met + 1]]), axis=1)
-            n = edges.shape[1]
-            yield _edge_rows(edges[0], edges[1], [None] * n, [None] * n)
-        if first is not None:
-            # Side 0 is a partition's first row, side 1 its last.
-            ends = np.array([first[1], last[1]], np.int64)
-            yield _edge_rows(ends, ends, [first[0], last[0]], [2 * part, 2 * part + 1])
-
-    schema = "a bigint, b bigint, key bigint, at bigint"
+            columns = [c.to_numpy() for c in batch.columns]
+            first = kept is None
+            if not first:
+                columns = [np.concatenate([[k], c]) for k, c in zip(kept[0], columns)]
+            key, name = columns[0], columns[1]
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            same = np.zeros(len(key) + 1, dtype=bool)
+            same[1:-1] = (key[1:] == key[:-1]) & (name[1:] != name[:-1])
+            met = same[:-1] | same[1:]
+            # Copies of a set in several tasks: what holds for one holds for all.
+            met[0] |= first or kept[1]
+            for i in np.flatnonzero(~fresh):
+                met[i] |= met[i - 1]
+            for i in np.flatnonzero(~fresh)[::-1]:
+                met[i - 1] |= met[i]
+            fresh[0] = first or kept[2]
+            last = len(key) - 1
+            chosen = np.flatnonzero((met & fresh)[:last])
+            kept = [c[last] for c in columns], bool(met[last]), bool(fresh[last])
+            yield _key_rows([c[chosen] for c in columns])
+        if kept is not None and kept[2]:
+            yield _key_rows([np.array([v]) for v in kept[0]])
+
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(
+    return (
         keyed.repartitionByRange(parts, "key", "set_id")
         .sortWithinPartitions("key", "set_id")
-        .mapInArrow(run, schema)
+        .mapInArrow(run, keyed.schema)
     )
-    # Two rows for each partition, whatever the size of the data.
-    order = Window.orderBy("at")
-    across = (
-        found.filter(F.col("at").isNotNull())
-        .select(
-            "a",
-            F.lag("a").over(order).alias("b"),
-            "key",
-            F.lag("key").over(order).alias("key_before"),
-        )
-        .filter("key = key_before and a <> b")
-        .select("a", "b")
-    )
-    return found.filter(F.col("at").isNull()).select("a", "b").unionByName(across)
 
 
-def _edge_rows(a, b, key, at) -> pa.RecordBatch:
+def _key_rows(columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32())
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(a, pa.int64()),
-            pa.array(b, pa.int64()),
-            pa.array(key, pa.int64()),
-            pa.array(at, pa.int64()),
-        ],
-        names=["a", "b", "key", "at"],
+        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "set_id", "note"]
     )
 
 
+def key_neighbours(keyed: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that connect all sets which may link.
+
+    A key of more than ``COMMON_SETS`` sets is that of a passage, or of a large
+    group of near copies. A set that has enough other keys does without its
+    common ones: one of the others is still shared with every partner. Which
+    keys are common is one count over all sets, so both sides of a pair agree.
+    """
+    rows = cut(shared_keys(keyed).distinct())
+    sets = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("sets"), F.min("set_id").alias("a")
+    )
+    met = cut(rows.join(sets.filter("sets > 1"), "key"))
+    common = F.col("sets") > COMMON_SETS
+    spare = met.filter(common).groupBy("set_id", "note").agg(
+        (F.count(F.lit(1)) <= F.floor(F.col("note") / 2)).alias("spares")
+    )
+    kept = (
+        met.join(spare, ["set_id", "note"], "left")
+        .filter(~common | ~F.coalesce("spares", F.lit(False)))
+        .select("key", F.col("set_id").alias("b"))
+    )
+    least = kept.groupBy("key").agg(F.min("b").alias("a"))
+    return kept.join(least, "key").filter("a <> b").select("a", "b").distinct()
+
+
 class SkipJoin:
     """Exact join of the sets of one task; returns a spanning forest.
 
@@ -474,6 +514,7 @@ def near_duplicate_groups(
 
     Two rows link when ``den * intersection >= num * union``.
     """
+    document_batches(docs.sparkSession)
     named = cut(named_sets(docs, size))
     roots = linked_sets(docs, named, size, num, den)
     least = named.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(
@@ -487,3 +528,28 @@ def near_duplicate_groups(
     return named.join(of_set, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def groups_sql(size: int, num: int, den: int) -> str:
+    """The same by comparing all pairs that share a shingle, for small tables."""
+    return rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingle AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {size}
+        THEN [array_to_string(w[i : i + {size} - 1], ' ') FOR i IN range(1, len(w) - {size} + 2)]
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
+    FROM words),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+met AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+    FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+    SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+    WHERE {den} * n_both >= {num} * (x.n + y.n - n_both)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN reach ON a = d.doc_id GROUP BY d.doc_id
+"""

@@ -125,8 +125,18 @@ def test_linked_sets_share_a_key(seed, share):
             other.add(rng.getrandbits(64))
     if base == other or den * len(base & other) < num * len(base | other):
         return
-    a, b = (ranges.keys(np.array(sorted(s), np.uint64)) for s in (base, other))
-    assert len(np.intersect1d(a, b))
+    less, more = sorted((base, other), key=len)
+    same_class = ranges.class_of(len(less)) == ranges.class_of(len(more))
+    sides = []
+    for own, role in ((less, 0), (more, 0 if same_class else 1)):
+        keys, notes = ranges.keys(np.array(sorted(own), np.uint64))
+        chosen = (notes & 1) == role
+        sides.append((keys[chosen], int(notes[chosen][0]) >> 1))
+    shared = len(np.intersect1d(sides[0][0], sides[1][0]))
+    assert shared
+    # Without as many of its keys as a set can spare, one is left in common.
+    for keys, spare in sides:
+        assert len(keys) - spare > len(keys) - shared or spare < 0
 
 
 @settings(max_examples=60, deadline=None)
