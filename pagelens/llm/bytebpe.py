@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from pagelens.llm.worker import hold
+from pagelens.llm.worker import document_batches, hold
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -32,7 +32,7 @@ PATTERN = public_tokenizers.PATTERN
 LEAF_BYTES = 32
 LEAF_IDS = 4096
 # Pieces per generation of the memo; two generations are held at most.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 # Documents returned in one Arrow batch.
 OUT_DOCS = 256
 
@@ -175,6 +175,8 @@ def coder_of(path: str) -> TreeBpe:
 
 
 def _mapped(df: DataFrame, column: str, out: str, path: str, work) -> DataFrame:
+    document_batches(df.sparkSession)
+
     def run(batches):
         coder = coder_of(path)
         for batch in batches:

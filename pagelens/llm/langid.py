@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagelens.llm.worker import hold
+from pagelens.llm.worker import document_batches, hold
 
 SAMPLE_CHARS = 30_000
 # Rows considered for the sample of one language; a text gives no more than
@@ -256,6 +256,7 @@ def identify(
     sample character for each language, whatever the size of ``docs``.
     """
     spark = docs.sparkSession
+    document_batches(spark)
     parser = spark.sparkContext.broadcast(CrossParser(samples))
 
     def predict(texts: pa.Array) -> pa.Array:

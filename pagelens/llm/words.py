@@ -15,7 +15,7 @@ from pagelens.llm.worker import hold
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Parts held per generation of the memo; two generations are held at most.
-MEMO_PARTS = 500_000
+MEMO_PARTS = 300_000
 # Characters of text whose parts are looked up together.
 SLICE_CHARS = 2_000_000
 
@@ -82,9 +82,7 @@ class WordEncoder:
 
         self._lib = Tokenizer.from_file(path)
         self._lib.encode_special_tokens = True
-        # For words that normalising does not change.
-        self._bare = Tokenizer.from_file(path)
-        self._bare.normalizer = None
+        self._normalizer = self._lib.normalizer
         vocabulary = self._lib.get_vocab(with_added_tokens=False)
         self._closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -98,7 +96,10 @@ class WordEncoder:
         """
         words = [p for p in parts if p.isalpha() and p.islower() and max(p) < "\u0300"]
         joined = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-        found = self._bare.encode_batch_fast(joined, add_special_tokens=False)
+        # Normalising does not change these words.
+        self._lib.normalizer = None
+        found = self._lib.encode_batch_fast(joined, add_special_tokens=False)
+        self._lib.normalizer = self._normalizer
         ids = np.concatenate(
             [np.empty(0, "<u4"), *(np.array(x.ids, "<u4") for x in found)]
         ).astype("<u4")
