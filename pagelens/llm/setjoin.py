@@ -199,7 +199,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        kept = None  # the last row, not decided yet
+        kept = None  # the last set of the last key and whether it met another
 
         for batch in batches:
             if not batch.num_rows:
@@ -209,23 +209,19 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
             if not first:
                 columns = [np.concatenate([[k], c]) for k, c in zip(kept[0], columns)]
             key, name = columns[0], columns[1]
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
             same = np.zeros(len(key) + 1, dtype=bool)
             same[1:-1] = (key[1:] == key[:-1]) & (name[1:] != name[:-1])
             met = same[:-1] | same[1:]
-            # Copies of a set in several tasks: what holds for one holds for all.
             met[0] |= first or kept[1]
-            for i in np.flatnonzero(~fresh):
-                met[i] |= met[i - 1]
-            for i in np.flatnonzero(~fresh)[::-1]:
-                met[i - 1] |= met[i]
-            fresh[0] = first or kept[2]
-            last = len(key) - 1
-            chosen = np.flatnonzero((met & fresh)[:last])
-            kept = [c[last] for c in columns], bool(met[last]), bool(fresh[last])
+            # A set that several tasks named is one run of equal rows.
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            runs = np.flatnonzero(fresh)
+            any_met = np.logical_or.reduceat(met, runs)
+            chosen = runs[:-1][any_met[:-1]]
+            kept = [c[runs[-1]] for c in columns], bool(any_met[-1])
             yield _key_rows([c[chosen] for c in columns])
-        if kept is not None and kept[2]:
+        if kept is not None:
             yield _key_rows([np.array([v]) for v in kept[0]])
 
     spark = keyed.sparkSession

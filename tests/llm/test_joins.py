@@ -17,6 +17,7 @@ from pagelens.llm import setjoin, sharding, vectors
 from pagelens.llm.components import components
 from pagelens.llm.queries import QUERIES
 from pagelens.llm.shingles import shingle_sets
+from pagelens.llm.worker import BATCH_ROWS
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -99,6 +100,26 @@ def test_large_group_of_variants(spark, monkeypatch, block):
     assert joined(df, 3, 80, 100) == grouped(rows, 3, 80, 100)
 
 
+def test_keys_met_across_batches(spark):
+    """Rows of one key and set may lie on both sides of a batch's end."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), rng.randrange(5), 0) for _ in range(300)]
+    keyed = spark.createDataFrame(rows, "key BIGINT, set_id BIGINT, note INT").repartition(4)
+    sets = defaultdict(set)
+    for key, name, _ in rows:
+        sets[key].add(name)
+    spark.conf.set(BATCH_ROWS, "3")
+    try:
+        for parts in ("1", "6"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {(r.key, r.set_id) for r in setjoin.shared_keys(keyed).collect()}
+            want = {(k, s) for k, names in sets.items() if len(names) > 1 for s in names}
+            assert want <= got <= {(k, s) for k, names in sets.items() for s in names}
+    finally:
+        spark.conf.unset(BATCH_ROWS)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_candidates_may_be_shuffled(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "small", lambda df, rows: False)
     rows = list(enumerate(variants(5, 40, 3)))
