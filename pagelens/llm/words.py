@@ -15,7 +15,7 @@ from pagelens.llm.worker import hold
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Parts held per generation of the memo; two generations are held at most.
-MEMO_PARTS = 300_000
+MEMO_PARTS = 600_000
 # Characters of text whose parts are looked up together.
 SLICE_CHARS = 2_000_000
 
