@@ -12,6 +12,8 @@ from pagelens.llm import langid, packing, setjoin, surrogates
 from pagelens.operators.shared import cut, scratch_path, small
 
 BROADCAST_ROWS = 200_000
+# Workers are shared with the other stages, so the packing memo is half its size.
+MEMO_PARTS = 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts and packs all documents into windows."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memo_parts=MEMO_PARTS)
 
 
 STAGES = [

@@ -49,9 +49,12 @@ def token_pieces(
     end_id: int = END_ID,
     with_ids: bool = False,
     tokenizer: str = WORD_TOKENIZER,
+    memo_parts: int | None = None,
 ) -> DataFrame:
     """The pieces of every document, with their ids where asked for.
 
+    ``memo_parts`` trades a worker's memory for time (default: the encoder's).
+
     Cuts depend on the document alone, so the checksum of a piece is taken
     where its ids are made and no ids need to be shuffled.
     """
@@ -61,7 +64,7 @@ def token_pieces(
     document_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, memo_parts)
         for batch in batches:
             rows = [[] for _ in schema.fields]
             encoded = encoder.encode(batch.column(1).to_pylist())

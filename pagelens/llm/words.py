@@ -76,7 +76,8 @@ class WordEncoder:
     ordinary text.
     """
 
-    def __init__(self, path: str = WORD_TOKENIZER):
+    def __init__(self, path: str = WORD_TOKENIZER, memo_parts: int | None = None):
+        self._limit = memo_parts or MEMO_PARTS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,7 +127,7 @@ class WordEncoder:
 
     def _ready(self, fresh: set[str]) -> None:
         """Puts parts that the memo lacks into it."""
-        if len(self._memo) + len(fresh) > MEMO_PARTS:
+        if len(self._memo) + len(fresh) > self._limit:
             self._old, self._memo = self._memo, {"": b""}
         memo, old = self._memo, self._old
         unknown, derived = set(), []
@@ -182,6 +183,9 @@ class WordEncoder:
         return [b"".join(row) for row in found]
 
 
-def word_encoder(path: str = WORD_TOKENIZER) -> WordEncoder:
+def word_encoder(
+    path: str = WORD_TOKENIZER, memo_parts: int | None = None
+) -> WordEncoder:
     """The encoder of this worker process, so that tasks share its memo."""
-    return hold(("words", path), lambda: WordEncoder(path))
+    name = "words", path, memo_parts
+    return hold(name, lambda: WordEncoder(path, memo_parts))
