@@ -5,7 +5,8 @@ split at the matches and put together again with surrogates in their place. A
 surrogate is drawn from a keyed SHA-512 of the entity's normal form, so every
 mention of an entity gets the same one, written the way the mention is written.
 It keeps what the type asks for: a card number passes its checksum, a phone its
-country digit, a name its script and the gender its title tells.
+country digit, a name its script and the gender its title tells. Cards are
+looked for inside runs of digits; the digits beside a card stay.
 
 Distinct entities must keep distinct surrogates, and no surrogate may be an
 entity of the data: the table of entities is checked for both, and those that
@@ -51,10 +52,22 @@ KINDS = {
         r"|(?<![\d\-])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?![\d\-])"
     ),
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\d\-])[3-6](?:[ \-]?\d){12,18}(?!\d)",
     "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.?[  ]{_NAME}(?:[  ]{_NAME})?",
 }
+# Digits with single separators, up to where an entity of another kind begins;
+# the cards in them are found by their checksum.
+_OTHER = "|".join(KINDS[kind] for kind in ("email", "ip", "phone", "ssn"))
+KINDS["card"] = rf"(?<!\d)\d(?:(?:[ \-](?!{_OTHER}))?\d){{12,}}+"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+# Of two valid lengths at one place the first is taken.
+CARD_DIGITS = (16, 19, 18, 17, 15, 14, 13)
+# Beginnings and lengths that issuers give out, and how they group the digits.
+ISSUED = (
+    r"\A(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}"
+    r"|6(?:011|5\d\d|4[4-9]\d)\d{12}|62\d{14,17}"
+    r"|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15})\z"
+)
+GROUPED = r"\A(?:\d+|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ \-])\d{6}\2\d{4,5})\z"
 # A text without these cannot hold an entity.
 SUSPECT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLES})\b|(?i:passw|secret|token|api[_\-]?key)"
 
@@ -99,6 +112,117 @@ def _part(kind, raw: Column) -> Column:
     return F.struct(named.alias("kind"), raw.alias("raw"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cards_by(run: Column, fits) -> Column:
+    """A digit run as parts; the leftmost valid cards that fit."""
+    least = min(CARD_DIGITS)
+
+    def is_digit(chars, i):
+        return F.coalesce(F.get(chars, i).rlike("[0-9]"), F.lit(False))
+
+    def piece(chars, a, z):
+        return F.array_join(F.slice(chars, a + 1, z - a), "")
+
+    def is_card(chars, c):
+        at_border = ~is_digit(chars, c["a"] - 1) & ~is_digit(chars, c["z"])
+        is_run = (c["a"] == 0) & (c["z"] == F.size(chars))
+        return _let(
+            piece(chars, c["a"], c["z"]),
+            lambda raw: fits(raw, at_border, is_run) & (luhn_sum(_digits(raw)) % 10 == 0),
+        )
+
+    def candidates(chars, at):
+        def of_start(s):
+            return F.transform(
+                F.filter(F.array(*map(F.lit, CARD_DIGITS)), lambda k: k <= F.size(at) - s),
+                lambda k: F.struct(
+                    F.get(at, s).alias("a"), (F.get(at, s + k - 1) + 1).alias("z")
+                ),
+            )
+
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(at) - least),
+            lambda s: F.get(chars, F.get(at, s)).rlike("[3-6]"),
+        )
+        return F.flatten(F.transform(starts, of_start))
+
+    def apart(spans):
+        start = F.struct(
+            F.lit(0).alias("end"), F.array().cast("array<struct<a:int,z:int>>").alias("spans")
+        )
+        return F.aggregate(
+            spans,
+            start,
+            lambda acc, c: F.when(
+                c["a"] >= acc["end"],
+                F.struct(
+                    c["z"].alias("end"), F.concat(acc["spans"], F.array(c)).alias("spans")
+                ),
+            ).otherwise(acc),
+            lambda acc: acc["spans"],
+        )
+
+    def cut_at(chars, spans):
+        def of_span(span, i):
+            before = F.coalesce(F.get(spans, i - 1)["z"], F.lit(0))
+            return F.array(
+                _part(None, piece(chars, before, span["a"])),
+                _part("card", piece(chars, span["a"], span["z"])),
+            )
+
+        last = F.coalesce(F.get(spans, F.size(spans) - 1)["z"], F.lit(0))
+        tail = F.array(_part(None, piece(chars, last, F.size(chars))))
+        return F.concat(F.flatten(F.transform(spans, of_span)), tail)
+
+    def parts(chars):
+        where = F.filter(
+            F.sequence(F.lit(0), F.size(chars) - 1), lambda i: is_digit(chars, i)
+        )
+        return _let(
+            where,
+            lambda at: F.when(
+                F.size(at) >= least,
+                _let(
+                    apart(F.filter(candidates(chars, at), lambda c: is_card(chars, c))),
+                    lambda spans: cut_at(chars, spans),
+                ),
+            ).otherwise(F.array(_part(None, piece(chars, F.lit(0), F.size(chars))))),
+        )
+
+    return _let(F.split(run, ""), parts)
+
+
+def _cards(run: Column) -> Column:
+    """A digit run as parts: cards with a right checksum, and what is beside them.
+
+    Whole digit groups with an issuer's beginning and length come first, then
+    whole groups of any such length, then issuers' numbers amid more digits.
+    A checksum alone is right for every tenth number, so these last ones need
+    an issuer's length and grouping.
+    """
+    ranks = (
+        lambda raw, at_border, is_run: at_border & _digits(raw).rlike(ISSUED),
+        lambda raw, at_border, is_run: at_border
+        & (is_run | ~raw.rlike(r"(?:\A|[ \-])\d{1,2}[ \-]")),
+        lambda raw, at_border, is_run: raw.rlike(GROUPED) & _digits(raw).rlike(ISSUED),
+    )
+    parts = F.array(_part(None, run))
+    for fits in ranks:
+        parts = F.flatten(
+            F.transform(
+                parts,
+                lambda p: F.when(p["kind"].isNull(), _cards_by(p["raw"], fits)).otherwise(
+                    F.array(_part(p["kind"], p["raw"]))
+                ),
+            )
+        )
+    return F.filter(parts, lambda p: p["raw"] != "")
+
+
 def _parts(match: Column) -> Column:
     """A match as literal parts (kind NULL) and parts to replace."""
 
@@ -114,7 +238,6 @@ def _parts(match: Column) -> Column:
     gender = (
         F.when(title.rlike(rf"\A(?:{TITLES_F})\b"), "given_f").otherwise("given_m")
     )
-    card = F.when(luhn_sum(_digits(match)) % 10 == 0, "card")
     plain = F.array(_part(None, match))
     found = F.when(is_kind("email"), F.array(_part("email", match)))
     found = found.when(
@@ -123,7 +246,7 @@ def _parts(match: Column) -> Column:
     )
     for kind in ("key", "iban", "ip", "phone", "ssn"):
         found = found.when(is_kind(kind), F.array(_part(kind, match)))
-    found = found.when(is_kind("card"), F.array(_part(card, match)))
+    found = found.when(is_kind("card"), _cards(match))
     found = found.when(
         is_kind("person") & (given != ""),
         F.array(

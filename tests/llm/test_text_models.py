@@ -190,6 +190,39 @@ def test_clean_texts_are_left_alone(spark):
     assert changed(spark, *lines) == lines
 
 
+BESIDE_A_CARD = [
+    "pay {} 12/27 now", "pay {} 123 now", "pay {} 1 now", "pay 5 {} now", "pay 3 {} 12/27 123 now",
+    "on 2024-01-02 {} 12/27 it was", "ref 12-{}-7 end", "no {} 078-05-1120 of", "no {} 10.20.30.40 of",
+    "to {} 12ab@mail.cl of", "call {} 310-555-4510 of",
+]
+
+
+def test_cards_beside_other_digits(spark):
+    """Expiry date, security code, digits before and other entities after a card."""
+    lines = [line.format(c) for line in BESIDE_A_CARD for c in (CARD, CARD.replace(" ", ""))]
+    glued = ["x 54539148803436467 y", "x 4539148803436467124 y", "x 4539 1488 0343 6467124 y"]
+    amex = ["x 3782 822463 10005 1234 12/27 y", "x 378282246310005 12 y"]
+    two = [f"x 7 {CARD} {CARD} 12 y"]
+    known = "4539148803436467|378282246310005"
+    alone = changed(spark, CARD)[0].replace(" ", "")
+    new = changed(spark, *lines, *glued, *amex, *two)
+    for old, made in zip([*lines, *glued, *amex, *two], new):
+        bare = re.sub(r"[ \-]", "", made)
+        assert not re.search(known, bare) and len(made.split()) == len(old.split()), made
+        assert "3782" in old or bare.count(alone) == (2 if old in two else 1), made
+    rows = dict(zip([*lines, *glued, *amex, *two], new))
+    digits = r"\d{4} \d{4} \d{4} \d{4}"
+    assert re.fullmatch(rf"pay 3 {digits} 12/27 123 now", rows[f"pay 3 {CARD} 12/27 123 now"])
+    assert re.fullmatch(rf"on 2024-01-02 {digits} 12/27 it was", rows[f"on 2024-01-02 {CARD} 12/27 it was"])
+    for other in ("078-05-1120", "10.20.30.40", "12ab@mail.cl", "310-555-4510"):
+        assert not any(other in made for made in new)
+
+
+def test_wrong_checksums_beside_digits_are_left_alone(spark):
+    lines = ["Number 4539148803436468 12/27 is wrong.", "3 9870157079875996 1", "5731080387325255 of 2024"]
+    assert changed(spark, *lines) == lines
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     """With four surrogates at the first attempt, ten entities still get ten."""
     true = surrogates.surrogate
