@@ -333,6 +333,30 @@ def sca_28(spark, sf):
     return D.with_entity(_orgs(spark, sf)).select("k", "entity")
 
 
+# Municipalities in and outside the regional targets, with other names between.
+_PLACES = [
+    ("angol.cl", "municipality"), ("caldera.cl", "municipality"), ("nunoa.cl", "municipality"),
+    ("rapanui.net", "municipality"), ("web.molina.cl", "municipality"), ("minsal.cl", "government"),
+    ("usach.cl", "university"), ("bhp.cl", "company"), ("impa.gob.cl", "municipality"),
+    ("angol.com", "company"), ("villarrica.org", "municipality"),
+]
+
+
+@query(
+    "sca_28_listed_entity",
+    """
+    WITH place(i, domain, entity) AS (VALUES {places})
+    SELECT c_custkey AS k, domain, entity FROM customer JOIN place ON c_custkey % {n} = i
+    """.format(
+        n=len(_PLACES), places=", ".join(f"({i}, '{d}', '{e}')" for i, (d, e) in enumerate(_PLACES))
+    ),
+)
+def sca_28_listed(spark, sf):
+    name = F.get(F.array(*[F.lit(d) for d, _ in _PLACES]), (F.col("c_custkey") % len(_PLACES)).cast("int"))
+    orgs = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), name.alias("domain"))
+    return D.with_entity(orgs).select("k", "domain", "entity")
+
+
 @query(
     "join_1_municipality",
     _ORG_SQL + "SELECT k, domain FROM o WHERE domain = 'nunoa.cl'",

@@ -259,6 +259,89 @@ TARGETS = [
     ("Peñaflor", "penaflor.cl"),
     ("ACHM", "achm.cl"),
 ]
+# Domains of all municipalities; the regional targets are among them.
+MUNICIPALITIES = [
+    "municipalidadalgarrobo.cl", "municipalidadalhue.cl", "munialtobiobio.cl",
+    "munialtodelcarmen.cl", "maho.cl", "muniancud.cl", "andacollochile.cl", "angol.cl",
+    "municipalidadantofagasta.cl", "municipalidadantuco.cl", "muniarauco.cl", "muniarica.cl",
+    "puertoaysen.cl", "buin.cl", "imb.cl", "municipiocabildo.cl", "imcabodehornos.cl",
+    "cabrero.cl", "municipalidadcalama.cl", "municipalidadcalbuco.cl", "caldera.cl",
+    "municaleradetango.cl", "municallelarga.cl", "municamarones.cl", "municipalidaddecamina.cl",
+    "canela.cl", "municanete.cl", "carahue.cl", "municipalidaddecartagena.cl",
+    "municipalidadcasablanca.cl", "castromunicipio.cl", "municatemu.cl", "cauquenes.cl",
+    "mcerrillos.cl", "cerronavia.cl", "municipalidadchaiten.cl", "munichanaral.cl", "chanco.cl",
+    "municipalidadchepica.cl", "chiguayante.cl", "chilechico.cl", "municipalidadchillan.cl",
+    "chillanviejo.cl", "municipalidadchimbarongo.cl", "municholchol.cl",
+    "municipalidadchonchi.cl", "municipalidadcisnes.cl", "cobquecura.cl", "municochamo.cl",
+    "municochrane.cl", "municipalidaddecodegua.cl", "municipalidaddecoelemu.cl", "coyhaique.cl",
+    "municoihueco.cl", "municoinco.cl", "municipalidadcolbun.cl", "imcolchane.cl", "colina.cl",
+    "municipalidadcollipulli.cl", "coltauco.cl", "combarbala.cl", "concepcion.cl",
+    "conchali.cl", "concon.cl", "constitucion.cl", "contulmo.cl", "copiapo.cl",
+    "municoquimbo.cl", "coronel.cl", "municipalidadcorral.cl", "municunco.cl", "mcuracautin.cl",
+    "municipalidadcuracavi.cl", "curacodevelez.cl", "munichue.cl", "curarrehue.cl",
+    "curepto.cl", "curico.cl", "munidalcahue.cl", "imda.cl", "mdonihue.cl",
+    "municipalidadelbosque.cl", "municipalidadelcarmen.cl", "munielmonte.cl", "elquisco.cl",
+    "eltabo.cl", "empedrado.cl", "muniercilla.cl", "municipalidaddeestacioncentral.cl",
+    "muniflorida.cl", "munifreire.cl", "imfreirina.cl", "munifresia.cl", "munifrutillar.cl",
+    "futaleufu.cl", "munifutrono.cl", "galvarinochile.cl", "portalvisviri.cl",
+    "municipalidadgorbea.cl", "municipalidadgraneros.cl", "muniguaitecas.cl", "hijuelas.cl",
+    "municipalidadhualaihue.cl", "hualane.cl", "hualpenciudad.cl", "munihualqui.cl",
+    "imhuara.cl", "imhuasco.cl", "huechuraba.cl", "municipalidadillapel.cl", "independencia.cl",
+    "municipioiquique.cl", "islademaipo.cl", "rapanui.net", "comunajuanfernandez.cl",
+    "lacalera.cl", "cisterna.cl", "lacruz.cl", "munilaestrella.cl", "laflorida.cl",
+    "municipalidadlagranja.cl", "munilahiguera.cl", "laligua.cl", "pintana.cl", "lareina.cl",
+    "laserena.cl", "munilaunioninfo.com", "municipalidadlagoranco.cl", "lagoverdeaysen.cl",
+    "mlagunablanca.cl", "munilaja.cl", "lampa.cl", "munilanco.cl", "lascabrasmunicipalidad.cl",
+    "lascondes.cl", "munilautaro.cl", "lebu.cl", "mlicanten.cl", "limache.cl",
+    "corporacionlinares.cl", "litueche.cl", "llanquihue.cl", "municipalidadllayllay.cl",
+    "lobarnechea.cl", "loespejo.cl", "loprado.cl", "munilolol.cl", "municipalidaddeloncoche.cl",
+    "municipalidadlongavi.cl", "mlonquimay.cl", "municipalidadlosalamos.cl", "losandes.cl",
+    "losangeles.cl", "muniloslagos.cl", "muermos.cl", "munilossauces.com", "munilosvilos.cl",
+    "lota.cl", "munilumaco.cl", "machali.cl", "munimacul.cl", "munimafil.cl",
+    "municipalidadmaipu.cl", "comunamalloa.cl", "marchigue.cl", "imme.cl", "mpinto.cl",
+    "munimariquina.cl", "comunademaule.cl", "munimaullin.cl", "mejillones.cl", "melipeuko.cl",
+    "melipilla.cl", "web.molina.cl", "munimontepatria.cl", "mostazal.cl", "munimulchen.cl",
+    "nacimiento.cl", "municipalidadnancagua.cl", "muninatales.cl", "muninavidad.cl",
+    "muninegrete.cl", "muniniquen.cl", "munininhue.cl", "muninogales.cl", "nuevaimperial.cl",
+    "nunoa.cl", "municipalidadohiggins.cl", "muniolivar.cl", "municipalidadollague.cl",
+    "muniolmue.cl", "municipalidadosorno.cl", "municipalidadovalle.cl", "mph.cl",
+    "padrelascasas.cl", "municipalidaddepaihuano.cl", "munipaillaco.cl", "paine.cl",
+    "municipalidadpalena.cl", "munipalmilla.cl", "municipalidadpanguipulli.cl",
+    "impanquehue.cl", "municipalidadpapudo.cl", "comunaparedones.cl", "parral.cl",
+    "pedroaguirrecerda.cl", "pelarco.cl", "munipelluhue.cl", "munipemuco.cl", "penaflor.cl",
+    "penalolen.cl", "mpencahue.cl", "penco.cl", "muniperalillo.cl", "perquenco.cl",
+    "munipetorca.com", "mpeumo.cl", "municipalidadpica.cl", "pichidegua.cl", "pichilemu.cl",
+    "municipalidaddepinto.cl", "pirque.cl", "mpitrufquen.cl", "muniplacilla.cl",
+    "municipalidaddeportezuelo.cl", "muniporvenir.cl", "impa.gob.cl",
+    "municipalidaddeprimavera.cl", "providencia.cl", "munipuchuncavi.cl",
+    "municipalidadpucon.cl", "mpudahuel.cl", "mpuentealto.cl", "puertomontt.cl",
+    "munipuertoctay.cl", "ptovaras.cl", "munipumanque.cl", "munipunitaqui.cl", "puntaarenas.cl",
+    "munipuqueldon.cl", "munipuren.cl", "purranque.cl", "putaendo.cl", "imputre.cl",
+    "municipalidaddepuyehue.cl", "muniqueilen.cl", "muniquellon.cl", "muniquemchi.cl",
+    "municipalidadquilaco.cl", "muniquilicura.cl", "municipalidadquilleco.cl", "quillota.cl",
+    "quilpue.cl", "municipalidadquinchao.cl", "quintadetilcoco.cl", "quintanormal.cl",
+    "muniquintero.cl", "municipalidadquirihue.cl", "rancagua.cl", "municipalidadranquil.cl",
+    "munirauco.cl", "recoleta.cl", "renaico.cl", "renca.cl", "municipalidadrengo.cl",
+    "requinoa.cl", "retiro.cl", "munirinconada.cl", "municipalidadderiobueno.cl", "rioclaro.cl",
+    "riohurtado.cl", "rioibanez.cl", "rionegrochile.cl", "rioverde.cl", "muniromeral.cl",
+    "municipiodesaavedra.cl", "sagradafamilia.cl", "salamanca.cl", "sanantonio.cl",
+    "sanbernardo.cl", "sancarlos.cl", "sanclemente.cl", "munisanesteban.cl", "sanfabian.cl",
+    "munisanfelipe.cl", "munisanfernando.cl", "sangregorio.cl", "munisanignacio.cl",
+    "imsanjavier.cl", "redsanjoaquin.cl", "sanjosedemaipo.cl", "sanjuandelacosta.cl",
+    "sanmiguel.cl", "municipalidadsannicolas.cl", "sanpablo.cl", "munisanpedro.cl",
+    "sanpedroatacama.com", "sanpedrodelapaz.cl", "munisanrafael.cl", "municipalidadsanramon.cl",
+    "municipalidadsanrosendo.cl", "municipalidadsanvicente.cl", "santabarbara.cl",
+    "municipalidadsantacruz.cl", "santajuana.cl", "imsantamaria.com", "munistgo.cl",
+    "santodomingo.cl", "municipalidadsierragorda.cl", "munitalagante.cl", "talca.cl",
+    "talcahuano.cl", "municipalidadtaltal.cl", "temuco.cl", "teno.cl", "muniteodoro.cl",
+    "tierramarilla.com", "tiltil.cl", "municipalidadtimaukel.cl", "munitirua.com",
+    "imtocopilla.cl", "tolten.cl", "tome.cl", "torresdelpayne.cl", "municipalidaddetortel.cl",
+    "mtraiguen.cl", "trehuaco.com", "municipalidadtucapel.cl", "munivaldivia.cl", "vallenar.cl",
+    "web.municipalidaddevalparaiso.cl", "munivichuquen.cl", "victoriachile.cl",
+    "municipalidadvicuna.cl", "vilcun.cl", "villalegre.cl", "villalemana.cl", "villarrica.org",
+    "vinadelmarchile.cl", "vitacura.cl", "muniyerbasbuenas.cl", "yumbel.cl", "yungay.cl",
+    "munizapallar.cl",
+]
 DOMAIN_PATTERNS = [
     "municipalidad{slug}.cl",
     "muni{slug}.cl",

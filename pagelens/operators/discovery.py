@@ -184,16 +184,13 @@ def with_entity(
 ) -> DataFrame:
     """JOIN-1 / SCA-28: add ``entity``; listed municipalities go first.
 
-    The list is the user's table, one ``domain`` per row; without it the
-    domains of the regional target list count as municipalities. Keyword rules
-    apply to every other domain.
+    The list is the user's table, one ``domain`` per row; without it the fixed
+    list ``MUNICIPALITIES`` holds. Keyword rules apply to every other domain.
     """
     name = F.lower(text.strip(F.col(column)))
     if municipalities is None:
-        known = [domain for _, domain in V.TARGETS if domain]
-        return domains.withColumn(
-            "entity", scoring.entity(F.col(column), F.coalesce(name.isin(known), F.lit(False)))
-        )
+        known = F.coalesce(name.isin(V.MUNICIPALITIES), F.lit(False))
+        return domains.withColumn("entity", scoring.entity(F.col(column), known))
     listed = municipalities.select(
         F.lower(text.strip(F.col("domain"))).alias("__name"), F.lit(True).alias("__listed")
     ).distinct()

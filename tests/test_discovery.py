@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens import schemas
-from pagelens.functions import scoring, text, urls
+from pagelens.functions import fixed_values as V, scoring, text, urls
 from pagelens.operators import discovery as D, links as L
 from pagelens.plans import scan
 from pagelens.sources import readers
@@ -53,6 +53,19 @@ def test_entities(spark):
     assert dict(D.with_entity(table).select("domain", "entity").collect())["nunoa.cl"] == "municipality"
 
 
+def test_every_municipality_is_known_without_a_table(spark):
+    """Also those outside the regional target list; a user's table overrides."""
+    assert len(set(V.MUNICIPALITIES)) == 344
+    names = [*V.MUNICIPALITIES, " Angol.CL ", "achm.cl", None]
+    table = spark.createDataFrame([(d,) for d in names], "domain STRING")
+    rows = D.with_entity(table).select("domain", "entity").collect()
+    other = {r.domain for r in rows if r.entity != "municipality"}
+    assert len(rows) == len(names) and other == {"achm.cl", None}
+    mine = spark.createDataFrame([("achm.cl",)], "domain STRING")
+    got = dict(D.with_entity(table, mine).select("domain", "entity").collect())
+    assert got["achm.cl"] == "municipality" and got["angol.cl"] == "company"
+
+
 SCORES = [
     ("https://a.cl/transparencia/funcionarios", "municipality", 10),
     ("https://a.cl/Contacto", "municipality", 10),
