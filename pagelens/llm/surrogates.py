@@ -8,6 +8,10 @@ It keeps what the type asks for: a card number passes its checksum, a phone its
 country digit, a name its script and the gender its title tells. Cards are
 looked for inside runs of digits; the digits beside a card stay.
 
+A person is found behind a title. Names found so in a text are also replaced
+where that same text has them, capitalised, without the title. Names never
+titled in their text are not found, nor inflected forms.
+
 Distinct entities must keep distinct surrogates, and no surrogate may be an
 entity of the data: the table of entities is checked for both, and those that
 lose are drawn again with a raised attempt number until none is left.
@@ -33,6 +37,9 @@ TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|госпожа|κυρί
 TITLES_ANY = "Dr|Prof"
 _TITLES = f"{TITLES_M}|{TITLES_F}|{TITLES_ANY}"
 _NAME = r"\p{Lu}[\p{L}'’\-]++"
+# A capitalised word, and the ending that is not part of a name.
+NAMED = rf"(?<!\p{{L}}){_NAME}"
+_OWNS = r"['’][sS]\z"
 _ASSIGNED = (
     r"\b(?i:password|passwd|secret|token|api[_\-]?key)(?-i)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 )
@@ -234,7 +241,8 @@ def _parts(match: Column) -> Column:
     names = F.regexp_replace(match, rf"\A(?:{_TITLES})\.?[  ]", "")
     given = F.regexp_extract(names, rf"\A({_NAME})[  ]", 1)
     gap = F.regexp_extract(names, rf"\A{_NAME}([  ])", 1)
-    family = F.regexp_extract(names, rf"({_NAME})\z", 1)
+    last = F.regexp_extract(names, rf"({_NAME})\z", 1)
+    family, owns = F.regexp_replace(last, _OWNS, ""), F.regexp_extract(last, _OWNS, 0)
     gender = (
         F.when(title.rlike(rf"\A(?:{TITLES_F})\b"), "given_f").otherwise("given_m")
     )
@@ -250,9 +258,16 @@ def _parts(match: Column) -> Column:
     found = found.when(
         is_kind("person") & (given != ""),
         F.array(
-            _part(None, title), _part(gender, given), _part(None, gap), _part("family", family)
+            _part(None, title),
+            _part(gender, given),
+            _part(None, gap),
+            _part("family", family),
+            _part(None, owns),
         ),
-    ).when(is_kind("person"), F.array(_part(None, title), _part("family", family)))
+    ).when(
+        is_kind("person"),
+        F.array(_part(None, title), _part("family", family), _part(None, owns)),
+    )
     return found.otherwise(plain)
 
 
@@ -372,6 +387,60 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
     )
 
 
+def _cased(raw: Column, made: Column) -> Column:
+    return F.when(F.upper(raw) == raw, F.upper(made)).otherwise(F.initcap(made))
+
+
+def _named_again(segment: Column, normals: Column, made: Column) -> Column:
+    """``text, n``: untitled mentions of the row's own names replaced."""
+
+    def known(word):
+        return F.array_position(normals, F.lower(word))
+
+    def swap(word):
+        stem = F.regexp_replace(word, _OWNS, "")
+        return (
+            F.when(known(word) > 0, _cased(word, F.get(made, known(word) - 1)))
+            .when(
+                known(stem) > 0,
+                F.concat(
+                    _cased(stem, F.get(made, known(stem) - 1)), F.regexp_extract(word, _OWNS, 0)
+                ),
+            )
+            .otherwise(F.lit(None))
+        )
+
+    def joined(words, gaps):
+        return _let(
+            F.transform(words, swap),
+            lambda new: F.struct(
+                F.concat(
+                    F.array_join(
+                        F.transform(
+                            words,
+                            lambda w, i: F.concat(
+                                F.get(gaps, i), F.coalesce(F.get(new, i), w)
+                            ),
+                        ),
+                        "",
+                    ),
+                    F.element_at(gaps, -1),
+                ).alias("text"),
+                F.size(F.filter(new, lambda w: w.isNotNull())).alias("n"),
+            ),
+        )
+
+    return F.when(
+        F.size(normals) > 0,
+        _let(
+            F.regexp_extract_all(segment, F.lit(NAMED), F.lit(0)),
+            lambda words: _let(
+                F.split(segment, NAMED, -1), lambda gaps: joined(words, gaps)
+            ),
+        ),
+    ).otherwise(F.struct(segment.alias("text"), F.lit(0).alias("n")))
+
+
 def _written(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate in the mention's own format."""
 
@@ -391,13 +460,12 @@ def _written(kind: Column, raw: Column, made: Column) -> Column:
         )
         return done["out"]
 
-    cased = F.when(F.upper(raw) == raw, F.upper(made)).otherwise(F.initcap(made))
     return (
         F.when(kind.isNull(), raw)
         .when(kind == "phone", fill("[0-9+]"))
         .when(kind.isin("card", "ssn"), fill("[0-9]"))
         .when(kind == "iban", fill("[A-Z0-9]"))
-        .when(kind.isin("given_m", "given_f", "family"), cased)
+        .when(kind.isin("given_m", "given_f", "family"), _cased(raw, made))
         .otherwise(made)
     )
 
@@ -477,6 +545,14 @@ def replace_entities(
             F.sort_array(F.collect_list(F.struct("at", "sub", "new"))).alias("__pii_new"),
             F.count("kind").alias("__pii_count"),
             F.sort_array(F.collect_set("kind")).alias("__pii_kinds"),
+            F.sort_array(
+                F.collect_set(
+                    F.when(
+                        F.col("kind").isin("given_m", "given_f", "family"),
+                        F.struct("normal", "kind", "made"),
+                    )
+                )
+            ).alias("__pii_names"),
         )
     )
     # Literal text before each match, and what follows the last one.
@@ -492,7 +568,14 @@ def replace_entities(
     )
     rebuilt = (
         held.join(written, "__pii_row")
-        .withColumn("__pii_segments", segments)
+        .withColumn("__pii_normals", F.col("__pii_names.normal"))
+        .withColumn("__pii_made", F.col("__pii_names.made"))
+        .withColumn(
+            "__pii_segments",
+            F.transform(
+                segments, lambda s: _named_again(s, F.col("__pii_normals"), F.col("__pii_made"))
+            ),
+        )
         .withColumn("__pii_at", new_at)
         .withColumn(
             "text",
@@ -500,16 +583,18 @@ def replace_entities(
                 F.array_join(
                     F.transform(
                         "__pii_at",
-                        lambda new, i: F.concat(F.get("__pii_segments", i), new),
+                        lambda new, i: F.concat(F.get("__pii_segments", i)["text"], new),
                     ),
                     "",
                 ),
-                F.element_at("__pii_segments", -1),
+                F.element_at("__pii_segments", -1)["text"],
             ),
         )
         .select(
             *columns,
-            F.col("__pii_count").alias(into[0]),
+            F.aggregate(
+                "__pii_segments", F.col("__pii_count"), lambda n, s: n + s["n"]
+            ).alias(into[0]),
             F.col("__pii_kinds").alias(into[1]),
         )
     )

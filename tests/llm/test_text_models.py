@@ -190,6 +190,29 @@ def test_clean_texts_are_left_alone(spark):
     assert changed(spark, *lines) == lines
 
 
+def test_untitled_mentions_follow_the_titled_one(spark):
+    rows = spark.createDataFrame(
+        [
+            (0, "Smith knew a@b.org. Mr. John Smith came. Smith said: SMITH, Smithers, Jo; John Smith's."),
+            (1, "John Smith is not titled here."),
+            (2, "Mrs. Mary Jones's car. Jones left."),
+            (3, "господин Иван Петров пришёл. Петров ушёл."),
+        ],
+        "doc_id INT, text STRING",
+    )
+    one, two, three, four = surrogates.replace_entities(rows).orderBy("doc_id").collect()
+    made = re.fullmatch(
+        r"(\w+) knew \S+ Mr\. (\w+) (\w+) came\. (\w+) said: (\w+), Smithers, Jo; (\w+) (\w+)'s\.", one.text
+    )
+    assert made[2] == made[6] != "John" and made[5] == made[3].upper()
+    assert made[1] == made[3] == made[4] == made[7] != "Smith"
+    assert one.n_entities == 8 and one.kinds == ["email", "family", "given_m"]
+    assert two.text == "John Smith is not titled here." and two.n_entities == 0
+    owner = re.fullmatch(r"Mrs\. (\w+) (\w+)'s car\. (\w+) left\.", three.text)
+    assert owner[2] == owner[3] != "Jones"
+    assert "Петров" not in four.text and four.n_entities == 3
+
+
 BESIDE_A_CARD = [
     "pay {} 12/27 now", "pay {} 123 now", "pay {} 1 now", "pay 5 {} now", "pay 3 {} 12/27 123 now",
     "on 2024-01-02 {} 12/27 it was", "ref 12-{}-7 end", "no {} 078-05-1120 of", "no {} 10.20.30.40 of",
