@@ -197,6 +197,24 @@ def sca_9_documents(spark, sf):
     return unnest(docs, ["doc_id"], found, "email").drop("pos")
 
 
+@query(
+    "sca_9_spelled_out_in_place",
+    r"""
+    WITH words AS (
+      SELECT doc_id, unnest(regexp_extract_all(replace(text, '@', ' (at) '),
+        '(?i)[a-z0-9._%+\-]+(?:\s*(?:\[at\]|\(at\))|\s+at\s)\s*[a-z0-9.\-]+\.com\b')) AS m
+      FROM documents)
+    SELECT doc_id, lower(regexp_replace(m, '(?i)\s*(?:\[at\]|\(at\)|\sat\s)\s*', '@')) AS email
+    FROM words
+    """,
+)
+def sca_9_in_place(spark, sf):
+    """The texts as given, with their own addresses spelled out where they stand."""
+    found = text.spelled_out_in(F.replace(F.col("text"), F.lit("@"), F.lit(" (at) ")), "com")
+    docs = I.table(spark, sf, "documents", "doc_id")
+    return unnest(docs, ["doc_id"], found, "email").drop("pos")
+
+
 @query(
     "sca_10_find_payloads",
     CONTACT

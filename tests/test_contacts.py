@@ -193,3 +193,17 @@ def test_addresses_inside_one_huge_run_cost_little(page):
 def test_tld_is_a_parameter(page, tld, expected):
     html = "<p>a@b.com c@d.co.uk e@f.cl</p>"
     assert [e for e, _ in found(C.extract_contacts(page(html), tld))] == [expected]
+
+
+def test_addresses_inside_texts_are_found_spelled_out(spark):
+    """The query finds what the given texts hold, not only a planted ending."""
+    import duckdb
+
+    from pagelens.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    plain = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.com\b"
+    sql = f"SELECT doc_id, lower(unnest(regexp_extract_all(text, '{plain}'))) FROM '{sf}/documents.parquet'"
+    held = set(duckdb.sql(sql).fetchall())
+    found = {(r.doc_id, r.email) for r in QUERIES["sca_9_spelled_out_in_place"](spark, sf).collect()}
+    assert held and held <= found
