@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import (
     bytebpe,
+    codes,
     idfiles,
     imatch,
     langid,
@@ -106,3 +107,8 @@ def op2_licence_paragraphs(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop(
         "text"
     )
+
+
+@query("op13_trie_vector_codes", codes.codes_sql())
+def op13_trie_vector_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
