@@ -14,6 +14,7 @@ from pagelens.llm import (
     sharding,
     surrogates,
     vectors,
+    whitening,
 )
 from pagelens.llm.inputs import ORACLES, QUERIES, query, table
 from pagelens.operators.shared import scratch_path
@@ -112,3 +113,8 @@ def op2_licence_paragraphs(spark, sf_dir):
 @query("op13_trie_vector_codes", codes.codes_sql())
 def op13_trie_vector_codes(spark, sf_dir):
     return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_qdwh_whitening")
+def op11_qdwh_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
