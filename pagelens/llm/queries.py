@@ -10,6 +10,7 @@ from pagelens.llm import (
     langid,
     licences,
     packing,
+    quality,
     setjoin,
     sharding,
     surrogates,
@@ -118,3 +119,20 @@ def op13_trie_vector_codes(spark, sf_dir):
 @query("op11_qdwh_whitening")
 def op11_qdwh_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_subword_quality")
+def op12_subword_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").alias("class")
+    )
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    held_out = F.coalesce(third == 1, F.lit(False))
+    texts = quality.training_texts(docs, labels.filter(~held_out))
+    return quality.score(docs, quality.train(texts)).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
