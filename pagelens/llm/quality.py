@@ -30,6 +30,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pagelens.operators.shared import cut
+
 BUCKETS = 1 << 17
 DIMS = 16
 MIN_GRAM, MAX_GRAM = 3, 5
@@ -160,11 +162,14 @@ def training_texts(
             )
 
     schema = "name string, class int, units array<int>, shares array<double>"
-    each = chosen.select("name", "class", "text").mapInArrow(run, schema)
-    # The sample has at most ``rows`` rows, so one task may add them up.
+    each = cut(chosen.select("name", "class", "text").mapInArrow(run, schema))
+    # Names and sizes of at most ``rows`` texts: one task may add them up.
     before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
-    kept = each.withColumn("held", F.sum(F.size("units")).over(before))
-    kept = kept.filter(F.col("held") <= most_units).orderBy("name")
+    held = each.select("name", F.size("units").alias("own")).select(
+        "name", F.sum("own").over(before).alias("held")
+    )
+    within = F.broadcast(held.filter(F.col("held") <= most_units).select("name"))
+    kept = each.join(within, "name", "left_semi").orderBy("name")
     table = kept.select("class", "units", "shares").toArrow()
     return [
         (c, u.values.to_numpy(), s.values.to_numpy())
