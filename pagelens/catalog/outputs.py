@@ -278,6 +278,28 @@ def snk_6(spark, sf):
     return taken(back.parquet(path), path)
 
 
+@query(
+    "snk_6_repeated_append",
+    RESULT + "SELECT split_part(email, '@', 2) AS domain, email, source, status FROM result",
+)
+def snk_6_repeated(spark, sf):
+    """One write is repeated; a third was broken off before it was on record."""
+    path = scratch_path(spark, "snk6r")
+    rows = I.results(spark, sf).select(
+        F.element_at(F.split("email", "@"), 2).alias("domain"), "email", "source", "status", "id"
+    )
+    for write_id, half in (("even", 0), ("odd", 1), ("even", 0)):
+        some = rows.filter(F.col("id") % 2 == half).drop("id")
+        writers.append_by_target(some, path, write_id=write_id)
+    rows.drop("id").withColumn("write_id", F.lit("broken")).write.mode("append").partitionBy(
+        "domain", "write_id"
+    ).parquet(path)
+    schema = "email STRING, source STRING, status STRING, domain STRING"
+    return taken(
+        writers.read_appended(spark, path, schema), path, writers.committed_path(path)
+    )
+
+
 @query(
     "snk_7_measure_csv",
     """
@@ -384,6 +406,33 @@ def snk_10(spark, sf):
     return S.update_status(emails, updates).drop("source_url")
 
 
+@query(
+    "snk_10_stored_update",
+    RESULT
+    + """
+    , u AS (SELECT session_id, email, arg_max('s' || (id % 7), id) AS fresh FROM result
+            WHERE session_id % 100 = 3 AND status = 'signup' GROUP BY ALL)
+    SELECT r.id, r.session_id, r.email, coalesce(u.fresh, r.status) AS status
+    FROM result r LEFT JOIN u USING (session_id, email)
+    """,
+)
+def snk_10_stored(spark, sf):
+    """A stored table, two equal updates; only the folders named are written."""
+    path = scratch_path(spark, "snk10")
+    emails = I.session_emails(spark, sf)
+    writers.append_table(writers.in_folders(emails, "session_id", 20), path, "folder")
+    updates = emails.filter("session_id % 100 = 3 AND status = 'signup'").select(
+        "session_id",
+        "email",
+        F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("status"),
+        F.col("id").alias("seq"),
+    )
+    for _ in range(2):
+        writers.update_status_at(spark, path, updates, wide=20)
+    back = spark.read.schema(f"{schemas.SESSION_EMAILS}, folder BIGINT").parquet(path)
+    return taken(back.drop("source_url", "folder"), path)
+
+
 _TOTALS_SQL = """
 SELECT session_id, count(*) AS total_found, count(*) FILTER (status = 'valid') AS total_valid
 FROM result GROUP BY session_id
@@ -409,6 +458,27 @@ def snk_11(spark, sf):
     return updated.select("id", "target_domain", "total_found", "total_valid")
 
 
+@query(
+    "snk_11_stored_totals",
+    SESSION
+    + f"""
+    , t AS ({_TOTALS_SQL})
+    SELECT id, target_domain, CASE WHEN id % 10 = 1 THEN coalesce(total_found, 0) ELSE 0 END AS total_found,
+      CASE WHEN id % 10 = 1 THEN coalesce(total_valid, 0) ELSE 0 END AS total_valid
+    FROM session LEFT JOIN t ON t.session_id = id
+    """,
+)
+def snk_11_stored(spark, sf):
+    """Totals of every tenth session, written to the stored table."""
+    path = scratch_path(spark, "snk11")
+    sessions = I.sessions(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    writers.append_table(writers.in_folders(sessions, "id", 10), path, "folder")
+    emails = I.session_emails(spark, sf).filter("session_id % 10 = 1")
+    writers.update_totals_at(spark, path, emails, wide=10)
+    back = spark.read.schema(f"{schemas.SESSIONS}, folder BIGINT").parquet(path)
+    return taken(back.select("id", "target_domain", "total_found", "total_valid"), path)
+
+
 @query(
     "src_9_load_session",
     RESULT + "SELECT email, source, status FROM result WHERE session_id = 7",

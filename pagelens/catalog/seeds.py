@@ -1,12 +1,12 @@
 """Queries on readers, organisations and seed discovery."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
 from pagelens.functions import fixed_values as V, text, urls
 from pagelens.operators import discovery as D
-from pagelens.operators.shared import scratch_path, taken
+from pagelens.operators.shared import cut, scratch_path, taken
 from pagelens.plans import measures, scan
 from pagelens.sources import readers
 
@@ -231,6 +231,104 @@ def src_8_seeds(spark, sf):
     return D.found_seeds(saved, F.col("body"), ["k"])
 
 
+@query(
+    "src_8_saved_pages",
+    """
+    WITH u AS (SELECT c_nationkey % 3 AS n, c_custkey % 25 AS k, c_custkey,
+        unnest(['https://www.s' || (c_nationkey % 3) || '.cl/p' || (c_custkey % 40) || repeat('/', c_custkey % 2),
+                'https://ajeno.cl/?d=s' || (c_nationkey % 3) || '.cl&n=' || (c_custkey % 7)]) AS url,
+        unnest([0, 1]) AS pos FROM customer WHERE c_custkey % 25 <> 4),
+    f AS (SELECT n, rtrim(url, '/') AS url, min(struct_pack(k := k, c := c_custkey, p := pos)) AS at_ FROM u GROUP BY ALL),
+    r AS (SELECT 's' || n || '.cl' AS domain, url, row_number() OVER (PARTITION BY n ORDER BY at_) AS place FROM f)
+    SELECT domain, url, place FROM r WHERE place <= 20
+    """,
+)
+def src_8_saved(spark, sf):
+    """Result pages saved as files, read into seed discovery.
+
+    The fifth page of every search was refused; it is saved with its headers.
+    """
+    folder = scratch_path(spark, "src8")
+    c = F.col("c_custkey")
+    domain = F.concat(F.lit("s"), (F.col("c_nationkey") % 3).cast("string"), F.lit(".cl"))
+    links = F.concat(
+        F.lit('<a href="https://www.'), domain, F.lit("/p"), (c % 40).cast("string"),
+        F.repeat(F.lit("/"), (c % 2).cast("int")),
+        F.lit('">uno</a> https://ajeno.cl/?d='), domain, F.lit("&n="), (c % 7).cast("string"), F.lit(" "),
+    )
+    saved = I.table(spark, sf, "customer").groupBy(domain.alias("domain"), (c % 25).alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct(c.alias("c"), links.alias("links")))).alias("all")
+    )
+    body = F.array_join(F.transform("all", lambda x: x["links"]), "")
+    head = F.when(F.col("k") == 4, "HTTP/1.1 429 Too Many\r\nRetry-After: 9\r\n\r\n").otherwise("")
+    saved.select("domain", "k", F.concat(head, body).alias("value")).repartition(
+        1, "domain", "k"
+    ).write.partitionBy("domain", "k").option("lineSep", "\n").text(folder)
+    pages = readers.read_saved_searches(spark, folder, ("domain", "k", None))
+    none = {
+        "names": "domain STRING, source_order INT, seq BIGINT, pos INT, name STRING",
+        "asked": "domain STRING, source_order INT, answered BOOLEAN",
+        "probes": "host STRING, resolved BOOLEAN, http_status INT",
+        "pages": "url STRING, html STRING",
+    }
+    seeds = scan.discover_seeds(
+        pages.select("domain").distinct(),
+        **{name: spark.createDataFrame([], schema) for name, schema in none.items()},
+        found_urls=D.found_seeds(pages, F.col("body"), ["k"]),
+    )
+    w = Window.partitionBy("domain").orderBy("stage", "rank")
+    placed = seeds.select("domain", "url", F.row_number().over(w).cast("bigint").alias("place"))
+    return taken(placed, folder)
+
+
+_SAVED_INDEX_SQL = """
+WITH k AS (SELECT o_orderkey, o_custkey % 40 AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'ubuntu' ELSE 'mit' END AS server FROM orders),
+a AS (SELECT DISTINCT server, d, unnest(['ana' || (o_orderkey % 9) || '@d' || d || '.cl', 'x@mail.d' || d || '.cl']) AS address
+      FROM k WHERE d % 5 >= 3)
+"""
+
+
+@query(
+    "src_10_saved_pages",
+    _SAVED_INDEX_SQL
+    + """
+    SELECT server, (SELECT count(DISTINCT address) FROM a WHERE a.server = k.server) AS addresses,
+      count(DISTINCT d) FILTER (d % 5 IN (1, 2)) AS failed FROM k GROUP BY server
+    """,
+)
+def src_10_saved(spark, sf):
+    """Index pages saved as files, read into the keyserver measure.
+
+    Of five domains one was answered with 404, one with 500, one not at all;
+    the others were saved with or without their headers.
+    """
+    folder = scratch_path(spark, "src10")
+    k, d = F.col("o_orderkey"), F.col("d")
+    domain = F.concat(F.lit("d"), d.cast("string"), F.lit(".cl"))
+    asked = I.table(spark, sf, "orders").select(
+        k, (F.col("o_custkey") % 40).alias("d"), F.when(k % 2 == 0, "ubuntu").otherwise("mit").alias("server")
+    )
+    line = F.concat(
+        F.lit("<pre>ANA"), (k % 9).cast("string"), F.lit("@"), domain, F.lit("&gt; x@mail."),
+        domain, F.lit(" otro@ajeno.cl</pre> "),
+    )
+    saved = asked.groupBy("server", "d").agg(F.array_join(F.array_sort(F.collect_set(line)), "").alias("lines"))
+    head = F.when(d % 5 == 3, "HTTP/1.1 301 Moved\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\n").otherwise("")
+    content = (
+        F.when(d % 5 == 0, F.concat(F.lit("HTTP/1.1 404 Not Found\r\n\r\n"), F.col("lines")))
+        .when(d % 5 == 1, "HTTP/1.1 500 Error\r\nA: b\r\n\r\n")
+        .when(d % 5 == 2, "")
+        .otherwise(F.concat(head, F.col("lines")))
+    )
+    saved.select("server", domain.alias("domain"), content.alias("value")).repartition(
+        1, "server", "domain"
+    ).write.partitionBy("server", "domain").option("lineSep", "\n").text(folder)
+    pages = readers.read_keyserver_pages(spark, folder, ("server", "domain", None))
+    rows = cut(readers.keyserver_rows(pages)).withColumn("entity", F.lit("company"))
+    verdicts = spark.createDataFrame([], "email STRING, status STRING")
+    return taken(measures.keyserver_measure(rows, verdicts)["servers"], folder)
+
+
 @query(
     "src_10_keyserver_index",
     """
@@ -542,8 +640,6 @@ def win_7(spark, sf):
     """,
 )
 def set_5(spark, sf):
-    from pyspark.sql import Window
-
     names = readers.packed_names(_records(spark, sf), ["domain", "seq"])
     hosts = D.hosts_under(names, F.col("domain"), ["seq", "pos"], ["domain"])
     w = Window.partitionBy("domain").orderBy("seq", "pos")
@@ -660,8 +756,6 @@ QUALIFY place <= 6
 
 @query("job_seed_ranking", _RUN_SQL)
 def job_seed_ranking(spark, sf):
-    from pyspark.sql import Window
-
     customer = I.table(spark, sf, "customer")
     k = F.col("c_custkey")
     domain = F.concat(F.lit("d"), k.cast("string"), F.lit(".cl"))

@@ -131,13 +131,14 @@ def found_seeds(
 ) -> DataFrame:
     """SRC-8 as seeds: ``domain, url, rank`` from saved result pages.
 
-    ``results`` carries the ``domain`` searched for. Only the first ``most``
-    can become seeds.
+    ``results`` carries the ``domain`` searched for. Addresses with and without
+    a closing ``/`` are one seed; the first ``most`` of a domain stay.
     """
     pattern = rf'https?://[a-zA-Z0-9.\-]+\.{tld}[^\s"<>]*'
     found = unnest(
         results, ["domain", *order], F.regexp_extract_all(body, F.lit(pattern), 0), "url"
     ).filter(F.contains(F.col("url"), F.col("domain")))
+    found = found.withColumn("url", F.rtrim("url", F.lit("/")))
     first = first_by(found, ["domain", "url"], [*order, "pos"], [*order, "pos"])
     return first_k(first, ["domain"], [*order, "pos"], most, into="rank").select(
         "domain", "url", F.col("rank").cast("bigint").alias("rank")

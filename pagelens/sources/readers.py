@@ -193,6 +193,85 @@ def keyserver_rows(index_pages: DataFrame) -> DataFrame:
     )
 
 
+def _path_names(count: int) -> Column:
+    """The last ``count`` names of a file's path, as they were written.
+
+    The file's extension goes, and so does ``key=`` before a folder's name.
+    """
+    kept = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    names = F.slice(F.split(kept, "/"), -count, count)
+
+    def tidy(name: Column, i: Column) -> Column:
+        bare = F.when(i == count - 1, F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")).otherwise(name)
+        bare = F.regexp_replace(bare, r"^\w+=", "")
+        return F.coalesce(F.try_url_decode(bare), bare)
+
+    return F.transform(names, tidy)
+
+
+def _body_text(content: Column) -> Column:
+    """UTF-8, or where it is not, Latin-1; every byte has a meaning there."""
+    unmarked = F.regexp_replace(content.cast("string"), "^\ufeff", "")
+    return F.when(F.is_valid_utf8(content.cast("string")), unmarked).otherwise(
+        F.decode(content, "ISO-8859-1")
+    )
+
+
+def read_saved_pages(
+    spark: SparkSession, path: str, names: list, pattern: str | None = None
+) -> DataFrame:
+    """One row a file: ``names`` from its path, ``status`` and ``body``.
+
+    ``names`` are the last parts of the path, the last being the file's name
+    without its extension (``["server", "domain"]`` for
+    ``pgp.example/nunoa.cl.html``; ``server=pgp.example`` is the same). A part
+    that says nothing is named None (files that Spark wrote below folders). A saved
+    response may begin with its status line and headers, and those of
+    redirects before it: the last status counts. A file without them was
+    answered with 200; a blank file is a request without an answer, status
+    NULL (it needs a line end: Spark leaves out files without a byte). Many small files share a task; a file is one row.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
+    raw = F.col("__raw")
+    head = r"(?s)\A(?:HTTP/[0-9.]++ ++[0-9]{3}\b(?:(?!\r?\n\r?\n).)*+\r?\n\r?\n)*HTTP/[0-9.]++ ++([0-9]{3})\b(?:(?!\r?\n\r?\n).)*+(?:\r?\n\r?\n|\z)"
+    status = F.regexp_extract(raw, head, 1)
+    found = reader.load(path).select(
+        _path_names(len(names)).alias("__names"),
+        _body_text(F.col("content")).alias("__raw"),
+    )
+    return found.select(
+        *[F.get("__names", F.lit(i)).alias(n) for i, n in enumerate(names) if n],
+        F.when(F.rlike(raw, F.lit(r"\S")), F.coalesce(status.try_cast("int"), F.lit(200))).alias("status"),
+        F.regexp_replace(raw, head, "").alias("body"),
+    )
+
+
+def read_saved_searches(
+    spark: SparkSession, path: str, names: tuple = ("domain", "k")
+) -> DataFrame:
+    """SRC-8: ``domain, k, body`` from files ``<domain>/<k>.<extension>``.
+
+    ``k`` is the place of a page in the search, as a number. Pages that were
+    not answered with 200 hold no results and are left out.
+    """
+    saved = read_saved_pages(spark, path, list(names))
+    return saved.filter(F.col("status") == 200).select(
+        F.lower("domain").alias("domain"),
+        F.coalesce(F.col("k").try_cast("bigint"), F.lit(0)).alias("k"),
+        "body",
+    )
+
+
+def read_keyserver_pages(
+    spark: SparkSession, path: str, names: tuple = ("server", "domain")
+) -> DataFrame:
+    """SRC-10: ``domain, server, status, body`` from ``<server>/<domain>.<ext>``."""
+    saved = read_saved_pages(spark, path, list(names))
+    return saved.select(F.lower("domain").alias("domain"), "server", "status", "body")
+
+
 def target_list(spark: SparkSession) -> DataFrame:
     """SRC-11: ``comuna, domain`` of the regional target list."""
     return spark.createDataFrame(V.TARGETS, "comuna STRING, domain STRING")

@@ -1,9 +1,11 @@
 """Writers: exports, measurement tables and history appends."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelens.functions.fixed_values import OUTPUT_FORMATS
-from pagelens.operators import results as R
+from pagelens.operators import results as R, sessions as S
+from pagelens.operators.shared import remove_folder, small
+from pagelens.schemas import SESSION_EMAILS, SESSIONS
 
 
 def infer_format(path: str) -> str:
@@ -79,20 +81,53 @@ def write_results(
     _WRITERS[resolve_format(path, fmt)](results, path, mode)
 
 
-def append_by_target(rows: DataFrame, path: str, column: str = "domain"):
+def committed_path(path: str) -> str:
+    """Where the writes of an append table that are whole are on record."""
+    return f"{path.rstrip('/')}.committed"
+
+
+def append_by_target(
+    rows: DataFrame, path: str, column: str = "domain", write_id: str | None = None
+):
     """SNK-6: add rows under their target's own folder.
 
     Rows are spread by target and address first: each target gets few files
     and a target with most of the rows is written by many tasks.
+
+    With ``write_id`` the append can be repeated: below its target a write has
+    a folder of its own, which a second attempt replaces. The write is put on
+    record when all of it is there; ``read_appended`` takes no other.
     """
-    (
+    dealt = (
         rows.withColumn("__part", F.pmod(F.xxhash64("email"), F.lit(16)))
         .repartition(column, "__part")
         .drop("__part")
-        .write.mode("append")
-        .partitionBy(column)
-        .parquet(path)
     )
+    if write_id is None:
+        dealt.write.mode("append").partitionBy(column).parquet(path)
+        return
+    dealt.withColumn("write_id", F.lit(write_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(column, "write_id").parquet(path)
+    record = rows.sparkSession.range(1).select(
+        F.current_timestamp().alias("at"), F.lit(write_id).alias("write_id")
+    )
+    record.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "write_id"
+    ).parquet(committed_path(path))
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all writes on record; ``schema`` is that of the rows.
+
+    Both partition columns are texts. The folders of a write that was broken
+    off are pruned, not read.
+    """
+    files = spark.read.schema(f"{schema}, write_id STRING").parquet(path)
+    whole = spark.read.schema("at TIMESTAMP, write_id STRING").parquet(committed_path(path))
+    whole = whole.select("write_id").distinct()
+    whole = F.broadcast(whole) if small(whole) else whole
+    return files.join(whole, "write_id", "left_semi").drop("write_id")
 
 
 def write_measures(rows: DataFrame, path: str, mode: str = "errorifexists"):
@@ -100,9 +135,110 @@ def write_measures(rows: DataFrame, path: str, mode: str = "errorifexists"):
     _csv(rows, path, mode)
 
 
-def append_table(rows: DataFrame, path: str):
+def append_table(rows: DataFrame, path: str, partition: str | None = None):
     """SNK-8 / SNK-9: one bulk append to a history table."""
-    rows.write.mode("append").parquet(path)
+    writer = rows.write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+# Sessions that share a folder of a history table.
+FOLDER_SESSIONS = 1000
+# Folders named in the filter of a partial rewrite; more are found by a join.
+NAMED_FOLDERS = 10_000
+
+
+def in_folders(rows: DataFrame, session: str, wide: int = FOLDER_SESSIONS) -> DataFrame:
+    """Adds ``folder``, the partition of a history table that a session is in."""
+    return rows.withColumn("folder", F.floor(F.col(session) / F.lit(wide)).cast("bigint"))
+
+
+def pending_path(path: str) -> str:
+    """Where rewritten folders wait until they are all there."""
+    return f"{path.rstrip('/')}.pending"
+
+
+def finish_rewrite(spark: SparkSession, path: str, partition: str, schema: str) -> None:
+    """Puts folders in place that a rewrite had ready when it was broken off.
+
+    Without any, or where they were not all ready, nothing changes.
+    """
+    waiting = pending_path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(waiting)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{waiting}/_SUCCESS")):
+        spark.read.schema(schema).parquet(waiting).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(partition).parquet(path)
+    remove_folder(spark, waiting)
+
+
+def rewrite_folders(
+    spark: SparkSession, path: str, partition: str, touched: DataFrame, change, schema: str
+) -> None:
+    """SNK-10 / SNK-11: rewrites the folders that ``touched`` names, no others.
+
+    ``touched`` has the column ``partition``; ``change`` turns the rows of
+    those folders into their new rows. The new rows are first written beside
+    the table and then replace their folders, so a rewrite that is broken off
+    loses nothing: the next one (or ``finish_rewrite``) puts them in place.
+    Folders that are not named keep their files. One writer at a time.
+    """
+    finish_rewrite(spark, path, partition, schema)
+    names = touched.select(partition).filter(F.col(partition).isNotNull()).distinct()
+    table = spark.read.schema(schema).parquet(path)
+    if small(names, NAMED_FOLDERS):
+        found = [row[0] for row in names.collect()]
+        if not found:
+            return
+        chosen = table.filter(F.col(partition).isin(found))
+    else:
+        chosen = table.join(names, partition, "left_semi")
+    waiting = pending_path(path)
+    # Sums and the like may have become wider than the table's columns.
+    fresh = change(chosen).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields]
+    )
+    dealt = fresh.repartition(partition, F.pmod(F.xxhash64(*fresh.columns), F.lit(16)))
+    dealt.write.partitionBy(partition).parquet(waiting)
+    finish_rewrite(spark, path, partition, schema)
+
+
+def update_status_at(
+    spark: SparkSession,
+    path: str,
+    updates: DataFrame,
+    schema: str = SESSION_EMAILS,
+    wide: int = FOLDER_SESSIONS,
+) -> None:
+    """SNK-10 on a stored table, appended with ``in_folders``."""
+    rewrite_folders(
+        spark,
+        path,
+        "folder",
+        in_folders(updates, "session_id", wide),
+        lambda rows: S.update_status(rows, updates),
+        f"{schema}, folder BIGINT",
+    )
+
+
+def update_totals_at(
+    spark: SparkSession,
+    path: str,
+    emails: DataFrame,
+    schema: str = SESSIONS,
+    wide: int = FOLDER_SESSIONS,
+) -> None:
+    """SNK-11 on a stored table: the sessions that have addresses."""
+    rewrite_folders(
+        spark,
+        path,
+        "folder",
+        in_folders(emails, "session_id", wide),
+        lambda rows: S.update_totals(rows, emails),
+        f"{schema}, folder BIGINT",
+    )
 
 
 def _csv(rows: DataFrame, path: str, mode: str):
