@@ -136,7 +136,10 @@ class Ranges:
 
 
 def named_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_id`` of every row; ``set_id`` is NULL if empty."""
+    """``doc_id, n_shingles, set_id`` of every row; ``set_id`` is NULL if empty.
+
+    ``text_id`` names the row's text: with ``doc_id`` it finds the row again.
+    """
 
     def run(batches):
         for batch in batches:
@@ -149,12 +152,15 @@ def named_sets(docs: DataFrame, size: int) -> DataFrame:
                     batch.column(0),
                     pa.array([n for n, _ in found], pa.int64()),
                     pa.array([s for _, s in found], pa.int64()),
+                    batch.column(2),
                 ],
-                names=["doc_id", "n_shingles", "set_id"],
+                names=["doc_id", "n_shingles", "set_id", "text_id"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, set_id bigint"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, n_shingles bigint, set_id bigint, text_id bigint"
+    return docs.select(
+        F.col("doc_id").cast("long"), "text", F.xxhash64("text")
+    ).mapInArrow(run, schema)
 
 
 def range_keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -263,7 +269,7 @@ def key_neighbours(keyed: DataFrame) -> DataFrame:
         .select("key", F.col("set_id").alias("b"))
     )
     least = kept.groupBy("key").agg(F.min("b").alias("a"))
-    return kept.join(least, "key").filter("a <> b").select("a", "b").distinct()
+    return kept.join(least, "key").filter("a <> b").select("a", "b")
 
 
 class SkipJoin:
@@ -371,15 +377,25 @@ class SkipJoin:
 
 
 def _with_tokens(rows: DataFrame, size: int) -> DataFrame:
-    """Replaces ``text`` by ``tokens``; drops rows of another set."""
+    """Replaces ``text`` by ``tokens``; drops rows of another set.
+
+    A task names each set once, so copies of a text are not kept.
+    """
     kept = [c for c in rows.columns if c != "text"]
     chosen = rows.select("text", *kept)
 
     def run(batches):
         at = 1 + kept.index("set_id")
+        seen: set[int] = set()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0).to_pylist(), size))
             named = batch.column(at).to_pylist()
+            fresh = []
+            for name in named:
+                fresh.append(name not in seen)
+                seen.add(name)
+            batch = batch.filter(pa.array(fresh))
+            named = [name for name, new in zip(named, fresh) if new]
+            sets = list(shingle_sets(batch.column(0).to_pylist(), size))
             right = [len(s) > 0 and set_id(s) == n for s, n in zip(sets, named)]
             tokens = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -419,10 +435,13 @@ def linked_sets(
     """``set_id, root`` of every set with a link to a different set."""
     spark = docs.sparkSession
     groups = components(key_neighbours(range_keys(docs, size, num, den)))
+    # Of each set one row, with an id where any has one.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n_shingles")
     one_each = (
         named.filter(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+        .agg(F.min(row).alias("row"))
+        .select("set_id", "row.doc_id", "row.text_id", F.col("row.n_shingles").alias("n"))
     )
     candidates = cut(
         one_each.join(groups.withColumnRenamed("id", "set_id"), "set_id")
@@ -440,17 +459,21 @@ def linked_sets(
     placed = cut(
         candidates.join(weights, "root").select(
             "doc_id",
+            "text_id",
             "set_id",
             F.struct(heavy.alias("heavy"), bucket.alias("of")).alias("bucket"),
             F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"),
             "blocks",
         )
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text"), "text"
+    )
     lookup = F.broadcast(placed) if small(placed, BROADCAST_ROWS) else placed
+    same = (F.col("__text") == F.col("text_id")) & F.col("__doc").eqNullSafe(F.col("doc_id"))
     sets = cut(
         _with_tokens(
-            texts.join(lookup, F.col("__doc").eqNullSafe(F.col("doc_id"))).select(
+            texts.join(lookup, same).select(
                 "text", "set_id", "bucket", "block", "blocks"
             ),
             size,
