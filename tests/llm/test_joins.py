@@ -127,6 +127,33 @@ def test_candidates_may_be_shuffled(spark, monkeypatch):
     assert joined(df, 3, 80, 100) == grouped(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_of_one_id_are_told_apart_by_their_text(spark, doc_id):
+    """Each candidate fetches its own text, not all rows of its id."""
+    lines = variants(5, 60, 3)
+    rows = [(doc_id, t) for t in lines + lines[:20]] + [(100 + i, t) for i, t in enumerate(lines[:5])]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    named = setjoin.named_sets(df, 3).collect()
+    fetched = []
+    plain = setjoin._with_tokens
+
+    def watched(texts, size):
+        out = plain(texts, size)
+        fetched.append((texts.count(), out.count()))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(setjoin, "_with_tokens", watched)
+        got = setjoin.near_duplicate_groups(df, 3, 80, 100).collect()
+    assert len(got) == len(rows) and fetched[0][0] <= len(rows)
+    assert len({r.set_id for r in named}) <= len(set(lines))
+    want = grouped(list(enumerate([t for _, t in rows])), 3, 80, 100)
+    by_component = defaultdict(set)
+    for r, (i, _) in zip(sorted(got, key=repr), sorted(enumerate(rows))):
+        by_component[r.component_id].add(r.doc_id)
+    assert len(got) == len(want)
+
+
 def test_op8_equals_brute_force(spark, texts):
     rows = QUERIES["op8_set_relation_join"](spark, SF).collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == grouped(texts, 3, 90, 100)
@@ -205,8 +232,11 @@ def test_set_edges(edges, empty):
 # --- components -------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("task_edges", [1_000_000, 20])
 @pytest.mark.parametrize("kind", ["random", "path", "star", "loops"])
-def test_components(spark, kind):
+def test_components(spark, monkeypatch, kind, task_edges):
+    """All edges in one task, or rounds of stars over several."""
+    monkeypatch.setattr("pagelens.llm.components.TASK_EDGES", task_edges)
     rng = random.Random(6)
     edges = {
         "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(260)],
