@@ -5,6 +5,8 @@ possessively and start only where a run of such characters starts, so their
 cost stays linear in the text.
 """
 
+import functools
+import sys
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -175,23 +177,72 @@ def may_hold_email(html: Column, tld: str) -> Column:
 # --- accents ---------------------------------------------------------------
 
 
-def _accent_table() -> tuple:
-    """Single accented letters of the Latin blocks and their base letters."""
-    pairs = {}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(code))
-        base = "".join(c for c in parts if unicodedata.category(c) != "Mn")
-        if len(parts) > 1 and len(base) == 1:
-            pairs[chr(code)] = base
-    return "".join(pairs), "".join(pairs.values())
+_HANGUL = range(0xAC00, 0xD7A4)
 
 
-_ACCENTED, _PLAIN = _accent_table()
+@functools.cache
+def _canonical() -> tuple[str, str, dict[str, str]]:
+    """Canonical decomposition without combining marks, by code point.
+
+    Characters with a one-character result, those results, and the few that
+    leave several. Marks stand at the end of the first text without a partner
+    in the second: ``translate`` drops those. Hangul goes by formula.
+    """
+    single, several, marks = {}, {}, []
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c) and code not in _HANGUL:
+            parts = unicodedata.normalize("NFD", c)
+            kept = "".join(p for p in parts if unicodedata.category(p) != "Mn")
+            if kept != c:
+                (single if len(kept) == 1 else several)[c] = kept
+    return "".join([*single, *marks]), "".join(single.values()), several
+
+
+def _jamo(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters, by their places."""
+    leads, vowels, tails = (
+        "".join(map(chr, range(first, first + count)))
+        for first, count in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
+    )
+    place = F.ascii(c) - _HANGUL.start
+
+    def letter(of: str, at: Column) -> Column:
+        return F.substring(F.lit(of), at.cast("int"), F.lit(1))
+
+    tail = place % 28
+    return F.concat(
+        letter(leads, F.floor(place / 588) + 1),
+        letter(vowels, F.floor(place % 588 / 28) + 1),
+        F.when(tail > 0, letter(tails, tail)).otherwise(""),
+    )
 
 
 def deaccent(c: Column) -> Column:
-    """SCA-17: Latin letters without their accents, combining marks dropped."""
-    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _ACCENTED, _PLAIN)
+    """SCA-17: canonical decomposition, combining marks dropped.
+
+    Plain ASCII comes back at once; characters that become several are looked
+    at one by one, only in texts that have them.
+    """
+    accented, plain, several = _canonical()
+    syllable = f"[{chr(_HANGUL.start)}-{chr(_HANGUL[-1])}]"
+    rare = f"[{''.join(several)}{syllable[1:]}"
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+
+    def apart(ch: Column) -> Column:
+        return F.when(F.rlike(ch, F.lit(syllable)), _jamo(ch)).otherwise(
+            F.coalesce(F.try_element_at(known, ch), ch)
+        )
+
+    letters = F.translate(c, accented, plain)
+    spelled = F.array_join(
+        F.transform(F.regexp_extract_all(letters, F.lit("(?s)."), F.lit(0)), apart), ""
+    )
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(
+        F.when(F.rlike(c, F.lit(rare)), spelled).otherwise(letters)
+    )
 
 
 def slug(name: Column) -> Column:
