@@ -14,7 +14,10 @@ titled in their text are not found, nor inflected forms.
 
 Distinct entities must keep distinct surrogates, and no surrogate may be an
 entity of the data: the table of entities is checked for both, and those that
-lose are drawn again with a raised attempt number until none is left.
+lose are drawn again with a raised attempt number until none is left. From the
+``WIDE``-th attempt on a surrogate is longer than the entity, by more each time
+(an address leaves the private range and then becomes a version 6 one), so that
+a form with fewer surrogates than entities does not draw for ever.
 
 Only rows with an entity are checkpointed and joined; all other rows pass in
 the scan that tested them. Everything is DataFrame functions.
@@ -44,9 +47,19 @@ _ASSIGNED = (
     r"\b(?i:password|passwd|secret|token|api[_\-]?key)(?-i)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 )
 
+# Attempts that keep to the entity's own form.
+WIDE = 3
+
+# Letters of all scripts may stand in an address.
+_LOCAL = r"[\p{L}\p{M}\p{N}_.%+\-]"
+_LABEL = r"[\p{L}\p{M}\p{N}\-]+"
+_HEX = "[0-9A-Fa-f]{1,4}"
+# A title, or one that only counts with its stop; then initials, which stay.
+_TITLED = rf"(?:(?:{_TITLES})\.?|M\.)[  ](?:\p{{Lu}}\.[  ]?){{0,3}}"
+
 # Kinds in the order in which they are tried at one position.
 KINDS = {
-    "email": r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@{_LABEL}(?:\.{_LABEL})*\.\p{{L}}{{2,}}",
     "secret": _ASSIGNED + r"[A-Za-z0-9+/_\-]{8,}+",
     "key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -54,12 +67,16 @@ KINDS = {
         r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}"
         r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
     ),
+    "ip6": (
+        rf"(?<![\w:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}"
+        rf"|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])"
+    ),
     "phone": (
         r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
         r"|(?<![\d\-])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?![\d\-])"
     ),
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.?[  ]{_NAME}(?:[  ]{_NAME})?",
+    "person": rf"(?<![\p{{L}}]){_TITLED}{_NAME}(?:[  ]{_NAME})?",
 }
 # Digits with single separators, up to where an entity of another kind begins;
 # the cards in them are found by their checksum.
@@ -76,7 +93,10 @@ ISSUED = (
 )
 GROUPED = r"\A(?:\d+|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ \-])\d{6}\2\d{4,5})\z"
 # A text without these cannot hold an entity.
-SUSPECT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLES})\b|(?i:passw|secret|token|api[_\-]?key)"
+SUSPECT = (
+    rf"[0-9@]|(?<![\p{{L}}])(?:(?:{_TITLES})\b|M\.)|AKIA|ASIA|ghp_|sk-"
+    r"|(?i:passw|secret|token|api[_\-]?key)"
+)
 
 # Syllables by hex digit, per script.
 SYLLABLES = {
@@ -84,6 +104,8 @@ SYLLABLES = {
     "cyrillic": "ба де фи га хо жу ка ле ми но па ре си та во зу",
     "greek": "βα δε φι γα χο ζου κα λε μι νο πα ρε σι τα βο θου",
 }
+# Letters of an address by script.
+LETTERS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшщ", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 # Endings by script: masculine and open given names, feminine ones, families.
 ENDINGS = {
     "latin": ("n", "na", "ser"),
@@ -237,8 +259,8 @@ def _parts(match: Column) -> Column:
         return match.rlike(rf"\A(?:{KINDS[kind]})\z")
 
     lead = F.regexp_extract(match, rf"\A{_ASSIGNED}", 0)
-    title = F.regexp_extract(match, rf"\A(?:{_TITLES})\.?[  ]", 0)
-    names = F.regexp_replace(match, rf"\A(?:{_TITLES})\.?[  ]", "")
+    title = F.regexp_extract(match, rf"\A{_TITLED}", 0)
+    names = F.regexp_replace(match, rf"\A{_TITLED}", "")
     given = F.regexp_extract(names, rf"\A({_NAME})[  ]", 1)
     gap = F.regexp_extract(names, rf"\A{_NAME}([  ])", 1)
     last = F.regexp_extract(names, rf"({_NAME})\z", 1)
@@ -252,7 +274,7 @@ def _parts(match: Column) -> Column:
         is_kind("secret"),
         F.array(_part(None, lead), _part("secret", F.regexp_replace(match, rf"\A{_ASSIGNED}", ""))),
     )
-    for kind in ("key", "iban", "ip", "phone", "ssn"):
+    for kind in ("key", "iban", "ip", "ip6", "phone", "ssn"):
         found = found.when(is_kind(kind), F.array(_part(kind, match)))
     found = found.when(is_kind("card"), _cards(match))
     found = found.when(
@@ -277,7 +299,7 @@ def _normal(kind: Column, raw: Column) -> Column:
         F.when(kind.isin("card", "ssn"), _digits(raw))
         .when(kind == "phone", F.regexp_replace(raw, "[^0-9+]", ""))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .when(kind.isin("email", "given_m", "given_f", "family"), F.lower(raw))
+        .when(kind.isin("email", "ip6", "given_m", "given_f", "family"), F.lower(raw))
         .otherwise(raw)
     )
 
@@ -304,6 +326,12 @@ def _same_classes(value: Column, stream: Column) -> Column:
             .when(c.rlike("[a-z]") & hexed, _pick("abcdef", b))
             .when(c.rlike("[a-z]"), _pick(lower, b))
             .when(c.rlike("[A-Z]"), _pick(lower.upper(), b))
+            # A mark goes with its letter; other letters keep their script.
+            .when(c.rlike(r"\p{M}"), F.lit(""))
+            .when(c.rlike(r"\p{IsCyrillic}"), _pick(LETTERS["cyrillic"], b))
+            .when(c.rlike(r"\p{IsGreek}"), _pick(LETTERS["greek"], b))
+            .when(c.rlike(r"\p{L}"), _pick(lower, b))
+            .when(c.rlike(r"\p{N}"), _pick("0123456789", b))
             .otherwise(c)
         )
 
@@ -351,38 +379,51 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
     )
     size = F.char_length(normal)
     first = F.substring(normal, F.lit(1), F.lit(1))
-    payload = F.concat(first, _keyed_digits(stream, size - 2))
+    more = F.greatest(attempt - (WIDE - 1), F.lit(0)) * 2
+    payload = F.concat(first, _keyed_digits(stream, size - 2 + more))
     check = (10 - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10
     plus = F.substring(normal, F.lit(1), F.lit(2))
     area = _pick("23456789", _byte(stream, F.lit(63)))
     phone = F.when(
-        first == "+", F.concat(plus, area, _keyed_digits(stream, size - 3))
-    ).otherwise(F.concat(area, _keyed_digits(stream, size - 1)))
-    ip = F.concat_ws(
-        ".", F.lit("10"), *[(_byte(stream, F.lit(i)) % 256).cast("string") for i in (0, 1, 2)]
+        first == "+", F.concat(plus, area, _keyed_digits(stream, size - 3 + more))
+    ).otherwise(F.concat(area, _keyed_digits(stream, size - 1 + more)))
+    octets = [(_byte(stream, F.lit(i)) % 256).cast("string") for i in (0, 1, 2)]
+    reserved = (240 + _byte(stream, F.lit(3)) % 15).cast("string")
+    groups = [F.substring(stream, 4 * i + 3, 4) for i in range(7)]
+    ip6 = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(stream, 1, 2)), *groups)
+    ip = (
+        F.when(attempt < WIDE, F.concat_ws(".", F.lit("10"), *octets))
+        .when(attempt < 2 * WIDE, F.concat_ws(".", reserved, *octets))
+        .otherwise(ip6)
     )
     email = F.concat(
         _same_classes(F.substring_index(normal, "@", 1), stream),
         F.lit("@"),
-        F.translate(F.substring(stream, 65, 8), "0123456789", "ghijklmnop"),
+        F.translate(F.substring(stream, F.lit(65), 8 + more), "0123456789", "ghijklmnop"),
         F.lit(".example."),
         F.get(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(stream, F.lit(40)) % 3),
     )
     rest = F.substring(normal, F.lit(5), size)
     head = F.substring(normal, F.lit(1), F.lit(4))
     country = F.substring(normal, F.lit(1), F.lit(2))
+    tail = F.substring(stream, F.lit(65), more)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
+        .when(kind == "ip6", ip6)
         .when(kind == "phone", phone)
         .when(kind == "card", F.concat(payload, check.cast("string")))
-        .when(kind == "ssn", F.concat(F.lit("9"), _keyed_digits(stream, size - 1)))
-        .when(kind == "key", F.concat(head, _same_classes(rest, stream)))
+        .when(kind == "ssn", F.concat(F.lit("9"), _keyed_digits(stream, size - 1 + more)))
+        .when(kind == "key", F.concat(head, _same_classes(rest, stream), tail))
         .when(
             kind == "iban",
-            F.concat(country, _same_classes(F.substring(normal, F.lit(3), size), stream)),
+            F.concat(
+                country,
+                _same_classes(F.substring(normal, F.lit(3), size), stream),
+                F.upper(tail),
+            ),
         )
-        .when(kind == "secret", _same_classes(normal, stream))
+        .when(kind == "secret", F.concat(_same_classes(normal, stream), tail))
         .otherwise(_name(kind, normal, attempt, stream))
     )
 
@@ -458,7 +499,11 @@ def _written(kind: Column, raw: Column, made: Column) -> Column:
                 ),
             ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["n"].alias("n"))),
         )
-        return done["out"]
+        # A longer surrogate goes on behind the mention's own places.
+        return _let(
+            done,
+            lambda d: F.concat(d["out"], F.substring(made, d["n"] + 1, F.char_length(made))),
+        )
 
     return (
         F.when(kind.isNull(), raw)
@@ -503,6 +548,10 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         now = cut(drawn(again.select("kind", "normal", "attempt")))
 
 
+def _union(sets: str) -> Column:
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_list(sets))))
+
+
 def replace_entities(
     docs: DataFrame, key: str = DEFAULT_KEY, into=("n_entities", "kinds")
 ) -> DataFrame:
@@ -540,32 +589,31 @@ def replace_entities(
     written = (
         parts.join(table, ["kind", "normal"], "left")
         .withColumn("new", _written(F.col("kind"), F.col("raw"), F.col("made")))
-        .groupBy("__pii_row")
+        # The parts of a match first, then the matches of a row.
+        .groupBy("__pii_row", "at")
         .agg(
-            F.sort_array(F.collect_list(F.struct("at", "sub", "new"))).alias("__pii_new"),
-            F.count("kind").alias("__pii_count"),
-            F.sort_array(F.collect_set("kind")).alias("__pii_kinds"),
-            F.sort_array(
-                F.collect_set(
-                    F.when(
-                        F.col("kind").isin("given_m", "given_f", "family"),
-                        F.struct("normal", "kind", "made"),
-                    )
+            F.sort_array(F.collect_list(F.struct("sub", "new"))).alias("new"),
+            F.count("kind").alias("many"),
+            F.collect_set("kind").alias("kinds"),
+            F.collect_set(
+                F.when(
+                    F.col("kind").isin("given_m", "given_f", "family"),
+                    F.struct("normal", "kind", "made"),
                 )
-            ).alias("__pii_names"),
+            ).alias("names"),
+        )
+        .withColumn("new", F.array_join(F.transform("new", lambda p: p["new"]), ""))
+        .groupBy("__pii_row")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__pii_new"),
+            F.sum("many").alias("__pii_count"),
+            _union("kinds").alias("__pii_kinds"),
+            _union("names").alias("__pii_names"),
         )
     )
     # Literal text before each match, and what follows the last one.
     segments = F.split(F.col("text"), PATTERN, -1)
-    new_at = F.transform(
-        F.sequence(F.lit(0), F.size("__pii_matches") - 1),
-        lambda i: F.array_join(
-            F.transform(
-                F.filter("__pii_new", lambda p: p["at"] == i), lambda p: p["new"]
-            ),
-            "",
-        ),
-    )
+    new_at = F.transform("__pii_new", lambda p: p["new"])
     rebuilt = (
         held.join(written, "__pii_row")
         .withColumn("__pii_normals", F.col("__pii_names.normal"))
