@@ -7,10 +7,15 @@ sample, per letter, estimates the cross entropy. The language with the least
 wins.
 
 The sample: per language the labelled rows with the least hash of their text,
-until ``SAMPLE_CHARS`` characters are reached (a documented bound of the
-training set; the last row is cut there). Equal texts count once. A
-text longer than ``LANE`` symbols is parsed in lanes side by side, so a phrase
-ends where a lane ends; all of the text is parsed.
+until ``SAMPLE_CHARS`` characters or ``SAMPLE_ROWS`` rows are reached (documented
+bounds of the training set; the last row is cut there). A row gives a twentieth
+of the sample at most, from a place that its hash tells, so that a beginning
+shared by many rows does not fill it. Equal texts count once.
+
+A text longer than ``LANE`` symbols is parsed in lanes side by side. Each lane is
+then joined to the one before: the phrase that comes in goes on until both
+parses begin a phrase at one place, from where they agree. The phrases are those
+of one greedy parse of the whole text.
 
 Defined results: NULL text or text without a letter gives ``und`` and score 0;
 ties go to the language whose name sorts first; repeated rows are each given
@@ -28,10 +33,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pagelens.llm.worker import document_batches, hold
 
 SAMPLE_CHARS = 30_000
-# Rows considered for the sample of one language; a text gives no more than
-# this share of the sample, so that it is not one long document.
-SAMPLE_ROWS = 100
+# Rows considered for the sample of one language.
+SAMPLE_ROWS = 1000
 LANE = 2048
+# Cells of a dense table of all transitions (4 bytes each); where states times
+# letters are more, as in scripts of thousands of letters, they are hashed.
+DENSE_CELLS = 1 << 25
 # Symbols parsed at once; bounds a task's memory.
 STEP_SYMBOLS = 1_000_000
 UNKNOWN = "und"
@@ -67,10 +74,51 @@ class SuffixAutomaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
-        self.table = np.zeros((len(moves), alphabet), dtype=np.int32)
-        for state, out in enumerate(moves):
-            for c, to in out.items():
-                self.table[state, c] = to
+        # Transitions as ``state, symbol, target`` in order of state.
+        self.states = len(moves)
+        self.moves = np.array(
+            [(state, c, to) for state, out in enumerate(moves) for c, to in out.items()],
+            dtype=np.int64,
+        ).reshape(-1, 3)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (spread >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class HashedMoves:
+    """Targets by 64-bit key in a table with linear probing, half empty."""
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys = np.full(size, -1, dtype=np.int64)
+        self.targets = np.zeros(size, dtype=np.int32)
+        slot = _slots(keys, self.bits)
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] < 0
+            # Of those that want one free slot the first in order gets it.
+            _, first = np.unique(slot[left], return_index=True)
+            first = first[free[first]]
+            self.keys[slot[left[first]]] = keys[left[first]]
+            self.targets[slot[left[first]]] = targets[left[first]]
+            left = np.delete(left, first)
+            slot[left] = (slot[left] + 1) & (size - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Targets, -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        slot = _slots(keys, self.bits)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.targets[slot[left[hit]]]
+            left = left[~hit & (held >= 0)]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        return out
 
 
 class CrossParser:
@@ -85,36 +133,53 @@ class CrossParser:
         self.alphabet = self.other + 1
         # Characters of the samples get their symbol here, others by isalpha.
         self.symbol_of = {c: i + 1 for i, c in enumerate(letters)}
-        self._table = np.full(1 << 16, -1, dtype=np.int16)
+        self._table = np.full(1 << 16, -1, dtype=np.int32)
         for c, i in self.symbol_of.items():
             if ord(c) < 1 << 16:
                 self._table[ord(c)] = i
-        self.costs = []
-        tables = []
+        self.costs, self.starts, found = [], [], []
         base = 0
-        self.starts = []
         for language in self.languages:
             symbols, _ = self.symbols([folded[language]])
             automaton = SuffixAutomaton(symbols.tolist(), self.alphabet)
-            # The last state stands before a phrase: at the start, and after a
+            found.append(automaton.moves + np.array([base, 0, base]))
+            # One more state stands before a phrase: at the start, and after a
             # symbol that the sample does not have, which is one by itself.
-            fresh = len(automaton.table)
-            table = np.vstack([automaton.table, np.zeros((1, self.alphabet), np.int32)])
-            # A missing transition starts a new phrase with the same symbol.
-            restart = np.where(table[0] == 0, fresh, table[0])
-            new = table == 0
-            step = np.where(new, restart[None, :], table) + base
-            # Flag in the lowest bit: this symbol starts a phrase.
-            tables.append((((step * self.alphabet) << 1) | new).astype(np.int32))
-            self.starts.append(base + fresh)
-            base += len(table)
+            self.starts.append(base + automaton.states)
+            base += automaton.states + 1
             self.costs.append(math.log2(max(len(symbols), 2)))
-        # Entries hold row offsets already multiplied by the alphabet.
-        self.steps = (
-            np.concatenate(tables, dtype=np.int32, casting="unsafe").ravel()
-            if tables
-            else np.empty(0, np.int32)
+        self._build(base, found)
+
+    def _build(self, states: int, found: list[np.ndarray]) -> None:
+        """``restart``: where a phrase that begins with a symbol leads, by language."""
+        self.restart = np.repeat(
+            np.array(self.starts, dtype=np.int32)[:, None], self.alphabet, axis=1
         )
+        roots = [0, *[start + 1 for start in self.starts[:-1]]]
+        for k, (root, moves) in enumerate(zip(roots, found)):
+            first = moves[moves[:, 0] == root]
+            self.restart[k, first[:, 1]] = first[:, 2]
+        moves = np.concatenate([np.empty((0, 3), np.int64), *found])
+        self.dense = self.hashed = None
+        if states * self.alphabet > DENSE_CELLS:
+            self.hashed = HashedMoves(moves[:, 0] * self.alphabet + moves[:, 1], moves[:, 2])
+            return
+        # Target and, in the lowest bit, whether the symbol begins a phrase.
+        owner = np.searchsorted(self.starts, np.arange(states))
+        dense = (self.restart << 1 | 1)[owner] if states else self.restart
+        dense[moves[:, 0], moves[:, 1]] = moves[:, 2] << 1
+        self.dense = np.ascontiguousarray(dense, dtype=np.int32).ravel()
+
+    def move(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray):
+        """Next state, and 1 where the symbol begins a phrase."""
+        key = state.astype(np.int64) * self.alphabet + symbol
+        if self.dense is not None:
+            entry = self.dense[key]
+            return entry >> 1, entry & 1
+        to = self.hashed.find(key.ravel()).reshape(key.shape)
+        new = to < 0
+        to = np.where(new, self.restart[np.broadcast_to(language, key.shape), symbol], to)
+        return to, new.astype(np.int32)
 
     def _symbols_of_codes(self, codes: np.ndarray) -> np.ndarray:
         """Symbol of each code point; characters not seen yet are learnt."""
@@ -127,7 +192,7 @@ class CrossParser:
                     self.symbol_of.get(chr(c), self.other) if chr(c).isalpha() else 0
                     for c in fresh.tolist()
                 ],
-                dtype=np.int16,
+                dtype=np.int32,
             )
             low = fresh < 0xFFFF
             self._table[fresh[low]] = values[low]
@@ -161,28 +226,72 @@ class CrossParser:
         begin = bounds[:-1][owner] + number * LANE
         length = np.minimum(sizes[owner] - number * LANE, LANE)
         order = np.argsort(-length, kind="stable")
-        owner, begin, length = owner[order], begin[order], length[order]
-        alive = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
-        starts = np.array(self.starts, dtype=np.int32) * np.int32(self.alphabet)
-        state = np.tile(starts, (len(owner), 1))
+        starts, sizes_down = begin[order], length[order]
+        alive = np.searchsorted(-sizes_down, -np.arange(1, LANE + 1), side="right")
+        state = np.tile(np.array(self.starts, dtype=np.int32), (len(owner), 1))
         found = np.zeros((len(owner), languages), dtype=np.int64)
-        for t in range(int(length[0]) if len(length) else 0):
+        column = np.arange(languages)[None, :]
+        for t in range(int(sizes_down[0]) if len(sizes_down) else 0):
             n = alive[t]
-            at = state[:n] + symbols[begin[:n] + t][:, None]
-            moved = self.steps[at]
-            found[:n] += moved & 1
-            state[:n] = moved >> 1
+            moved, new = self.move(state[:n], symbols[starts[:n] + t][:, None], column)
+            found[:n] += new
+            state[:n] = moved
+        by_lane = np.empty_like(found)
+        by_lane[order] = found
+        ends = np.empty_like(state)
+        ends[order] = state
+        by_lane += self._joined(symbols, number, begin, length, ends)
         out = np.zeros((texts, languages), dtype=np.int64)
-        np.add.at(out, owner, found)
+        np.add.at(out, owner, by_lane)
         return out
 
+    def _joined(self, symbols, number, begin, length, ends) -> np.ndarray:
+        """What the phrases of each lane change by as the lane before comes in.
+
+        ``ends`` has the state behind each lane. Where a lane ends before the
+        two parses agree, it gets another one and the next lane is joined anew.
+        """
+        languages = len(self.languages)
+        change = np.zeros((len(number), languages), dtype=np.int64)
+        fresh, own_ends = np.array(self.starts, dtype=np.int32), ends.copy()
+        lane, language = np.nonzero(np.repeat((number > 0)[:, None], languages, axis=1))
+        while len(lane):
+            change[lane, language] = 0
+            going = np.arange(len(lane))
+            came, alone = ends[lane - 1, language], fresh[language]
+            again = []
+            for t in range(LANE):
+                # A lane that is over before the parses agree has a new end.
+                over = length[lane[going]] <= t
+                if over.any():
+                    again.append(going[over])
+                    going = going[~over]
+                if not len(going):
+                    break
+                symbol = symbols[begin[lane[going]] + t]
+                came[going], one = self.move(came[going], symbol, language[going])
+                alone[going], two = self.move(alone[going], symbol, language[going])
+                np.add.at(change, (lane[going], language[going]), one - two)
+                going = going[came[going] != alone[going]]
+            again = np.concatenate([np.empty(0, np.int64), *again, going])
+            now = own_ends[lane, language]
+            now[again] = came[again]
+            other = now != ends[lane, language]
+            ends[lane, language] = now
+            # The lane behind, if it is of the same text.
+            behind, language = lane[other] + 1, language[other]
+            inside = behind < len(number)
+            inside[inside] = number[behind[inside]] > 0
+            lane, language = behind[inside], language[inside]
+        return change
+
     def rates(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Bits per letter by language, and the letters of each text."""
         folded = [(t or "").lower() for t in texts]
         symbols, bounds = self.symbols(folded)
         is_letter = np.concatenate([[0], np.cumsum(symbols > 0)])
         letters = is_letter[bounds[1:]] - is_letter[bounds[:-1]]
-        phrases = self.phrases(symbols.astype(np.int32), bounds)
+        phrases = self.phrases(symbols, bounds)
         bits = phrases * np.array(self.costs)
         return bits / np.maximum(letters, 1)[:, None], letters
 
@@ -204,7 +313,9 @@ class CrossParser:
 
 
 def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Rows that nothing is learned from; one without an id is not among them."""
+    rest = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+    return F.coalesce(rest == 2, F.lit(False))
 
 
 def training_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
@@ -212,29 +323,39 @@ def training_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str
 
     Rows are chosen by a hash of their text: per language the least hashes are
     found with a cut on the map side, so a hot language is never sorted whole.
+    Of those only the rows that the sample has room for are read.
     """
+    share = max(1, chars // 20)
     usable = labelled.filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    ).select("lang", "text", F.xxhash64("text").alias("h"))
+    ).select(
+        "lang",
+        "text",
+        F.xxhash64("text").alias("h"),
+        F.least(F.char_length("text"), F.lit(share)).alias("gives"),
+    )
     # The hash is split over salts first; each keeps its own least rows.
     salted = usable.withColumn("salt", F.pmod(F.hash("text"), F.lit(64)))
     in_salt = Window.partitionBy("lang", "salt").orderBy("h")
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    before = by_hash.rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
-        salted.select("lang", "salt", "h")
+        salted.select("lang", "salt", "h", "gives")
         .distinct()
         .withColumn("r", F.row_number().over(in_salt))
         .filter(F.col("r") <= SAMPLE_ROWS)
-        .withColumn(
-            "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        )
+        .withColumn("rank", F.row_number().over(by_hash))
         .filter(F.col("rank") <= SAMPLE_ROWS)
+        .withColumn("held", F.coalesce(F.sum("gives").over(before), F.lit(0)))
+        .filter(F.col("held") < chars)
         .select("lang", "h", "rank")
     )
-    share = max(1, chars // 20)
+    place = F.pmod("h", F.char_length("text") - F.col("gives") + 1).cast("int") + 1
     rows = (
-        usable.join(F.broadcast(chosen), ["lang", "h"])
+        usable.withColumn("piece", F.substr("text", place, F.lit(share)))
+        .join(F.broadcast(chosen), ["lang", "h"])
         .groupBy("lang", "h", "rank")
-        .agg(F.min(F.substring("text", 1, share)).alias("text"))
+        .agg(F.min("piece").alias("text"))
         .collect()
     )
     samples: dict[str, str] = {}
@@ -252,8 +373,11 @@ def identify(
 
     Only ``text`` is looked at.
 
-    The broadcast holds the automata of the samples: at most two states a
-    sample character for each language, whatever the size of ``docs``.
+    The broadcast holds the automata of the samples, whatever the size of
+    ``docs``: at most two states and three transitions a sample character for
+    each language. Transitions take ``4 * DENSE_CELLS`` bytes in a dense table;
+    where that is too small, 24 to 48 bytes each, and 4 bytes for each letter
+    and language.
     """
     spark = docs.sparkSession
     document_batches(spark)
