@@ -78,16 +78,17 @@ def _round(now: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int) -> DataFrame:
     """``(id, root)`` for every id of ``edges(a, b)``; root is the least id.
 
-    An id that only meets itself is left out. Each round is checkpointed.
-    Rounds end when the edges no longer change, which is compared by their
-    count and a hash over all of them.
+    There are ``most`` edges or fewer. An id that only meets itself is left
+    out. Each round is checkpointed. Rounds end when the edges no longer
+    change, which is compared by their count and a hash over all of them.
     """
-    now = cut(_contracted(edges.select("a", "b")))
+    tasks = max(1, -(-most // TASK_EDGES))
+    now = cut(_contracted(edges.select("a", "b").repartition(tasks)))
     seen = None
-    while True:
+    while tasks > 1:
         mark = now.agg(
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.max("u")
         ).first()
@@ -95,9 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         tasks = -(-mark[0] // TASK_EDGES)
-        if tasks == 1:
-            now = cut(_contracted(now.coalesce(1)))
-            break
-        now = cut(_round(_contracted(now.coalesce(tasks))))
+        held = _contracted(now.coalesce(tasks))
+        now = cut(held if tasks == 1 else _round(held))
     roots = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -246,8 +246,8 @@ def _key_rows(columns) -> pa.RecordBatch:
     )
 
 
-def key_neighbours(keyed: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that connect all sets which may link.
+def key_neighbours(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """Edges ``(a, b)`` that connect all sets which may link, and their bound.
 
     A key of more than ``COMMON_SETS`` sets is that of a passage, or of a large
     group of near copies. A set that has enough other keys does without its
@@ -269,7 +269,8 @@ def key_neighbours(keyed: DataFrame) -> DataFrame:
         .select("key", F.col("set_id").alias("b"))
     )
     least = kept.groupBy("key").agg(F.min("b").alias("a"))
-    return kept.join(least, "key").filter("a <> b").select("a", "b")
+    edges = kept.join(least, "key").filter("a <> b").select("a", "b")
+    return edges, met.count()
 
 
 class SkipJoin:
@@ -434,7 +435,7 @@ def linked_sets(
 ) -> DataFrame:
     """``set_id, root`` of every set with a link to a different set."""
     spark = docs.sparkSession
-    groups = components(key_neighbours(range_keys(docs, size, num, den)))
+    groups = components(*key_neighbours(range_keys(docs, size, num, den)))
     # Of each set one row, with an id where any has one.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "n_shingles")
     one_each = (
@@ -493,7 +494,7 @@ def linked_sets(
     far = _unsettled(spark, placed, shape, near, edges)
     if far is not None:
         edges = edges.unionByName(cut(_joined(sets, far, num, den)))
-    return components(edges).withColumnRenamed("id", "set_id")
+    return components(edges, edges.count()).withColumnRenamed("id", "set_id")
 
 
 def _unsettled(spark: SparkSession, placed, shape, near, edges) -> DataFrame | None:
@@ -501,7 +502,7 @@ def _unsettled(spark: SparkSession, placed, shape, near, edges) -> DataFrame | N
     many = shape.filter("blocks > 2")
     if many.isEmpty():
         return None
-    roots = components(edges).withColumnRenamed("id", "set_id")
+    roots = components(edges, edges.count()).withColumnRenamed("id", "set_id")
     by_block = (
         placed.filter("blocks > 2")
         .join(roots, "set_id", "left")

@@ -290,11 +290,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     pairs = near_blocks(boxes(placed, rotations), width)
     found = cut(joined(placed, pairs, rotations, cosine, width))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(
-        found.filter(F.col("peer").isNotNull()).select(
-            F.col("rep").alias("a"), F.col("peer").alias("b")
-        )
-    ).withColumnRenamed("id", "rep")
+    forest = found.filter(F.col("peer").isNotNull()).select(
+        F.col("rep").alias("a"), F.col("peer").alias("b")
+    )
+    roots = components(forest, forest.count()).withColumnRenamed("id", "rep")
     of_rep = (
         distinct.join(links, "rep", "left")
         .join(roots, "rep", "left")
