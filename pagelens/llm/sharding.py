@@ -113,7 +113,10 @@ def shuffle_into_shards(
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
-    part = F.pmod(_mixed(seed, keys), F.lit(parts)).cast("int")
+    sortable = [c for c, t in rows.dtypes if not t.startswith("map")]
+    # Rows without keys, or with equal ones, are told apart by what they hold.
+    told = [*keys, *[c for c in sortable if c not in keys]]
+    part = F.pmod(_mixed(seed, told), F.lit(parts)).cast("int")
     counts = {r[0]: r[1] for r in rows.select(part.alias("p")).groupBy("p").count().collect()}
     sizes = block_sizes(sum(counts.values()), shards, blocks)
     dealt = []
@@ -131,9 +134,8 @@ def shuffle_into_shards(
         starts.append(total)
         total += size
 
-    sortable = [c for c, t in rows.dtypes if not t.startswith("map")]
-    local = Window.partitionBy("__part").orderBy(_mixed(seed + 1, keys), *sortable)
-    again = Window.partitionBy("__block").orderBy(_mixed(seed + 2, keys), *sortable)
+    local = Window.partitionBy("__part").orderBy(_mixed(seed + 1, told), *sortable)
+    again = Window.partitionBy("__block").orderBy(_mixed(seed + 2, told), *sortable)
     # Rows up to each end go to that block: the first end above the rank.
     block = F.size(F.filter("__ends", lambda end: end <= F.col("__rank")))
     return (
