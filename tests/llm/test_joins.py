@@ -247,7 +247,7 @@ def test_components(spark, monkeypatch, kind, task_edges):
     want = Groups()
     for a, b in edges:
         want.join(a, b)
-    got = dict(components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect())
+    got = dict(components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"), len(edges)).collect())
     for x in want.parent:
         assert got.get(x, x) == want.root(x)
 
