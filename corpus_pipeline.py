@@ -9,7 +9,7 @@ last one.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagelens.llm import langid, packing, setjoin, surrogates
-from pagelens.operators.shared import cut, scratch_path, small
+from pagelens.operators.shared import cut, remove_folder, scratch_path, small, taken
 
 BROADCAST_ROWS = 200_000
 # Workers are shared with the other stages, so the packing memo is half its size.
@@ -79,10 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what stages hand on is removed after use."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if folder is not None:
+            remove_folder(spark, folder)
+        docs, folder = spark.read.parquet(path), path
+    return taken(STAGES[-1][1](spark, docs, sf_dir), folder)
