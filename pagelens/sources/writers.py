@@ -74,6 +74,21 @@ def resolve_format(path: str | None, fmt: str | None = None) -> str | None:
     return chosen
 
 
+def default_path(
+    spark: SparkSession, folder: str, fmt: str = "csv", tool: str = TOOL, day=None
+) -> str:
+    """SCA-35: where an export goes that was given no path.
+
+    ``<tool>-<day>.<format>`` in ``folder``; the day is today's by the clock and
+    time zone of the session unless given.
+    """
+    if fmt not in _WRITERS:
+        raise ValueError(f"unknown output format {fmt!r}; use {', '.join(_WRITERS)}")
+    if day is None:
+        day = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd")).first()[0]
+    return f"{folder.rstrip('/')}/{tool}-{day}.{fmt}"
+
+
 def write_results(
     results: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists"
 ):

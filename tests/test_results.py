@@ -252,3 +252,14 @@ def test_first_k_with_rank(spark, k):
     rows = spark.range(4000).selectExpr("id % 2 AS key", "id AS v")
     got = first_k(rows, ["key"], ["v"], k, into="r").collect()
     assert len(got) == 2 * k and all(r.v == 2 * (r.r - 1) + r.key for r in got)
+
+
+def test_exports_without_a_path_carry_the_day(spark):
+    from pagelens.sources import writers
+
+    assert writers.default_path(spark, "s3a://b/out/", day="2026-08-01") == "s3a://b/out/pagelens-2026-08-01.csv"
+    path = writers.default_path(spark, "/tmp/out", "html", "run")
+    today = spark.sql("SELECT CAST(current_date() AS STRING)").first()[0]
+    assert path == f"/tmp/out/run-{today}.html" and writers.infer_format(path) == "html"
+    with pytest.raises(ValueError):
+        writers.default_path(spark, "/tmp/out", "xml")
