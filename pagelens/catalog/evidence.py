@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagelens.catalog import inputs as I
 from pagelens.catalog.base import query
-from pagelens.functions import text, urls
+from pagelens.functions import phones, text, urls
 from pagelens.operators import candidates as K, contacts as C, evidence as E
 from pagelens.operators.facts import page_facts
 from pagelens.plans import scan
@@ -126,10 +126,42 @@ def sca_17(spark, sf):
 # The plan's shapes without look-around, which the SQL engine lacks; enough for
 # the given texts, whose foreign numbers have ten national digits.
 _PHONE_SQL = (
-    r"(^|[^\d\p{L}+])\(?(2\)?[\s.\-]?[1-3]|9[\s.\-]?[2-9]|3[2-5]|[47][1-35]"
-    r"|5[1-3578]|6[13-57])\)?([\s.\-]?\d){7}(\D|$)"
+    r"(^|[^\d\p{L}+])\(?((2\)?[\s.\-]?[1-3]|9[\s.\-]?[2-9]|3[2-5]|4[1-5]|7[1-35]"
+    r"|5[1-3578]|6[13-57])\)?([\s.\-]?\d){7}|800\)?([\s.\-]?\d){6}"
+    r"|600\)?([\s.\-]?\d){7,8}|1230\)?([\s.\-]?\d){7})(\D|$)"
 )
 
+_DIALLED = [
+    ("Mesa 22 818 {n}", "22818", "fixed"),
+    ("+56 (9) 8765 {n}", "98765", "mobile"),
+    ("llame 800 12{n}", "80012", "toll_free"),
+    ("600 600 {n} o", "600600", "shared_cost"),
+    ("0056 44 208 {n}", "44208", "voip"),
+    ("1880 56 41 220 {n}", "41220", "fixed"),
+    ("00 44 22 818 {n}", None, None),
+    ("36 345 {n} y 76 245 {n}", None, None),
+]
+
+
+@query(
+    "sca_14_phone_kinds",
+    "SELECT c_custkey AS k, CASE c_custkey % 8 "
+    + " ".join(
+        f"WHEN {i} THEN "
+        + (f"'{digits}' || (c_custkey % 9000 + 1000) || ':{kind}'" if digits else "''")
+        for i, (_, digits, kind) in enumerate(_DIALLED)
+    )
+    + " END AS numbers FROM customer",
+)
+def sca_14_kinds(spark, sf):
+    """Numbers of several kinds, dialled in several ways, with their kind."""
+    k = F.col("c_custkey")
+    last = (k % 9000 + 1000).cast("string")
+    shapes = F.array(*[F.lit(t) for t, *_ in _DIALLED])
+    line = F.replace(F.get(shapes, (k % 8).cast("int")), F.lit("{n}"), last)
+    found = F.transform(phones.phones_in(line), lambda p: F.concat_ws(":", p["digits"], p["kind"]))
+    return I.table(spark, sf, "customer").select(k.alias("k"), F.array_join(found, " ").alias("numbers"))
+
 
 @query(
     "sca_14_phone_documents",

@@ -73,13 +73,42 @@ LEXICON = [
 ]
 PATH_SEGMENT = r"(?i)^(?:cl|chile|es-cl)$|-cl$"
 ZIP_PLUS_FOUR = r"\d{5}-\d{4}"
-# Chilean area codes (public numbering plan): 2 Santiago, the two-digit
-# regional codes, 9 mobile; nine national digits in all.
-PHONE_NATIONAL = (
-    r"(?:2\)?[\s.\-]?[1-3]|9[\s.\-]?[2-9]"
-    r"|3[2-5]|[47][1-35]|5[1-3578]|6[13-57])"
-    r"\)?(?:[\s.\-]?\d){7}"
-)
+# Chilean numbering plan (public): area or service code, the digits that may
+# follow it ("" for any), digits of the whole national number, kind.
+COUNTRY_CODE = "56"
+PHONE_PLAN = [
+    ("2", "123", (9,), "fixed"),
+    ("32", "", (9,), "fixed"),
+    ("33", "", (9,), "fixed"),
+    ("34", "", (9,), "fixed"),
+    ("35", "", (9,), "fixed"),
+    ("41", "", (9,), "fixed"),
+    ("42", "", (9,), "fixed"),
+    ("43", "", (9,), "fixed"),
+    ("44", "", (9,), "voip"),
+    ("45", "", (9,), "fixed"),
+    ("51", "", (9,), "fixed"),
+    ("52", "", (9,), "fixed"),
+    ("53", "", (9,), "fixed"),
+    ("55", "", (9,), "fixed"),
+    ("57", "", (9,), "fixed"),
+    ("58", "", (9,), "fixed"),
+    ("61", "", (9,), "fixed"),
+    ("63", "", (9,), "fixed"),
+    ("64", "", (9,), "fixed"),
+    ("65", "", (9,), "fixed"),
+    ("67", "", (9,), "fixed"),
+    ("71", "", (9,), "fixed"),
+    ("72", "", (9,), "fixed"),
+    ("73", "", (9,), "fixed"),
+    ("75", "", (9,), "fixed"),
+    ("9", "23456789", (9,), "mobile"),
+    ("600", "", (10, 11), "shared_cost"),
+    ("800", "", (9,), "toll_free"),
+    ("1230", "", (11,), "toll_free"),
+]
+# Codes dialled before a country code: plain, or with one of the carriers.
+DIAL_OUT = r"00|1(?:1[0-69]|2[0-5]|5[13-58]|69|7[0167]|8[018])0"
 
 # --- person names and address patterns ---------------------------------------
 NAME_WORD = r"[A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]{2,}"

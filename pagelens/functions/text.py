@@ -11,7 +11,7 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-from pagelens.functions import fixed_values as V
+from pagelens.functions import fixed_values as V, phones
 
 _WS = r"(?U)^\s+|\s+$"
 
@@ -324,20 +324,12 @@ def has_valid_rut(text: Column) -> Column:
 
 
 def has_cl_phone(text: Column) -> Column:
-    """SCA-14: a number of the Chilean plan, national or with +56.
+    """SCA-14: a number of the Chilean plan, national or behind +56.
 
-    A number behind another country code is not reinterpreted, and the
-    nine-digit US postal shape does not count. This follows the published
-    numbering plan only in its area codes and lengths.
+    The plan's codes, lengths and kinds are those of ``fixed_values``; see
+    ``phones`` for the numbers themselves and for other plans.
     """
-    return F.rlike(
-        text,
-        F.lit(
-            rf"(?<![\d\p{{L}}])(?!{V.ZIP_PLUS_FOUR}(?!\d))"
-            r"(?:\+?56[\s.\-]{0,2}\(?|(?<!\+\d{1,3}[\s.\-(]{0,2})(?<!\+)\(?)"
-            rf"{V.PHONE_NATIONAL}(?!\d)"
-        ),
-    )
+    return phones.has_phone(text)
 
 
 def has_lexicon(text: Column, terms: list | None = None) -> Column:
