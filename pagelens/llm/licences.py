@@ -2,18 +2,22 @@
 
 The model is trained on short notices of each family and on sentences that only
 sound like one (``licence_texts``), as a multinomial regression over word
-n-grams of one to three words. Every feature holds an anchor word, so a
+n-grams of one to four words. Every feature holds an anchor word, so a
 paragraph without one scores the bias alone, which says unknown: such
 paragraphs need not be scored. Probabilities are calibrated by a temperature on
-altered notices, and a family must pass a threshold set between altered notices
-and other sentences. A prediction stands only if a notice of that family shares
-enough word pairs with the paragraph.
+sentences that training has not seen, about the families and about other things,
+and a family must pass a threshold set between the two. A prediction stands only
+if a notice of that family, or one of its names, shares enough word pairs with
+the paragraph.
 
 Training sees the fixed notices only. Scoring is DataFrame functions: n-grams of
 anchored paragraphs meet the weights and the notices in joins whose small sides
 have as many rows as the notices have n-grams.
 
-A paragraph is a line. Defined results: NULL or empty text and text without a
+A paragraph is a line; one that ends without a stop goes on in the next line if
+that begins with a small letter or a bracket, and comment marks before a line
+are no part of it. A paragraph has one family, the most probable. Defined
+results: NULL or empty text and text without a
 licence give ``none`` with probability 0; several families in a text are all
 listed, by name, and ``licence`` is the most probable one (ties by name);
 repeated rows are scored alike; an empty table gives no rows; all other columns
@@ -25,15 +29,18 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelens.llm.licence_texts import ANCHORS, NOTICES, OTHER
+from pagelens.llm.licence_texts import ANCHORS, CALLED, HELD_OTHER, NOTICES, OTHER, SAID
 from pagelens.operators.shared import cut
 
-GRAMS = 3
+GRAMS = 4
 # Least share of the smaller side's word pairs in common with a notice.
 CONFIRM = 0.6
 NONE = "none"
+# Comment marks before a line, and line ends inside a sentence.
+_MARKS = r"(?m)^[ \t]*+(?:[#*;%]++|//++|--++)[ \t]?"
+_WRAPPED = r"(?<![.!?:;\s])[ \t\r]*+\n[ \t]*+(?=[a-z(])"
 _ANCHORED = rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(ANCHORS)})(?![A-Za-z0-9])"
 
 
@@ -60,6 +67,11 @@ class Model:
     threshold: float
 
 
+def templates() -> dict[str, list[str]]:
+    """Texts that confirm a family: its notices and its names."""
+    return {family: [*NOTICES[family], *CALLED[family]] for family in NOTICES}
+
+
 def _altered(words: list[str]) -> list[list[str]]:
     """Variants of a notice: an end cut off, other words around it."""
     out = [words[1:], words[:-1], ["the", "files", *words, "see", "below"]]
@@ -105,12 +117,12 @@ def trained(rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Model:
         gap = (_softmax(x @ w + b) - y) * balance
         w -= rate * (x.T @ gap / len(samples) + decay * w)
     held = [
-        (grams_of(v), k)
+        (grams_of(words_of(said.format(name))), k)
         for k, family in enumerate(families)
-        for notice in NOTICES[family]
-        for v in _altered(words_of(notice))[1:]
+        for name in CALLED[family]
+        for said in SAID
     ]
-    other = [grams_of(["and", *words_of(s), "too"]) for s in OTHER]
+    other = [grams_of(words_of(s)) for s in HELD_OTHER]
     weight = {name: w[i] for name, i in at.items()}
 
     def rows(features):
@@ -118,7 +130,7 @@ def trained(rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Model:
 
     z = _scores(weight, b, rows([f for f, _ in held] + other))
     truth = np.array([k for _, k in held] + [unknown] * len(other))
-    # Temperature: the scale with the least log loss on altered texts.
+    # Temperature: the scale with the least log loss on texts not seen.
     loss = {
         t: -np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean()
         for t in np.linspace(0.25, 3, 56)
@@ -127,7 +139,8 @@ def trained(rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Model:
     p = _softmax(z / heat)
     right = p[np.arange(len(held)), truth[: len(held)]]
     wrong = p[len(held) :, :unknown].max(axis=1)
-    threshold = float(np.clip((np.quantile(right, 0.02) + wrong.max()) / 2, 0.3, 0.8))
+    middle = (np.quantile(right, 0.02) + wrong.max()) / 2
+    threshold = float(np.clip(max(middle, wrong.max()), 0.3, 0.8))
     return Model(
         families,
         {n: (v / heat).tolist() for n, v in weight.items()},
@@ -136,6 +149,12 @@ def trained(rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Model:
     )
 
 
+def paragraphs(text: str) -> Column:
+    """Lines of a text, wrapped ones put together."""
+    bare = F.regexp_replace(text, _MARKS, "")
+    return F.split(F.regexp_replace(bare, _WRAPPED, " "), "\n")
+
+
 def _grams(words, n: int):
     last = F.size(words) - (n - 1)
     return F.when(
@@ -165,7 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
         docs.filter(anchored).withColumn("__lic_row", F.monotonically_increasing_id())
     )
     lines = (
-        held.select("__lic_row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        held.select("__lic_row", F.posexplode(paragraphs("text")).alias("at", "line"))
         .filter(F.col("line").rlike(_ANCHORED))
         .withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9]+)")))
         .select("__lic_row", "at", "words")
@@ -203,7 +222,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     pairs_of = [
         (family, f"{family}/{i}", pair, len(pairs))
-        for family, notices in NOTICES.items()
+        for family, notices in templates().items()
         for i, notice in enumerate(notices)
         for words in [words_of(notice)]
         for pairs in [sorted({" ".join(p) for p in zip(words, words[1:])})]
