@@ -453,3 +453,76 @@ def test_many_matches_in_one_text_stay_in_order(spark):
     words = new.split(" ")
     assert words[1::2] == ["and"] * 3000 and all("@" in w and "a.cl" not in w for w in words[0::2])
     assert len(set(words[0::2])) == 3000
+
+
+# --- licences by brute force ---------------------------------------------------------------
+
+
+def _plain_families(text):
+    """Every paragraph against weights and templates, in plain Python."""
+    model, found = licences.trained(), []
+    bare = re.sub(licences._MARKS, "", text)
+    for line in re.sub(licences._WRAPPED, " ", bare).split("\n"):
+        words = licences.words_of(line)
+        known = [g for g in licences.grams_of(words) if g in model.weights]
+        if not known:
+            continue
+        z = np.array(model.bias) + np.sum([model.weights[g] for g in known], axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k = int(z.argmax())
+        if k == len(model.families) or p[k] < model.threshold:
+            continue
+        own = set(zip(words, words[1:]))
+        for template in licences.templates()[model.families[k]]:
+            pairs = set(zip(licences.words_of(template), licences.words_of(template)[1:]))
+            if len(pairs & own) >= licences.CONFIRM * min(len(pairs), len(own)) and pairs & own:
+                found.append(model.families[k])
+                break
+    return sorted(set(found)), len(found)
+
+
+REAL = [
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal\n# in the Software without restriction", ["MIT"]),
+    ("Published under CC BY-NC-ND 4.0", ["CC-BY-NC-ND"]),
+    ("CC BY-NC-SA 4.0", ["CC-BY-NC-SA"]),
+    ("CC BY-ND 4.0.", ["CC-BY-ND"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC"]),
+    ("are made available under the terms of the Eclipse Public License 2.0 which is at", ["EPL-2.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+    ("under the terms of the Server Side Public License, version 1, as published", ["SSPL"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("you can redistribute it under the terms of the Artistic License (2.0).", ["Artistic-2.0"]),
+    (" * Licensed under the Apache License, Version 2.0 (the License);\n * you may not use this file except in compliance with the License.", ["Apache-2.0"]),
+    ("MIT licence.\nReleased under the BSD license.", ["BSD", "MIT"]),
+    ("The license plate and the warranty are lost.\nHe may redistribute the copyright.", []),
+]
+
+
+def test_real_notices(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REAL)], "doc_id INT, text STRING")
+    got = {r.doc_id: r.licences for r in licences.scan(rows).collect()}
+    assert [got[i] for i in range(len(REAL))] == [want for _, want in REAL]
+
+
+def test_scan_equals_brute_force(spark, texts):
+    from pagelens.llm.licence_texts import CALLED, HELD_OTHER, NOTICES, OTHER, SAID
+
+    made = [n for notices in NOTICES.values() for n in notices] + OTHER + HELD_OTHER
+    made += [said.format(name) for names in CALLED.values() for name in names for said in SAID]
+    made += [t for t, _ in REAL] + ["\n".join(made[i : i + 3]) for i in range(0, 60, 3)]
+    rows = list(enumerate(made)) + [(10_000 + i, t) for i, t in texts[:120]]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+    for r in licences.scan(frame).collect():
+        families, many = _plain_families(r.text or "")
+        assert (r.licences, r.n_licences) == (families, many), r.text[:80]
+
+
+def test_calibration_texts_are_told_apart():
+    from pagelens.llm.licence_texts import CALLED, HELD_OTHER, NOTICES, SAID
+
+    assert set(CALLED) == set(NOTICES)
+    for family, names in CALLED.items():
+        for name in names:
+            assert all(_plain_families(s.format(name))[0] == [family] for s in SAID)
+    assert not any(_plain_families(t)[1] for t in HELD_OTHER)
